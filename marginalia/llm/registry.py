@@ -17,6 +17,13 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"))
 
 
+def op3_pii_sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm import private
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return private.sanitise_documents(docs, counts=True)
+
+
 def op7_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marginalia.llm import neardup
 
@@ -24,6 +31,13 @@ def op7_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "rep_id", "group_size", "keep")
 
 
+def op10_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm import decontaminate
+
+    found = decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "kind", "position", "matched", "n_terms")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
