@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import language, neardup
+from marginalia.llm import decontaminate, language, neardup, pieces, private
 from marginalia.llm.common import shared_folder
 
 
@@ -25,7 +25,28 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return neardup.keep_first(docs)
 
 
-STAGES = [("language_id", language_id), ("near_dedup", near_dedup)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def sanitisation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and the terms that disclose it are generalised; every document stays."""
+    return private.sanitise_documents(docs)
+
+
+def tokenisation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each text's best segmentation are added."""
+    return pieces.add_ids(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("sanitisation", sanitisation),
+    ("tokenisation", tokenisation),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

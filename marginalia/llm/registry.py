@@ -31,6 +31,12 @@ def op7_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "rep_id", "group_size", "keep")
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm import pieces
+
+    return pieces.encode(_table(spark, sf_dir, "documents"))
+
+
 def op10_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marginalia.llm import decontaminate
 
