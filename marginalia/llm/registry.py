@@ -30,6 +30,12 @@ def op3_pii_sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private.sanitise_documents(docs, counts=True)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm import substrings
+
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marginalia.llm import neardup
 
