@@ -36,6 +36,12 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op5_packed_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm import shards
+
+    return shards.assign(_table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marginalia.llm import neardup
 
@@ -49,6 +55,12 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_table(spark, sf_dir, "documents"))
 
 
+def op9_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm import nearest
+
+    return nearest.top_products(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marginalia.llm import decontaminate
 
@@ -56,9 +68,21 @@ def op10_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "kind", "position", "matched", "n_terms")
 
 
+OP9_SQL = """
+WITH scored AS (
+  SELECT a.vec_id, b.vec_id AS neighbor_id,
+         round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 8) AS score
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, neighbor_id) AS INTEGER) AS rank FROM scored
+)
+SELECT vec_id, neighbor_id, score, rank FROM ranked WHERE rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_top_products": OP9_SQL}
