@@ -42,6 +42,12 @@ def op5_packed_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign(_table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm import lm
+
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marginalia.llm import neardup
 
