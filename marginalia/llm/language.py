@@ -49,26 +49,45 @@ def _grams(words: list[str]):
 class Model:
     """Arrays of log frequencies: words (sorted, with one row of scores each) and n-grams by length."""
 
-    def __init__(self, counts: dict[tuple[str, str], int]):
-        self.languages = sorted({lang for lang, _ in counts})
-        place = {lang: i for i, lang in enumerate(self.languages)}
-        words = sorted({w for _, w in counts})
-        at = {w: i for i, w in enumerate(words)}
+    def __init__(self, counts: dict[tuple[str, str], int] | pa.Table):
+        if isinstance(counts, dict):
+            rows = [(lang, word, n) for (lang, word), n in counts.items()]
+            counts = pa.table({k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate((("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())))})
+        parts = []
+        for name in ("lang", "word"):
+            coded = counts[name].combine_chunks().dictionary_encode()
+            values = coded.dictionary.to_pylist()
+            order = sorted(range(len(values)), key=values.__getitem__)
+            place = np.zeros(len(values), np.int64)
+            place[order] = np.arange(len(order))
+            parts += [[values[i] for i in order], place[np.asarray(coded.indices)] if len(values) else np.zeros(0, np.int64)]
+        self.languages, lang_at, words, word_at = parts
         table = np.zeros((len(words), len(self.languages)))
-        for (lang, word), n in counts.items():
-            table[at[word], place[lang]] = n
+        np.add.at(table, (word_at, lang_at), np.asarray(counts["n"]))
         self.grams = {}
-        if words:
-            for n, key, fits, starts in _grams(words):
-                owner = np.repeat(np.arange(len(words)), np.diff(np.append(starts, len(key))))[fits]
-                keys, inverse = np.unique(key[fits], return_inverse=True)
-                sums = np.stack([np.bincount(inverse, table[owner, j], len(keys)) for j in range(len(self.languages))], 1)
-                known = sums.sum(1) >= MIN_GRAM
-                self.grams[n] = keys[known], self._log(sums[known], sums.sum(0))
+        for n, keys, sums in self._count_grams(words, table):
+            known = sums.sum(1) >= MIN_GRAM
+            self.grams[n] = keys[known], self._log(sums[known], sums.sum(0))
         known = table.sum(1) >= MIN_WORD
         self.words = {w: i for i, w in enumerate(np.array(words, object)[known])}
         self.scores = self._log(table[known], table.sum(0))
 
+    @staticmethod
+    def _count_grams(words: list[str], table: np.ndarray, chunk: int = 20_000):
+        """n, distinct keys and their counts by language; words in chunks, as the driver holds little memory."""
+        found: dict[int, list] = {}
+        for a in range(0, len(words), chunk):
+            part, weights = words[a : a + chunk], table[a : a + chunk]
+            for n, key, fits, starts in _grams(part):
+                owner = np.repeat(np.arange(len(part), dtype=np.int32), np.diff(np.append(starts, len(key))))[fits]
+                keys, at = np.unique(key[fits], return_inverse=True)
+                found.setdefault(n, []).append((keys, np.stack([np.bincount(at, weights[owner, j], len(keys)) for j in range(table.shape[1])], 1)))
+        for n, parts in found.items():
+            keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            sums = np.zeros((len(keys), table.shape[1]))
+            np.add.at(sums, at, np.concatenate([c for _, c in parts]))
+            yield n, keys, sums
+
     @staticmethod
     def _log(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
         return np.log((counts + 0.1) / (totals + 1.0)).astype(np.float32)
@@ -131,7 +150,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, doc_id: str = "doc_
             )
 
     counted = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    return Model({(r["lang"], r["word"]): r["n"] for r in counted.collect()})
+    return Model(counted.toArrow())
 
 
 def score_batch(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -235,10 +235,11 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Mode
             yield pa.RecordBatch.from_arrays([pa.array(list(term_of), pa.string()), *(pa.array(t) for t in table)], ["word", "n", "toxic", "poor"])
 
     counted = sample.mapInArrow(holds, "word string, n long, toxic long, poor long").groupBy("word")
-    counted = counted.agg(*(F.sum(c).alias(c) for c in ("n", "toxic", "poor"))).where(F.col("n") >= MIN_DOCS).collect()
+    counted = counted.agg(*(F.sum(c).alias(c) for c in ("n", "toxic", "poor"))).where(F.col("n") >= MIN_DOCS).toArrow()
+    counted = list(zip(*(counted[c].to_pylist() for c in ("word", "n", "toxic", "poor"))))
     totals = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t"), F.coalesce(F.sum(1 - F.col("quality")), F.lit(0)).alias("p")).collect()[0]
-    toxic = tied_words([(r["word"], r["n"] - r["toxic"], r["toxic"]) for r in counted], np.array([totals["n"] - totals["t"], totals["t"]]))
-    poor = tied_words([(r["word"], r["n"] - r["poor"], r["poor"]) for r in counted], np.array([totals["n"] - totals["p"], totals["p"]]))
+    toxic = tied_words([(w, n - t, t) for w, n, t, _ in counted], np.array([totals["n"] - totals["t"], totals["t"]]))
+    poor = tied_words([(w, n - q, q) for w, n, _, q in counted], np.array([totals["n"] - totals["p"], totals["p"]]))
     names = [f"f{i}" for i in range(len(FEATURES))]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
