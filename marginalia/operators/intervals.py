@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,18 +49,22 @@ def keep_longest(anns: DataFrame, compat: bool = False) -> DataFrame:
 
     With `compat` an annotation that ends where a kept one starts is dropped too.
     """
-    def run(key, table: pa.Table) -> pa.Table:
-        rows = table.select(["n_start", "n_end"]).to_pylist()
-        order = sorted((i for i, r in enumerate(rows) if r["n_start"] is not None), key=lambda i: (rows[i]["n_end"] - rows[i]["n_start"], rows[i]["n_start"]), reverse=True)
-        taken: list[tuple[int, int]] = []
+    def run(table):
+        a, b = (table.column(c).to_pylist() for c in ("n_start", "n_end"))
+        order = sorted((i for i in range(len(a)) if a[i] is not None), key=lambda i: (b[i] - a[i], a[i]), reverse=True)
+        starts: list[int] = []
+        ends: list[int] = []
         keep = []
         for i in order:
-            a, b = rows[i]["n_start"], rows[i]["n_end"]
-            clash = any((s <= a < e) or (s <= b < e) if compat else a < e and b > s for s, e in taken)
-            if not clash:
-                taken.append((a, b))
-                keep.append(i)
-        return table.take(pa.array(sorted(keep, key=lambda i: rows[i]["n_start"]), pa.int64()))
+            # What is kept is disjoint, so only the neighbours of a place can clash.
+            at = bisect_right(starts, a[i])
+            reach = b[i] + 1 if compat else b[i]
+            if (at and ends[at - 1] > a[i]) or (at < len(starts) and starts[at] < reach):
+                continue
+            starts.insert(at, a[i])
+            ends.insert(at, b[i])
+            keep.append(i)
+        return table.take(pa.array(sorted(keep, key=lambda i: a[i]), pa.int64()))
 
     return anns.groupBy("doc_id").applyInArrow(run, anns.schema)
 
