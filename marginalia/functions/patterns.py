@@ -36,7 +36,7 @@ def to_java(pattern: str, ignore_case: bool = False) -> str:
                 i += 1
         elif pattern.startswith("(?P<", i):
             out.append("(?<")
-            i += 3
+            i += 4
             continue
         else:
             out.append(c)
