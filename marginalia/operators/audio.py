@@ -125,8 +125,6 @@ class VoiceDetector:
         out, held, begin = [], [], None
         for i, v in enumerate(voiced):
             held = [*held, (i, v)][-self.window :]
-            if len(held) < self.window and begin is None and i < len(voiced) - 1 and len(voiced) >= self.window:
-                continue
             n = sum(v for _, v in held)
             if begin is None and n > self.ratio * self.window:
                 begin, held = held[0][0], []

@@ -25,7 +25,7 @@ def read_pairs(spark: SparkSession, folder: str, ann_ext: str = ".ann", text_ext
     def side(ext: str, name: str) -> DataFrame:
         rows = spark.read.format("binaryFile").option("pathGlobFilter", f"*{ext}").load(folder)
         stem = F.regexp_replace("path", ext.replace(".", r"\.") + "$", "")
-        return rows.select(stem.alias("stem"), F.decode("content", F.lit("UTF-8")).alias(name))
+        return rows.select(stem.alias("stem"), F.decode("content", "UTF-8").alias(name))
 
     return side(text_ext, "text").join(side(ann_ext, "ann"), "stem", "full_outer")
 

@@ -49,7 +49,7 @@ def parse_layers(content: str, doc: str, keep_sentences: bool = False) -> tuple[
 
 def read_annotated_cases(spark: SparkSession, path: str, keep_sentences: bool = False) -> tuple[DataFrame, DataFrame]:
     """docs and anns of a folder of layered XML files."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(path).select("path", F.decode("content", F.lit("UTF-8")).alias("content"))
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(path).select("path", F.decode("content", "UTF-8").alias("content"))
     schema = arrow_schema(ANN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

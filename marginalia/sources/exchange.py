@@ -149,12 +149,12 @@ def turn_lines(turns: DataFrame, file_id: str = "file_id") -> DataFrame:
 
 def read_subtitles(spark: SparkSession, path: str) -> DataFrame:
     """path, idx, start, end (seconds), text of subtitle files."""
-    blocks = spark.read.format("binaryFile").option("pathGlobFilter", "*.srt").load(path).select("path", F.explode(F.split(F.regexp_replace(F.decode("content", F.lit("UTF-8")), "\r", ""), "\n\\s*\n")).alias("b"))
+    blocks = spark.read.format("binaryFile").option("pathGlobFilter", "*.srt").load(path).select("path", F.explode(F.split(F.regexp_replace(F.decode("content", "UTF-8"), "\r", ""), "\n\\s*\n")).alias("b"))
     time = r"(\d+):(\d\d):(\d\d)[,.](\d{3})"
     head = rf"(?s)^\s*(\d+)\n{time} --> {time}[^\n]*\n?(.*)$"
     g = lambda i: F.regexp_extract("b", head, i)
     at = lambda i: g(i).cast("double") * 3600 + g(i + 1).cast("double") * 60 + g(i + 2).cast("double") + g(i + 3).cast("double") / 1000
-    return blocks.where(F.col("b").rlike(head)).select("path", g(1).cast("int").alias("idx"), F.round(at(2), 3).alias("start"), F.round(at(6), 3).alias("end"), F.rtrim(g(10)).alias("text"))
+    return blocks.where(F.col("b").rlike(head)).select("path", g(1).cast("int").alias("idx"), F.round(at(2), 3).alias("start"), F.round(at(6), 3).alias("end"), F.regexp_replace(g(10), r"\s+$", "").alias("text"))
 
 
 def clock(seconds: Column) -> Column:

@@ -17,7 +17,7 @@ def read_texts(spark: SparkSession, path: str, pattern: str = "*.txt", encoding:
     """doc_id, text, metadata(path_to_text) of every file; the id depends on the path alone."""
     if encoding.lower().replace("-", "") == "utf8":
         # Bytes decoded in one piece keep every line end; files are read by the executors, one row each.
-        rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", F.decode("content", F.lit("UTF-8")).alias("text"))
+        rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", F.decode("content", "UTF-8").alias("text"))
     else:
         raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
 

@@ -125,7 +125,7 @@ def test_voice(spark):
     x = np.zeros(8000 * 3)
     x[8000:16000] = 0.9
     row = audio.VoiceDetector().run(sounds(spark, [x])).collect()
-    assert len(row) == 1 and abs(row[0]["start"] - 1) < 0.31 and abs(row[0]["end"] - 2) < 0.31
+    assert len(row) == 1 and abs(row[0]["start"] - 1) < 0.34 and abs(row[0]["end"] - 2) < 0.34
     with pytest.raises(Exception):
         audio.VoiceDetector().run(sounds(spark, [x], rate=11025)).collect()
     assert audio.VoiceDetector().run(sounds(spark, [np.zeros(0)])).count() == 0

@@ -16,12 +16,14 @@ def test_texts(spark, tmp_path):
     (tmp_path / "a.txt").write_text("été\r\nligne\n")
     (tmp_path / "b.txt").write_bytes("été".encode("latin-1"))
     (tmp_path / "c.md").write_text("no")
-    rows = {r["metadata"]["path_to_text"][-5:]: r["text"] for r in files.read_texts(spark, str(tmp_path)).collect()}
+    rows = {r["metadata"]["path_to_text"][-5:]: r["text"] for r in files.read_texts(spark, str(tmp_path), "[ac].*").collect()}
     assert rows["a.txt"] == "été\r\nligne\n" and len(rows) == 2
+    with pytest.raises(Exception):
+        files.read_texts(spark, str(tmp_path), "b.txt").collect()
     rows = {r["metadata"]["path_to_text"][-5:]: r["text"] for r in files.read_texts(spark, str(tmp_path), "b.txt", "latin-1").collect()}
     assert rows == {"b.txt": "été"}
-    first, again = (files.read_texts(spark, str(tmp_path)).orderBy("doc_id").select("doc_id").collect() for _ in range(2))
-    assert first == again
+    first, again = (files.read_texts(spark, str(tmp_path), encoding="latin-1").orderBy("doc_id").select("doc_id").collect() for _ in range(2))
+    assert first == again and len(first) == 2
 
 
 def test_sounds(spark, tmp_path):
@@ -172,7 +174,7 @@ def test_rule_files(tmp_path):
     own = [RegexpRule("a", "l", id="1", norms=(Norm("kb", "K"),)), RegexpRule("b", "l", id="2", exclusion="c")]
     rules.save_rules(own, file)
     assert rules.load_regexp_rules(file) == own
-    (tmp_path / "c.yml").write_text("- regexp: no\n  exclusion_regexps: [not only]\n  id: n\n")
+    (tmp_path / "c.yml").write_text("- regexp: 'no'\n  exclusion_regexps: [not only]\n  id: n\n")
     assert rules.load_context_rules(str(tmp_path / "c.yml")) == [Rule("no", ("not only",), "n")]
     rules.save_sections({"s": ["A"]}, [RenameRule("s", "t", ("u",))], file)
     assert rules.load_sections(file) == ({"s": ["A"]}, [RenameRule("s", "t", ("u",))])
