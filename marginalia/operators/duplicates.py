@@ -10,11 +10,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.operators.kernel import Found, Segment, arrow_schema, attribute, build_row
+from marginalia.operators.kernel import Found, Segment, arrow_schema, attribute, build_row, pieces
 from marginalia.functions.spans import Span
 from marginalia.schema import ANN, make_uid, op_id
 
@@ -137,6 +138,29 @@ def line_occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     return rows.where(F.length("line") >= shortest)
 
 
+def hashed_runs(text: str, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hash, start and end of every run of `length` words."""
+    import xxhash
+
+    found = list(_WORD.finditer(text))
+    n = len(found) - length + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+    known: dict[str, int] = {}
+    words = [m.group() for m in found]
+    for w in words:
+        if w not in known:
+            known[w] = xxhash.xxh64_intdigest(w)
+    h = np.fromiter((known[w] for w in words), np.uint64, len(words))
+    total = np.zeros(n, np.uint64)
+    for j in range(length):
+        # A polynomial of the word hashes; each step also mixes the high bits down.
+        total = (total ^ (total >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + h[j : j + n]
+    starts = np.fromiter((m.start() for m in found), np.int32, len(found))
+    ends = np.fromiter((m.end() for m in found), np.int32, len(found))
+    return total.view(np.int64), starts[:n], ends[length - 1 :]
+
+
 def first_occurrences(docs: DataFrame, length: int = 8, doc_id: str = "doc_id", text: str = "text", shortest: int = 5) -> DataFrame:
     """doc_id, start, end, source_doc_id, source_start, source_end: maximal runs of words that an earlier document has first.
 
@@ -147,17 +171,11 @@ def first_occurrences(docs: DataFrame, length: int = 8, doc_id: str = "doc_id",
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for batch in batches:
-            ids, hashes, starts, ends = [], [], [], []
-            for row, t in enumerate(batch.column(1).to_pylist()):
-                for p, s, e in fingerprints(t, "word", length):
-                    ids.append(row)
-                    hashes.append(xxhash.xxh64_intdigest(p) - (1 << 63))
-                    starts.append(s)
-                    ends.append(e)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(hashes, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["doc_id", "print", "s", "e"])
+        for batch in pieces(batches):
+            parts = [hashed_runs(t, length) for t in batch.column(1).to_pylist()]
+            rows = pa.array(np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts]))
+            h, s, e = (np.concatenate([p[i] for p in parts]) for i in range(3))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(h), pa.array(s), pa.array(e)], ["doc_id", "print", "s", "e"])
 
     found = source.mapInArrow(prints, f"doc_id {kind}, print long, s int, e int")
     first = F.min(F.struct("doc_id", "s", "e")).alias("f")

@@ -58,6 +58,13 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches: as Python objects texts take several times their size, so few are held at once."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 class TextOperation:
     """A kernel from one segment to any number of rows; narrow, so it keeps the partitioning."""
 
@@ -74,7 +81,7 @@ class TextOperation:
         kernel, me, copied, schema = self.kernel, self.op_id, self.attrs_to_copy, arrow_schema(ANN)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in pieces(batches):
                 out = []
                 for r in batch.to_pylist():
                     seg = Segment(r["doc_id"], r["uid"], r["label"], r["text"], S.from_rows(r["spans"]), r["attrs"] or [])
@@ -123,7 +130,7 @@ class Filter:
         predicate, arguments = self.predicate, self.arguments
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in pieces(batches):
                 keep = [bool(predicate(Segment(r["doc_id"], r["uid"], r["label"], r["text"], S.from_rows(r["spans"]), r["attrs"] or []), **arguments)) for r in batch.to_pylist()]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 

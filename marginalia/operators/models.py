@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import spans as S
 from marginalia.functions.text import capitalized
-from marginalia.operators.kernel import Found, Segment, arrow_schema, attribute, build_row
+from marginalia.operators.kernel import Found, Segment, arrow_schema, attribute, build_row, pieces
 from marginalia.schema import ANN, op_id
 
 
@@ -34,7 +34,7 @@ class ModelOperation:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             predict = load()
-            for batch in batches:
+            for batch in pieces(batches):
                 rows, out = batch.to_pylist(), []
                 for i in range(0, len(rows), size):
                     part = rows[i : i + size]

@@ -192,3 +192,25 @@ def test_display(spark, ents):
     segments, entities = display.by_kind(ents(("d", "p", 0, 1), ("d", "q", 0, 1)), ["p"])
     assert segments.count() == 0 and entities.count() == 1
     assert ANN
+
+
+def test_artefacts(spark, tmp_path):
+    from marginalia.sources.artefacts import Registry, cached, describe
+
+    made = []
+
+    def build():
+        made.append(1)
+        return spark.range(3)
+
+    for p in ({"v": 1}, {"v": 1}, {"v": 2}):
+        assert cached(spark, str(tmp_path), "terms", p, build).count() == 3
+    assert len(made) == 2 and len(describe(str(tmp_path))) == 2
+    r = Registry()
+    r.add("/x", version="2021AB", lowercase=True)
+    assert r.get(lowercase=True, version="2021AB") == "/x"
+    with pytest.raises(KeyError):
+        r.get(version="2021AB", lowercase=False)
+    r.clear()
+    with pytest.raises(KeyError):
+        r.get(version="2021AB", lowercase=True)
