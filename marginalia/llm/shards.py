@@ -27,6 +27,8 @@ SHARD_BYTES, MIN_SHARDS = 64 << 20, 8
 #: Groups per shard that a source is cut into at least, and the slack of a shard's capacity.
 FINE, SLACK = 8, 0.02
 MAX_GROUPS = 200_000
+#: Rows of the placement up to which it is broadcast; beyond it the join shuffles.
+MAX_BROADCAST = 500_000
 
 
 def pack(sizes: np.ndarray, n_shards: int, slack: float = SLACK) -> np.ndarray:
@@ -76,4 +78,5 @@ def assign(docs: DataFrame, shard_bytes: int = SHARD_BYTES, min_shards: int = MI
     groups = cut.groupBy("owner", "part").agg(*sums).orderBy("owner", "part").toPandas()
     groups["shard"] = pack(groups[["bytes", "tokens", "rows"]].to_numpy(float), n_shards)
     placed = spark.createDataFrame(groups[["owner", "part", "shard"]], "owner string, part int, shard int")
-    return cut.join(F.broadcast(placed), ["owner", "part"]).select("doc_id", "source", "part", "shard", "bytes", "tokens")
+    placed = F.broadcast(placed) if len(groups) <= MAX_BROADCAST else placed
+    return cut.join(placed, ["owner", "part"]).select("doc_id", "source", "part", "shard", "bytes", "tokens")
