@@ -76,7 +76,8 @@ def replace(text: str, spans: list[AnySpan], ranges: list[tuple[int, int]], text
 
 
 def remove(text: str, spans: list[AnySpan], ranges: list[tuple[int, int]]) -> tuple[str, list[AnySpan]]:
-    return replace(text, spans, ranges, [""] * len(ranges))
+    nothing = [""] * len(ranges)
+    return replace(text, spans, ranges, nothing)
 
 
 def insert(text: str, spans: list[AnySpan], positions: list[int], texts: list[str]) -> tuple[str, list[AnySpan]]:

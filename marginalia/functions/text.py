@@ -64,14 +64,19 @@ def rewrite(text: str, spans: list, pattern: str, new: str, group: int | str = 0
     return S.replace(text, spans, found, [new] * len(found)) if found else (text, spans)
 
 
+#: One or more line ends, as a group.
+_BREAKS = r"(\r?\n[\n\r]*)"
+_SIGNS = {"-": " negatif ", "+": " positif "}
+
+
 def newlines_before_capital(text: str, spans: list) -> tuple[str, list]:
     """Several line ends before a capital or a digit become one."""
-    return rewrite(text, spans, rf"(\r?\n[\r\n]*)[\t\s]*[{DIGITS}{UPPER}]", "\n", 1)
+    return rewrite(text, spans, rf"{_BREAKS}\s*[{DIGITS}{UPPER}]", "\n", 1)
 
 
 def newlines_inside(text: str, spans: list) -> tuple[str, list]:
     """Line ends before a lower-case letter or punctuation become a space."""
-    return rewrite(text, spans, rf"(\r?\n[\r\n]*)[\t\s]*[{LOWER}{PUNCT}]", " ", 1)
+    return rewrite(text, spans, rf"{_BREAKS}\s*[{LOWER}{PUNCT}]", " ", 1)
 
 
 def clean_newlines(text: str, spans: list, keep: bool = False) -> tuple[str, list]:
@@ -85,7 +90,8 @@ def clean_blanks(text: str, spans: list) -> tuple[str, list]:
 
 def clean_parentheses(text: str, spans: list) -> tuple[str, list]:
     """(-) and (+) become words, long parentheses follow their sentence, short ones get commas."""
-    text, spans = rewrite(*rewrite(text, spans, r"\(-\)", " negatif "), r"\(\+\)", " positif ")
+    for sign, word in _SIGNS.items():
+        text, spans = rewrite(text, spans, re.escape(f"({sign})"), word)
     long = re.compile(r"\s*\(([^)(]{30,5000})\)\s*([^.]*)\.")
     while m := long.search(text):
         inner, inner_spans = S.extract(text, spans, [m.span(1)])

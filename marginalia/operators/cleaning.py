@@ -17,8 +17,8 @@ from marginalia.operators.kernel import Found, Segment, TextOperation
 PLAIN_CHARACTERS = {
     "œ": "oe", "Œ": "OE", "æ": "ae", "Æ": "AE", "’": "'", "‘": "'", "“": '"', "”": '"', "«": '"', "»": '"', "–": "-", "—": "-", "‐": "-", "…": "...", " ": " ", "­": "", "​": "", "¼": " 1/4 ", "½": " 1/2 ", "²": "2", "³": "3", "¨": "", "¥": "yen", "€": "euro", "·": " ", "•": "-",
 }
-TITLES = ("M", "Mme", "Mlle", "Mr", "Pr", "Dr", "Mde")
-BEFORE_POINT = ("de", "par", "le", "du", "la", "les", "des", "un", "une", "ou", "pour", "avec")
+TITLES = tuple("Dr M Mde Mlle Mme Mr Pr".split())
+BEFORE_POINT = tuple("avec de des du la le les ou par pour un une".split())
 AFTER_POINT = ("pour", "avec", "et")
 
 

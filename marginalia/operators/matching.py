@@ -30,9 +30,9 @@ class RegexpRule:
     term: str | None = None
     id: str | None = None
     version: str | None = None
-    index_extract: int = 0
-    case_sensitive: bool = True
     unicode_sensitive: bool = True
+    case_sensitive: bool = True
+    index_extract: int = 0
     exclusion: str | None = None
     norms: tuple[Norm, ...] = field(default=())
 
@@ -79,8 +79,8 @@ class RegexpMatcher(TextOperation):
 class TermRule:
     term: str
     label: str
-    case_sensitive: bool = False
     unicode_sensitive: bool = False
+    case_sensitive: bool = False
     norms: tuple[Norm, ...] = field(default=())
 
 
@@ -186,10 +186,26 @@ def ngram_candidates(texts: DataFrame, longest: int = 3, doc_id: str = "doc_id",
 
 # Terminologies.
 
-GROUPS = {
-    "ACTI": "activity", "ANAT": "anatomy", "CHEM": "chemical", "CONC": "concept", "DEVI": "device", "DISO": "disorder", "GENE": "genes_sequence", "GEOG": "geographic_area",
-    "LIVB": "living_being", "OBJC": "object", "OCCU": "occupation", "ORGA": "organization", "PHEN": "phenomenon", "PHYS": "physiology", "PROC": "procedure",
-}
+GROUPS = dict(
+    pair.split("=")
+    for pair in """
+    ACTI=activity
+    ANAT=anatomy
+    CHEM=chemical
+    CONC=concept
+    DEVI=device
+    DISO=disorder
+    GENE=genes_sequence
+    GEOG=geographic_area
+    LIVB=living_being
+    OBJC=object
+    OCCU=occupation
+    ORGA=organization
+    PHEN=phenomenon
+    PHYS=physiology
+    PROC=procedure
+    """.split()
+)
 
 
 def terminology_rules(entries: Iterable[dict], labels: dict[str, str] | None = None, groups: Iterable[str] | None = None, lowercase=True, normalize_unicode=False, version: str | None = None) -> list[TermRule]:

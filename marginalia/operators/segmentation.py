@@ -18,7 +18,7 @@ STRIPPED = ".;,?! \n\r\t"
 class SentenceTokenizer(TextOperation):
     """Sentences: lines, then runs between punctuation; a piece needs a word character."""
 
-    def __init__(self, output_label="sentence", punct_chars=(".", ";", "?", "!"), keep_punct=False, split_on_newlines=True, attrs_to_copy=()):
+    def __init__(self, output_label="sentence", punct_chars=tuple(".;?!"), keep_punct=False, split_on_newlines=True, attrs_to_copy=()):
         marks = "".join(map(re.escape, punct_chars))
         line, piece = re.compile(r" *([^\n\r]+) *([\n\r]+|$)"), re.compile(rf" *([^{marks}]+) *([{marks}]+|$)")
         word = re.compile(r"\w")
@@ -144,7 +144,7 @@ def rename_sections(matches: DataFrame, rule: RenameRule) -> DataFrame:
 class RuleSentenceTokenizer(TextOperation):
     """Sentences from end rules: (pattern, is_end); the last rule that matches at a mark decides."""
 
-    DEFAULT = ((r"[.!?…]+[\"')\]»]*(?=\s|$)", True), (r"\n\s*\n", True), (r"\b(?:M|Mme|Mlle|Mr|Mrs|Dr|Pr|St|cf|etc|vs|e\.g|i\.e)\.", False), (r"(?<=\d)\.(?=\d)", False), (r"\b[A-Z]\.(?=\s?[A-Z])", False))
+    DEFAULT = ((r"[.!?…]+[\"')\]»]*(?=\s|$)", True), (r"\n\s*\n", True), (r"\b(?:M|Mme|Mlle|Mr|Mrs|Dr|Pr|St|cf|etc|vs|e\.g|i\.e)\.", False), (r"(?<=[0-9])\.(?=[0-9])", False), (r"\b[A-Z]\.(?=\s?[A-Z])", False))
 
     def __init__(self, output_label="sentence", rules=DEFAULT, keep_newlines=True, attrs_to_copy=()):
         compiled = [(re.compile(p), end) for p, end in rules]

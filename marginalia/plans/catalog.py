@@ -56,7 +56,7 @@ SENTENCES_SQL = "list_filter(regexp_extract_all(text, ' *([^.;?!\\n\\r]+)', 1),
 
 
 def _rule(words: str, name: str) -> context.Rule:
-    return context.Rule(_word(words).replace(r"\p{L}\p{N}_", r"\w"), (), name, False, True)
+    return context.Rule(_word(words).replace(r"\p{L}\p{N}_", r"\w"), (), name, unicode_sensitive=True)
 
 
 def _sentences(docs: DataFrame) -> DataFrame:

@@ -130,7 +130,7 @@ def brat_value(value: str | None, value_type: str) -> str | None:
     return value or ""
 
 
-def document_lines(text: str, anns: list[dict], relations: list[dict], labels: set[str] | None = None, attr_names: set[str] | None = None, notes_label: str = "brat_note", ignore_segments: bool = True, cuis_to_notes: bool = True) -> list[str]:
+def document_lines(text: str, anns: list[dict], relations: list[dict], labels: set[str] | None = None, attr_names: set[str] | None = None, ignore_segments: bool = True, notes_label: str = "brat_note", cuis_to_notes: bool = True) -> list[str]:
     """The .ann lines of one document; relations with a missing end are left out."""
     out, number, names = [], Counter(), {}
     for a in anns:
@@ -205,7 +205,8 @@ def configuration(anns: DataFrame, relations: DataFrame | None = None, top: int
     """annotation.conf: entity types, relations with the types of their ends, attributes with their most frequent values."""
     entities = anns.where("kind = 'entity'")
     types = sorted(r[0].replace(" ", "_") for r in entities.select("label").distinct().collect())
-    lines = ["[entities]", "", *types, "", "[relations]", "", "# what to display overlapping", "<OVERLAP>\tArg1:<ENTITY>, Arg2:<ENTITY>, <OVL-TYPE>:<ANY>"]
+    any_ = "<ENTITY>"
+    lines = ["[entities]", "", *types, "", "[relations]", "", f"<OVERLAP>\tArg1:{any_}, Arg2:{any_}, <OVL-TYPE>:<ANY>"]
     if relations is not None:
         label = lambda name: entities.select(F.col("uid").alias(name), F.col("label").alias(name + "_l"))
         ends = relations.join(label("source_id"), "source_id").join(label("target_id"), "target_id")

@@ -74,7 +74,8 @@ LINES = ["The heart sounds are regular today", "Nothing else was seen by the tea
 
 @pytest.fixture
 def notes(spark):
-    rows = [("p", "d1", "\n".join(LINES[:3]), "2001"), ("p", "d2", "\n".join([LINES[0], LINES[2], LINES[3]]), "2002"), ("p", "d3", "\n".join([LINES[0], LINES[2], LINES[4]]), "2003"), ("q", "d4", LINES[0], "2009")]
+    note = lambda *picked: "\n".join(LINES[i] for i in picked)
+    rows = [("p", "d1", note(0, 1, 2), "2001"), ("p", "d2", note(0, 2, 3), "2002"), ("p", "d3", note(0, 2, 4), "2003"), ("q", "d4", note(0), "2009")]
     return spark.createDataFrame(rows, "collection_id string, doc_id string, text string, day string")
 
 
