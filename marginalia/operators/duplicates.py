@@ -178,10 +178,12 @@ def first_occurrences(docs: DataFrame, length: int = 8, doc_id: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(h), pa.array(s), pa.array(e)], ["doc_id", "print", "s", "e"])
 
     found = source.mapInArrow(prints, f"doc_id {kind}, print long, s int, e int")
-    first = F.min(F.struct("doc_id", "s", "e")).alias("f")
-    # The first place of a print is an aggregate with map-side combine; a print of one document alone needs no join partner.
-    origin = found.groupBy("print").agg(first, F.max("doc_id").alias("last")).where("f.doc_id < last").select("print", "f")
-    hits = found.join(origin, "print").where("doc_id > f.doc_id").select("doc_id", "s", "e", F.col("f.doc_id").alias("source_doc_id"), F.col("f.s").alias("ss"), F.col("f.e").alias("se"), (F.col("f.s") - F.col("s")).alias("diagonal"))
+    # A hash aggregate with map-side combine finds the prints of several documents; only their rows go further.
+    origin = found.groupBy("print").agg(F.min("doc_id").alias("source_doc_id"), F.max("doc_id").alias("last")).where("source_doc_id < last").drop("last")
+    shared = found.join(origin, "print")
+    # In one document the first start and the first end belong to the same run.
+    firsts = shared.where("doc_id = source_doc_id").groupBy("print").agg(F.min("s").alias("ss"), F.min("e").alias("se"))
+    hits = shared.where("doc_id > source_doc_id").join(firsts, "print").withColumn("diagonal", F.col("ss") - F.col("s"))
     order = Window.partitionBy("doc_id", "source_doc_id", "diagonal").orderBy("s")
     gap = (F.lag("e").over(order).isNull() | (F.col("s") > F.lag("e").over(order))).cast("int")
     islands = hits.withColumn("g", gap).withColumn("island", F.sum("g").over(order))

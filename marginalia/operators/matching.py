@@ -171,9 +171,10 @@ def fuzzy_join(candidates: DataFrame, terms: DataFrame, threshold: float = 0.9,
 
     left, right = side(candidates, text, "c_text"), side(terms, term, "c_term")
     near = (F.col("c_text_n") * threshold <= F.col("c_term_n")) & (F.col("c_term_n") * threshold <= F.col("c_text_n"))
-    pairs = left.join(right, "gram").where(near).dropDuplicates(["c_text", "c_term"])
+    # Scored where they meet: only pairs over the threshold are shuffled to drop repeats.
     score = F.round(T.similarity_column(F.col("c_text_grams"), F.col("c_term_grams")), 6)
-    return pairs.withColumn("score", score).where(F.col("score") >= threshold).select(F.col("c_text").alias(text), F.col("c_term").alias(term), "score")
+    pairs = left.join(right, "gram").where(near).select("c_text", "c_term", score.alias("score")).where(F.col("score") >= threshold)
+    return pairs.distinct().select(F.col("c_text").alias(text), F.col("c_term").alias(term), "score")
 
 
 def ngram_candidates(texts: DataFrame, longest: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

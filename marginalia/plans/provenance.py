@@ -11,6 +11,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.plans.tables import written
+
 EDGE = "item_uid string, op_id string, source_uid string, kind string"
 
 
@@ -62,9 +64,9 @@ def roots(edges: DataFrame, depth: int) -> DataFrame:
     """item_uid, root_uid: the items without an origin that each item comes from.
 
     `depth` is the number of steps of the plan, which bounds every path: so many self-joins,
-    no recursion.
+    no recursion.  The edges are written once, as every hop reads them.
     """
-    step = edges.where("source_uid IS NOT NULL").select("item_uid", "source_uid").distinct()
+    step = written(edges.where("source_uid IS NOT NULL").select("item_uid", "source_uid").distinct(), "edges")
     reach = step.select("item_uid", F.col("source_uid").alias("at"))
     hop = step.select(F.col("item_uid").alias("at"), F.col("source_uid").alias("next"))
     for _ in range(max(depth - 1, 0)):
