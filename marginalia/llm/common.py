@@ -7,6 +7,7 @@ no per-row Python loop is needed to count, hash or compare words.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -89,9 +90,19 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - offs[0]
 
 
+def give_back() -> None:
+    """Return free memory to the system: a worker that is used again otherwise keeps the peak of every earlier kernel."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: its allocator decides itself
+        pass
+
+
 def sliced(batches: Iterator[pa.RecordBatch], column: str | int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of about `limit` bytes of text; a longer text is a piece of its own."""
     for batch in batches:
+        give_back()
         n = batch.num_rows
         if n == 0:
             continue
@@ -104,6 +115,7 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str | int, limit: int = SL
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    give_back()
 
 
 class Tokens:

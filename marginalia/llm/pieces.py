@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from marginalia.llm.common import buffers, fresh, segment_sum, sliced, text_array
 
 NBEST = 3
-SLICE = 2 << 20
+SLICE = 1 << 20
 _BYTE_COST = 12.0
 
 
