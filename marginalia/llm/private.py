@@ -7,11 +7,12 @@ a mention, the corpus gives
 
     PMI(e; t) = log2 p(e, t) / (p(e) p(t))
 
-and t discloses e when PMI(e; t) >= ALPHA * IC(e), IC(e) = -log2 p(e) (ALPHA = 1: t never
-occurs without e).  p counts documents with distinct text.  An estimate needs MIN_SUPPORT
-distinct contexts of e with t; an entity with fewer contexts can't have such a term, so it is
-pruned before any pair is formed.  In documents that mention e its disclosing terms are
-generalised (digits to [NUMBER], capitalised words to [NAME]) or, other words, removed.
+and t discloses e when PMI(e; t) >= ALPHA * IC(e), IC(e) = -log2 p(e): t gives away at least
+that part of what e says.  p counts documents with distinct text; p(t) counts SMOOTHING more
+than have t, so that a term isn't taken for rare because the corpus is small.  Every entity's
+terms are estimated, also those of an entity with one mention: there t discloses when at most
+sqrt(N) - SMOOTHING of N documents have it.  In documents that mention e its disclosing terms
+are generalised (digits to [NUMBER], capitalised words to [NAME]) or, other words, removed.
 
 The three passes are: contexts of mentions (only documents with one), document frequency of
 candidate terms (over all documents), and rewriting.
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.common import materialize, sliced
 
-WINDOW, ALPHA, MIN_SUPPORT = 8, 1.0, 3
+WINDOW, ALPHA, SMOOTHING = 8, 0.5, 7
 #: Disclosing (entity, term) pairs up to which they travel with the kernel; beyond it they are joined by document.
 MAX_PAIRS = 200_000
 
@@ -119,7 +120,7 @@ def _rewrite(text: str, found: list[tuple[int, int, str, str]], bad: set[str]) -
     return "".join(parts), len(found), hidden
 
 
-def disclosing_terms(docs: DataFrame, window: int = WINDOW, alpha: float = ALPHA, min_support: int = MIN_SUPPORT, text: str = "text") -> DataFrame:
+def disclosing_terms(docs: DataFrame, window: int = WINDOW, alpha: float = ALPHA, smoothing: int = SMOOTHING, text: str = "text") -> DataFrame:
     """entity, term, pmi, ic of the terms that reveal an entity at or over the threshold."""
     source = docs.select(F.col(text).alias("text")).where("text IS NOT NULL")
 
@@ -134,28 +135,31 @@ def disclosing_terms(docs: DataFrame, window: int = WINDOW, alpha: float = ALPHA
             yield pa.RecordBatch.from_arrays([pa.array(e, pa.string()), pa.array(c, pa.string()), pa.array(d, pa.int64())], ["entity", "context", "doc"])
 
     found = materialize(source.mapInArrow(mentions, "entity string, context string, doc long"), "mentions")
-    per_entity = found.groupBy("entity").agg(F.countDistinct("doc").alias("n_e"), F.countDistinct("context").alias("c_e"))
-    able = per_entity.where(F.col("c_e") >= min_support)
+    per_entity = found.groupBy("entity").agg(F.countDistinct("doc").alias("n_e"))
     pairs = (
-        found.join(able.select("entity", "n_e"), "entity")
+        found.join(per_entity, "entity")
         .withColumn("term", F.explode(F.array_distinct(F.split("context", " "))))
         .where("term <> ''")
         .groupBy("entity", "n_e", "term")
-        .agg(F.countDistinct("doc").alias("n_et"), F.countDistinct("context").alias("c_et"))
-        .where(F.col("c_et") >= min_support)
+        .agg(F.countDistinct("doc").alias("n_et"))
     )
     pairs = materialize(pairs, "pairs")
     if not pairs.limit(1).count():
         return pairs.select("entity", "term", F.lit(0.0).alias("pmi"), F.lit(0.0).alias("ic"))
-    # Document frequency of the candidate terms over all documents with distinct text.
+    # Document frequency of the candidate terms over all documents with distinct text: each of m copies counts 1 / m.
     wanted = pairs.select("term").distinct()
-    seen = source.select(F.xxhash64("text").alias("doc"), F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term"))
+    hashed = source.select(F.xxhash64("text").alias("h"))
+    copies = materialize(hashed.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "copies")
+    again = copies.agg(F.count("*"), F.sum("m")).collect()[0]
+    total = hashed.count() - (again[1] or 0) + again[0]
+    copies = F.broadcast(copies) if again[0] <= MAX_PAIRS else copies
+    seen = source.withColumn("h", F.xxhash64("text")).join(copies, "h", "left")
+    seen = seen.select((F.lit(1.0) / F.coalesce("m", F.lit(1))).alias("w"), F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term"))
     wanted = F.broadcast(wanted) if wanted.limit(MAX_PAIRS + 1).count() <= MAX_PAIRS else wanted
-    frequency = seen.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    total = source.select(F.xxhash64("text").alias("h")).distinct().count()
+    frequency = seen.join(wanted, "term", "left_semi").groupBy("term").agg(F.round(F.sum("w")).alias("n_t"))
     n = F.lit(float(max(total, 1)))
-    scored = pairs.join(frequency, "term").select(
-        "entity", "term", F.log2(F.col("n_et") * n / (F.col("n_e") * F.greatest("n_t", "n_et"))).alias("pmi"), F.log2(n / F.col("n_e")).alias("ic")
+    scored = pairs.join(frequency, "term", "left").select(
+        "entity", "term", F.log2(F.col("n_et") * n / (F.col("n_e") * (F.greatest("n_t", "n_et") + smoothing))).alias("pmi"), F.log2(n / F.col("n_e")).alias("ic")
     )
     return scored.where(F.col("pmi") >= alpha * F.col("ic") - 1e-9)
 

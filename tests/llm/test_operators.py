@@ -111,6 +111,15 @@ def test_terms_that_reveal_an_entity(spark, monkeypatch):
     assert joined.text.to_dict() == out.text.to_dict()
 
 
+def test_terms_beside_an_entity_with_one_mention(spark):
+    rng = random.Random(6)
+    rows = [(i, f"the {words(rng, 20)}", "en", "a", 1) for i in range(300)]
+    rows += [(500, "the parcel of Zorblax went to ann@mail.org on the day", "en", "a", 1), (501, f"{words(rng, 20)} the Zorblax {words(rng, 20)}", "en", "a", 1)]
+    out = private.sanitise_documents(make(spark, rows + rows[:50]), counts=True).toPandas().set_index("doc_id")
+    assert "Zorblax" not in out.text[500] and "[NAME]" in out.text[500] and out.text[500].count("the ") == 2
+    assert out.text[501] == rows[-1][1] and out.n_terms[500] == 7
+
+
 def test_repeats_on_odd_rows(spark, odd, none):
     out = substrings.remove_repeats(odd)
     assert ids(out) == ALL and out.agg(F.sum("removed")).collect()[0][0] == 0
