@@ -182,6 +182,18 @@ def test_entities_and_rewriting():
         assert private.sanitise(clean)[0] == clean
 
 
+@pytest.mark.parametrize(
+    "value",
+    [
+        "password: x", "a@b.c", "AKIAABCDEFGHIJKL", "sk-abcdefghijklmnop", "ghp_abcdefghijklmnop", "AB12ABCDEFGHIJKL", "AB12 ABCD EFGH IJKL", "+33 6 12 34 56 78", "+45 12 34 56 78", "+1(2)34 56",
+        "(212) 555-0123", "212-555-0123", "1.2.3.4", "123-45-6789", "12 34 56 78 90 12 34", "1-2-3-4-5-6-7-8-9-0-1-2-3", "1234567890123",
+    ],
+)
+def test_every_entity_has_a_hint(value):
+    found = private.entities(f"to {value} of")
+    assert found and private.HINT.search(value) and private.sanitise(f"to {value} of")[1] == 1
+
+
 def test_disclosing_terms_are_generalised_or_removed():
     new, _, hidden = private.sanitise("Zorro wrote zed 77x from a@b.org", {"EMAIL:a@b.org": ["zorro", "zed", "77x"]})
     assert new == "[NAME] wrote  [NUMBER] from [EMAIL]" and hidden == 3
