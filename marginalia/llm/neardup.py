@@ -11,7 +11,7 @@ finds exactly the links that connect components without writing n * n / 2 pairs.
 the connected components over all buckets.
 
 Texts with equal signatures are collapsed before the join, so thousands of copies cost one
-row.  Bigrams of short words (function words) only enter a lane when a text has no other.
+row.  Every bigram of a text enters every lane, so lanes agree as often as the sets of bigrams overlap.
 
 Defined results: null, empty and word-less texts are in no group and stay.  A one-word text
 counts that word as its bigram.  The document that stays is the one with the lowest id
@@ -31,8 +31,6 @@ from pyspark.sql import functions as F
 from marginalia.llm.common import Tokens, fresh, hash_strings, lowered, materialize, mix, row_key, sliced, text_array
 
 LANES, BITS, CHUNKS, RADIUS = 64, 8, 14, 27
-#: A bigram of words that together have fewer letters than this is a common one.
-COMMON_LENGTH = 8
 #: Up to this many links one task joins the components; beyond it label propagation does. Both are exact.
 LINKS_IN_ONE_TASK = 4_000_000
 
@@ -57,25 +55,21 @@ def signatures(column: pa.Array, lanes: int = LANES, bits: int = BITS) -> tuple[
     if not len(codes):
         return out, has
     h = hash_strings(words)[codes]
-    size = (tokens.ends - tokens.starts).astype(np.int64)
     last = np.zeros(len(h), bool)
     last[tokens.first[1:][has] - 1] = True
-    h2, size2 = np.append(h[1:], np.uint64(0)), np.append(size[1:], 0)
+    h2 = np.append(h[1:], np.uint64(0))
     gram = mix(h * np.uint64(3) + np.where(last, np.uint64(0), h2 * np.uint64(5)))
     # The pair that would cross into the next text is left out, unless it is a text's only word.
     single = last & (np.repeat(np.diff(tokens.first), np.diff(tokens.first)) == 1)
     use = ~last | single
-    gram, common = (gram[use] >> np.uint64(32)).astype(np.uint32), ((size + size2) < COMMON_LENGTH)[use]
+    gram = (gram[use] >> np.uint64(32)).astype(np.uint32)
     count = np.where(has, np.maximum(np.diff(tokens.first) - 1, 1), 0)
     starts = np.cumsum(count) - count
-    high = common.astype(np.uint32) << np.uint32(31)
     full = np.flatnonzero(has)
     mask = np.uint32((1 << bits) - 1)
     for k in range(lanes):
         v = gram * _A[k]
         v += _B[k]
-        v >>= np.uint32(1)
-        v |= high
         low = np.minimum.reduceat(v, starts[full])
         out[full, k] = (mix(low.astype(np.uint64)) & np.uint64(mask)).astype(dtype)
     return out, has

@@ -216,6 +216,14 @@ def test_groups_against_brute_force(spark, limit, monkeypatch):
     assert got == {i: (low, label.count(low)) for i, low in enumerate(label)}
 
 
+def test_tables_with_one_header_stay_apart(spark):
+    """Texts that share long words and differ in short ones are no near duplicates."""
+    rng = random.Random(4)
+    header = "quarterly production figures for the northern plant in tonnes"
+    rows = [(i, f"{header} {' '.join(str(rng.randrange(10, 100)) for _ in range(500))}", "en", "a", 1) for i in range(8)]
+    assert all(r["keep"] and r["group_size"] == 1 for r in neardup.groups(make(spark, rows)).collect())
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(0, 40)] + [(100, 101), (101, 102)], "a long, b long")
     for limit in (10**6, 0):
