@@ -53,7 +53,10 @@ def candidates(q: np.ndarray, norm: float, theta: float, vectors: np.ndarray, no
         c = direction[f]
         spread = math.sqrt(max(1 - t * t, 0)) * math.sqrt(max(1 - c * c, 0)) + 1e-9
         col = unit[f, :long] if keep is None else unit[f, keep]
-        good = np.flatnonzero((col >= c * t - spread) & ((col <= c * t + spread) | (col * c >= 0)))
+        # Within the angle of t around q lies the axis itself where c > t, and its opposite where c < -t.
+        low = -2.0 if c < -t + 1e-9 else c * t - spread
+        high = 2.0 if c > t - 1e-9 else c * t + spread
+        good = np.flatnonzero((col >= low) & (col <= high))
         keep = good if keep is None else keep[good]
     return keep
 

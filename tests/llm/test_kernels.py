@@ -338,6 +338,26 @@ def test_pruning_loses_no_vector(theta):
 # language
 
 
+@pytest.mark.parametrize("sign", [-1, 1])
+def test_pruning_keeps_vectors_near_an_axis(sign):
+    q, v = np.array([sign * 0.95, 0.312]), np.array([[sign * 0.99, 0.141]])
+    norms = np.sqrt((v * v).sum(1))
+    unit = (v / norms[:, None]).T
+    norm = np.sqrt(q @ q)
+    assert nearest.candidates(q, norm, 0.8 * norm * norms[0], v, norms, unit).tolist() == [0]
+    rng = np.random.default_rng(12)
+    for _ in range(60):
+        v = rng.normal(size=(200, 4)) * 0.2
+        v[np.arange(200), rng.integers(0, 4, 200)] += sign
+        norms = np.sqrt((v * v).sum(1))
+        v, norms = v[np.argsort(-norms)], np.sort(norms)[::-1]
+        q = rng.normal(size=4) * 0.3
+        q[rng.integers(0, 4)] += sign
+        theta = np.sqrt(q @ q) * norms[0] * rng.uniform(0.75, 0.99)
+        kept = nearest.candidates(q, np.sqrt(q @ q), theta, v, norms, (v / norms[:, None]).T)
+        assert set(np.flatnonzero(v @ q >= theta)) <= set(kept.tolist())
+
+
 def test_word_first_backoff():
     counts = {("en", "the"): 50, ("en", "thing"): 9, ("en", "there"): 9, ("fr", "les"): 50, ("fr", "eau"): 9, ("fr", "beau"): 9}
     model = language.Model(counts)

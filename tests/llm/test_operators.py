@@ -264,6 +264,19 @@ def test_top_products_against_brute_force(spark):
     assert nearest.top_products(df.limit(0)).count() == 0
 
 
+def test_top_products_of_vectors_near_the_axes(spark):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(400, 4)) * 0.15
+    v[np.arange(400), rng.integers(0, 4, 400)] += rng.choice([-1.0, 1.0], 400)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest.top_products(df, 3, 40).collect():
+        got.setdefault(r["vec_id"], {})[r["rank"]] = r["neighbor_id"]
+    product = v @ v.T
+    np.fill_diagonal(product, -np.inf)
+    assert got == {i: dict(enumerate(np.argsort(-product[i])[:3].tolist(), 1)) for i in range(400)}
+
+
 def test_matches_on_odd_rows(spark, odd, none):
     items = spark.createDataFrame([(1, "never there at all, not once"), (2, None), (3, ""), (None, "word"), (4, "twice the same row twice the same row twice")], "item_id long, text string")
     got = decontaminate.matches(odd, items)
