@@ -2,10 +2,11 @@
 
 Texts are encoded once into piece ids, kept as a table in the shared folder.  Piece counts over
 all documents give the output classes (frequent pieces have their own, the others share
-classes of about equal mass) and the probability of a piece in its class.  One window in
-TRAIN_ONE_IN, by hash, of every document goes to trainers: each trains a replica with Adam
-from the same start, replicas are averaged by their windows, and the next round starts from
-the average.  What is gathered is in proportion to the input.
+classes of about equal mass) and the probability of a piece in its class.  All windows
+of all documents train the model (TRAIN_ONE_IN = 1): documents are dealt to replicas by hash,
+each replica goes through its windows with Adam from the same start, replicas are averaged by
+their windows, and the next round starts from the average.  Both the replicas and the steps of
+each grow with the square root of the input, so more text means more fitting.
 
 Scoring: a text is cut into windows of WINDOW inputs that overlap by OVERLAP; the first scores
 all its targets, each other only those past the overlap, so every token is scored once, with
@@ -20,6 +21,7 @@ whose output is the class frequencies.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +33,11 @@ from marginalia.llm.common import materialize, mix, row_key, sliced, text_array
 from marginalia.llm.pieces import SLICE, Vocabulary, encode_batch
 
 WINDOW, OVERLAP, WIDTH, HIDDEN, CLASSES, INPUTS = 32, 8, 16, 32, 128, 4096
-TRAIN_ONE_IN, ROUNDS, BATCH, RATE = 64, 2, 64, 4e-3
-#: Windows for one replica, about; replicas grow with the input.
+TRAIN_ONE_IN, ROUNDS, BATCH, RATE = 1, 2, 64, 4e-3
+#: Windows of one replica where there are no more; n times as many make sqrt(n) replicas.
 WINDOWS_PER_REPLICA = 8192
+#: Bytes of piece ids whose windows are put in an order by hash together.
+POOL = 1 << 20
 ROUND = 4
 SHAPES = {
     "E": (INPUTS + 1, WIDTH), "P": (WINDOW, WIDTH), "A": (WIDTH, 3 * WIDTH), "O": (WIDTH, WIDTH),
@@ -256,37 +260,33 @@ def count_pieces(tokens: DataFrame, size: int) -> np.ndarray:
 
 def train(tokens: DataFrame, cls: np.ndarray, bias: np.ndarray, one_in: int = TRAIN_ONE_IN, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
     model = start(bias)
+    size = F.length("ids") / 2
+    count = F.when(size > 0, F.greatest(F.ceil((size - WINDOW) / (WINDOW - OVERLAP)), F.lit(0)) + 1)
+    n = -(-(tokens.agg(F.sum(count)).collect()[0][0] or 0) // one_in)
+    if not n:
+        return model
+    replicas = math.ceil(math.sqrt(n / WINDOWS_PER_REPLICA))
+    dealt = tokens.select("key", "ids").repartition(replicas, "key").sortWithinPartitions("key", "ids")
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def pools(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        """Inputs, targets and real targets of BATCH windows at a time; a pool's windows in the order of their hashes."""
+        for batch in sliced(batches, 1, POOL):
             flat, offs = _ids(batch, 1)
             text, begin, _ = windows(np.diff(offs))
             key = np.asarray(batch.column(0)).view(np.uint64)[text]
             h = mix(key + begin.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             use = np.flatnonzero(h % np.uint64(one_in) == 0)
-            if not len(use):
-                continue
-            inputs, targets, real = gather(flat, offs, text[use], begin[use])
-            parts = [np.concatenate([i, t, r]).astype(np.uint16).tobytes() for i, t, r in zip(inputs, targets, real)]
-            yield pa.RecordBatch.from_arrays([pa.array((h[use] >> np.uint64(1)).astype(np.int64)), pa.array(parts, pa.binary())], ["h", "window"])
-
-    chosen = materialize(tokens.select("key", "ids").mapInArrow(pick, "h long, window binary"), "windows")
-    n = chosen.count()
-    if not n:
-        return model
-    replicas = -(-n // WINDOWS_PER_REPLICA)
-    chosen = materialize(chosen.repartition(replicas, "h").sortWithinPartitions("h", "window"), "replicas")
+            use = use[np.argsort(h[use], kind="stable")]
+            for a in range(0, len(use), BATCH):
+                yield gather(flat, offs, text[use[a : a + BATCH]], begin[use[a : a + BATCH]])
 
     for _ in range(rounds):
 
         def fit(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
             trainer, seen = Trainer(model), 0
-            for batch in batches:
-                data = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint16).reshape(-1, 3, WINDOW).astype(np.int64)
-                for a in range(0, len(data), BATCH):
-                    part = data[a : a + BATCH]
-                    trainer.step(part[:, 0], cls[part[:, 1]], part[:, 2].astype(bool))
-                seen += len(data)
+            for inputs, targets, real in pools(batches):
+                trainer.step(inputs, cls[targets], real)
+                seen += len(inputs)
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([to_bytes(trainer.m)], pa.binary())], ["n", "weights"])
 
@@ -299,11 +299,13 @@ def train(tokens: DataFrame, cls: np.ndarray, bias: np.ndarray, one_in: int = TR
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([(total / seen).astype(np.float32).tobytes()], pa.binary())], ["n", "weights"])
 
-        found, left = chosen.select("window").mapInArrow(fit, "n long, weights binary"), replicas
+        found, left = dealt.mapInArrow(fit, "n long, weights binary"), replicas
         while left > 1:  # averaged in a tree, so that no task gets more than 32 replicas
             left = -(-left // 32)
             found = found.repartition(left).mapInArrow(add, "n long, weights binary")
         rows = found.collect()
+        if not rows:
+            return model
         total = sum(r["n"] for r in rows)
         model = from_vector(sum(np.frombuffer(r["weights"], np.float32).astype(np.float64) * (r["n"] / total) for r in rows))
     return model

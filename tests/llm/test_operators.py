@@ -184,6 +184,17 @@ def test_model_beats_piece_frequencies(spark):
     assert trained > plain * 0.99
 
 
+def test_few_windows_train_the_model(spark):
+    rng = random.Random(5)
+    docs = make(spark, [(i, words(rng, 40), "en", "a", 1) for i in range(3)])
+    tokens = lm.tokenise(docs, lm.Vocabulary(None), "doc_id", "text").cache()
+    flat = [len(r["ids"]) // 2 for r in tokens.collect()]
+    n = len(lm.windows(np.array(flat))[0])
+    cls, bias = np.zeros(32000, np.int64), np.zeros(lm.CLASSES)
+    model = lm.train(tokens, cls, bias)
+    assert n < 64 and not np.array_equal(model["U"], lm.start(bias)["U"])
+
+
 def test_groups_on_odd_rows(spark, odd, none):
     out = neardup.groups(odd)
     got = {r["doc_id"]: r for r in out.collect()}
