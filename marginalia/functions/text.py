@@ -42,11 +42,11 @@ def to_ascii(text: str, keep_length: bool = True) -> str:
     return "".join(f if len(f) == 1 else c for c, f in zip(text, folded))
 
 
-def strip_range(text: str, start: int, end: int, chars: str | None = None) -> tuple[int, int]:
-    """The range without the characters at its ends."""
+def strip_range(text: str, start: int, end: int, left: str | None = None, right: str | None = None) -> tuple[int, int]:
+    """The range without the given characters (white space, if none are given) at its start and at its end."""
     piece = text[start:end]
-    left = len(piece) - len(piece.lstrip(chars))
-    return start + left, max(start + left, start + len(piece.rstrip(chars)))
+    skipped = len(piece) - len(piece.lstrip(left))
+    return start + skipped, max(start + skipped, start + len(piece.rstrip(right)))
 
 
 def strip_columns(text: Column, start: Column, chars: str = r"\s") -> tuple[Column, Column, Column]:

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia import data
 from marginalia.functions.patterns import to_java
 from marginalia.functions.text import _EXTRA, _fold
 from marginalia.schema import ATTR, op_id, uid_column
@@ -87,41 +88,28 @@ class ContextDetector:
         return found.withColumn("attrs", F.concat(F.coalesce("attrs", none), F.array(attr).cast(f"array<{ATTR}>"))).drop("reason_key", "reason", "flag")
 
 
-NEGATION_RULES = (
-    Rule(r"\bpas\s+(?:d[e'\s]|evident|retrouv|eu\b)", (r"\bpas\s+(?:seulement|que)\b", r"\bn'est\s+pas\s+exclu"), "fr_pas"),
-    Rule(r"\b(?:sans|absence\s+d[e'\s]|aucun[e]?s?)\b", (r"\bsans\s+doute\b",), "fr_sans"),
-    Rule(r"\b(?:nie|exclu[te]?e?s?|elimin\w+)\b", (r"\bne\s+peut\s+etre\s+exclu",), "fr_exclu"),
-    Rule(r"\b(?:no|not|without|denies|denied|negative\s+for|absence\s+of)\b", (r"\bnot\s+only\b", r"\bno\s+doubt\b"), "en_no"),
-)
-FAMILY_RULES = (
-    Rule(r"\b(?:mere|pere|frere|soeur|tante|oncle|grand[- ]?(?:mere|pere)|cousine?|fils|fille)s?\b", (r"\bjeune\s+fille\b", r"\bmere\s+porteuse\b"), "fr_kin"),
-    Rule(r"\b(?:antecedents?\s+familiaux|familial\w*)\b", (), "fr_familial"),
-    Rule(r"\b(?:mother|father|brother|sister|aunt|uncle|grand(?:mother|father)|cousin|family\s+history)s?\b", (), "en_kin"),
-)
-HYPOTHESIS_RULES = (
-    Rule(r"\b(?:hypothese|suspicion|possible|probable|eventuel\w*|peut[- ]etre)\b", (r"\bpas\s+possible\b",), "fr_hypothesis"),
-    Rule(r"\b(?:si|en\s+cas\s+de|a\s+confirmer)\b", (), "fr_if"),
-    Rule(r"\b(?:suspected|suspicion|possible|possibly|probable|likely|rule\s+out|if)\b", (r"\bnot\s+possible\b",), "en_hypothesis"),
-)
-HYPOTHESIS_VERBS = {"pouvoir": ["pourrait", "pourraient", "pourra"], "devoir": ["devrait", "devraient"], "suggest": ["suggests", "suggesting"], "may": ["may", "might", "could"]}
+def default_rules(name: str) -> list[Rule]:
+    """The rules of a set that comes with the package: negation, family or hypothesis."""
+    rows = data.load(name)
+    return [Rule(r["regexp"], tuple(r.get("exclusion_regexps") or ()), r["id"]) for r in (rows["rules"] if isinstance(rows, dict) else rows)]
 
 
 class NegationDetector(ContextDetector):
-    def __init__(self, output_label="negation", rules: Iterable[Rule] = NEGATION_RULES):
-        super().__init__(output_label, rules, "NegationDetector")
+    def __init__(self, output_label="negation", rules: Iterable[Rule] | None = None):
+        super().__init__(output_label, default_rules("negation") if rules is None else rules, "NegationDetector")
 
 
 class FamilyDetector(ContextDetector):
-    def __init__(self, output_label="family", rules: Iterable[Rule] = FAMILY_RULES):
-        super().__init__(output_label, rules, "FamilyDetector")
+    def __init__(self, output_label="family", rules: Iterable[Rule] | None = None):
+        super().__init__(output_label, default_rules("family") if rules is None else rules, "FamilyDetector")
 
 
 class HypothesisDetector(ContextDetector):
     """Verb forms first, then rules; segments longer than max_length are never hypotheses."""
 
-    def __init__(self, output_label="hypothesis", rules: Iterable[Rule] = HYPOTHESIS_RULES, verbs: dict[str, list[str]] | None = None, modes_and_tenses: Iterable[tuple[str, str]] = (), max_length=150):
-        super().__init__(output_label, rules, "HypothesisDetector")
-        verbs = HYPOTHESIS_VERBS if verbs is None else verbs
+    def __init__(self, output_label="hypothesis", rules: Iterable[Rule] | None = None, verbs: dict[str, list[str]] | None = None, modes_and_tenses: Iterable[tuple[str, str]] = (), max_length=150):
+        super().__init__(output_label, default_rules("hypothesis") if rules is None else rules, "HypothesisDetector")
+        verbs = data.hypothesis_verbs() if verbs is None else verbs
         wanted = tuple(modes_and_tenses)
         # A verb's forms are a list, or lists by mood and tense.
         pick = lambda forms: [f for mood, tense in wanted for f in forms.get(mood, {}).get(tense, [])] if isinstance(forms, dict) else forms
@@ -131,11 +119,12 @@ class HypothesisDetector(ContextDetector):
     def why(self, text: Column, ascii_text: Column) -> tuple[Column, Column]:
         import re
 
+        holds = lambda forms: text.rlike(to_java(rf"\b(?:{'|'.join(map(re.escape, forms))})\b", True))
         verb: Column | None = None
         for name, forms in self.verbs.items():
-            hit = text.rlike(to_java(rf"\b(?:{'|'.join(map(re.escape, forms))})\b", True))
-            verb = F.when(hit, F.lit(name)) if verb is None else verb.when(hit, F.lit(name))
-        verb = F.lit(None).cast("string") if verb is None else verb
+            verb = F.when(holds(forms), F.lit(name)) if verb is None else verb.when(holds(forms), F.lit(name))
+        # One pass for all forms first: few texts hold any.
+        verb = F.lit(None).cast("string") if verb is None else F.when(holds([f for forms in self.verbs.values() for f in forms]), verb)
         able = (F.length(text) <= self.max_length) & text.rlike("(?i)[a-z]")
         verb, rule = F.when(able, verb), F.when(able, first_rule(text, ascii_text, self.rules))
         return F.when(verb.isNotNull(), "matched_verb").otherwise("rule_id"), F.coalesce(verb, rule)

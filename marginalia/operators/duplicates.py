@@ -15,8 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.operators.kernel import Found, Segment, arrow_schema, attribute, build_row, pieces
+from marginalia.operators.kernel import Found, Rows, Segment, attribute, pieces
 from marginalia.functions.spans import Span
+from marginalia.plans.tables import written
 from marginalia.schema import ANN, make_uid, op_id
 
 _WORD, _SOLID = re.compile(r"\w+|[^\w\s]"), re.compile(r"\w")
@@ -92,8 +93,8 @@ class DuplicateFinder:
         self.settings = {"kind": fingerprint_type, "length": fingerprint_length, "step": step, "case_sensitive": case_sensitive, "multiline": allow_multiline, "shortest": min_duplicate_length}
         self.op_id = op_id("DuplicateFinder", {"label": output_label, "output": segments_to_output, **self.settings})
 
-    def find(self, docs: Iterable[tuple[str, str, str | None]]) -> Iterator[dict]:
-        """Annotation rows for (doc_id, text, date) in order."""
+    def find(self, docs: Iterable[tuple[str, str, str | None]]) -> Iterator[tuple[Segment, list[Found]]]:
+        """Each document of (doc_id, text, date), in order, with what is found in it."""
         index, seen = CollectionIndex(**self.settings), []
         for n, (doc_id, text, date) in enumerate(docs):
             text = text or ""
@@ -109,15 +110,16 @@ class DuplicateFinder:
                     found.append((s, e, attribute("is_duplicate", True, "DuplicationAttribute", metadata=about)))
                 at = e
             kept = [f for f in found if _SOLID.search(text, f[0], f[1])]
-            for k, (s, e, attr) in enumerate(kept):
-                yield build_row(seg, Found(self.label, (s, e), attrs=[attr]), self.op_id, k, 0, [])
+            yield seg, [Found(self.label, (s, e), attrs=[attr]) for s, e, attr in kept]
 
     def run(self, docs: DataFrame, collection: str = "collection_id", doc_id: str = "doc_id", text: str = "text", order_by: str | None = None) -> DataFrame:
-        me, schema = self, arrow_schema(ANN)
+        me, out = self, Rows(self.op_id)
 
         def one(table):
             rows = sorted(table.to_pylist(), key=lambda r: (r["o"] is not None, r["o"] or "", r["n"] is None, r["n"] if r["n"] is not None else 0, r["d"] or ""))
-            return pa.Table.from_pylist(list(me.find((r["d"], r["t"], r["o"]) for r in rows)), schema)
+            for seg, found in me.find((r["d"], r["t"], r["o"]) for r in rows):
+                out.add(seg, found)
+            return pa.Table.from_batches([out.batch()])
 
         number = F.expr(f"try_cast(`{doc_id}` AS BIGINT)")
         shown = F.col(order_by).cast("string") if order_by else F.lit(None).cast("string")
@@ -126,10 +128,13 @@ class DuplicateFinder:
 
 
 def exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, source_doc_id of documents whose whole text an earlier one has."""
-    by = Window.partitionBy("h_", text)
-    rows = docs.where(F.col(text).isNotNull()).withColumn("h_", F.xxhash64(text)).withColumn("source_doc_id", F.min(doc_id).over(by))
-    return rows.where(F.col(doc_id) > F.col("source_doc_id")).select(doc_id, "source_doc_id")
+    """doc_id, source_doc_id of documents whose whole text an earlier one has.
+
+    Texts are compared by their SHA-256 and never shuffled: a digest and an id a document are.
+    """
+    rows = docs.where(F.col(text).isNotNull()).select(doc_id, F.unhex(F.sha2(text, 256)).alias("digest_"))
+    first = rows.groupBy("digest_").agg(F.min(doc_id).alias("source_doc_id"), F.max(doc_id).alias("last_")).where("source_doc_id < last_").drop("last_")
+    return rows.join(first, "digest_").where(F.col(doc_id) > F.col("source_doc_id")).select(doc_id, "source_doc_id")
 
 
 def line_occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shortest: int = 5) -> DataFrame:
@@ -177,10 +182,10 @@ def first_occurrences(docs: DataFrame, length: int = 8, doc_id: str = "doc_id",
             h, s, e = (np.concatenate([p[i] for p in parts]) for i in range(3))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(h), pa.array(s), pa.array(e)], ["doc_id", "print", "s", "e"])
 
-    found = source.mapInArrow(prints, f"doc_id {kind}, print long, s int, e int")
+    found = written(source.mapInArrow(prints, f"doc_id {kind}, print long, s int, e int"), "runs")
     # A hash aggregate with map-side combine finds the prints of several documents; only their rows go further.
     origin = found.groupBy("print").agg(F.min("doc_id").alias("source_doc_id"), F.max("doc_id").alias("last")).where("source_doc_id < last").drop("last")
-    shared = found.join(origin, "print")
+    shared = written(found.join(origin, "print"), "shared-runs")
     # In one document the first start and the first end belong to the same run.
     firsts = shared.where("doc_id = source_doc_id").groupBy("print").agg(F.min("s").alias("ss"), F.min("e").alias("se"))
     hits = shared.where("doc_id > source_doc_id").join(firsts, "print").withColumn("diagonal", F.col("ss") - F.col("s"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -26,6 +28,10 @@ class Segment:
     spans: list
     attrs: list[dict] = field(default_factory=list)
 
+    @classmethod
+    def of(cls, row: dict) -> "Segment":
+        return cls(row["doc_id"], row["uid"], row["label"], row["text"], S.from_rows(row["spans"]), row["attrs"] or [])
+
 
 @dataclass
 class Found:
@@ -78,34 +84,94 @@ class TextOperation:
         return {"op_id": self.op_id, "name": self.name, "config": self.config}
 
     def run(self, segments: DataFrame) -> DataFrame:
-        kernel, me, copied, schema = self.kernel, self.op_id, self.attrs_to_copy, arrow_schema(ANN)
+        kernel, rows = self.kernel, Rows(self.op_id, self.attrs_to_copy)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in pieces(batches):
-                out = []
                 for r in batch.to_pylist():
-                    seg = Segment(r["doc_id"], r["uid"], r["label"], r["text"], S.from_rows(r["spans"]), r["attrs"] or [])
-                    kept = [a for a in seg.attrs if a["label"] in copied] if copied else []
-                    for n, f in enumerate(kernel(seg)):
-                        out.append(build_row(seg, f, me, n, r["seq"], kept))
-                yield pa.RecordBatch.from_pylist(out, schema)
-
-        return segments.select("doc_id", "uid", "label", "text", "spans", "attrs", "seq").mapInArrow(run, ANN)
-
-
-def build_row(seg: Segment, found: Found, me: str, n: int, seq: int, kept: list[dict]) -> dict:
-    text, spans = found.text, found.spans
-    if text is None:
-        a, b = found.range
-        text, spans = seg.text[a:b], S.cut(seg.spans, a, b)
-    uid = make_uid(me, seg.uid, n)
-    low, high = S.bounds(spans)
-    attrs = [a | {"uid": make_uid(me, uid, "copy", a["uid"]), "metadata": dict(a["metadata"]) if a["metadata"] else None} for a in kept]
-    attrs += [a | {"uid": make_uid(me, uid, k)} for k, a in enumerate(found.attrs)]
-    return {
-        "doc_id": seg.doc_id, "uid": uid, "parent_uid": seg.uid, "kind": found.kind, "label": found.label, "text": text, "spans": S.to_rows(spans),
-        "n_start": low, "n_end": high, "keys": None, "metadata": found.metadata, "seq": ((seq or 0) << 20) + n, "attrs": attrs or None,
-    }
+                    seg = Segment.of(r)
+                    rows.add(seg, kernel(seg))
+                yield rows.batch()
+
+        return segments.select("doc_id", "uid", "label", "text", "spans", "attrs").mapInArrow(run, ANN)
+
+
+class Rows:
+    """Annotation rows of an operation, column by column. Made on the driver, filled by the tasks.
+
+    `seq` orders the rows of a document: by where their segment starts, then as the kernel gave
+    them.  A segment of n characters has at most n of them in that order before the next begins,
+    and chains of any length stay within 64 bits.
+    """
+
+    def __init__(self, me: str, copied: frozenset[str] = frozenset()):
+        self.me, self.copied, self.schema = me, copied, arrow_schema(ANN)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.doc, self.uid, self.parent, self.kind, self.label, self.text = [], [], [], [], [], []
+        self.spans, self.low, self.high, self.metadata, self.seq, self.attrs = [], [], [], [], [], []
+        self.plain = True
+
+    def add(self, seg: Segment, found: Iterable[Found]) -> None:
+        only = seg.spans[0].start if len(seg.spans) == 1 and isinstance(seg.spans[0], S.Span) else None
+        begin = (S.bounds(seg.spans)[0] or 0) << 20
+        kept = [a for a in seg.attrs if a["label"] in self.copied] if self.copied else []
+        key = hashlib.sha256(f"{self.me}\0{seg.uid}\0".encode())
+        for n, f in enumerate(found):
+            text, spans = f.text, f.spans
+            if text is None:
+                a, b = f.range
+                text = seg.text[a:b]
+                if only is None:
+                    spans = S.cut(seg.spans, a, b)
+                else:  # one stretch of the document, and so is its part
+                    a, b = max(a, 0), min(b, len(seg.text))
+                    spans = [S.Span(only + a, only + b)] if a < b else []
+            if len(spans) == 1 and isinstance(spans[0], S.Span):
+                low, high = spans[0]
+            else:
+                low, high = S.bounds(spans)
+                self.plain = self.plain and all(isinstance(x, S.Span) for x in spans)
+            mine = key.copy()
+            mine.update(b"%d" % n)
+            uid = mine.hexdigest()[:32]
+            attrs = None
+            if kept or f.attrs:
+                attrs = [a | {"uid": make_uid(self.me, uid, "copy", a["uid"]), "metadata": dict(a["metadata"]) if a["metadata"] else None} for a in kept]
+                attrs += [a | {"uid": make_uid(self.me, uid, k)} for k, a in enumerate(f.attrs)]
+            self.doc.append(seg.doc_id)
+            self.uid.append(uid)
+            self.parent.append(seg.uid)
+            self.kind.append(f.kind)
+            self.label.append(f.label)
+            self.text.append(text)
+            self.spans.append(spans)
+            self.low.append(low)
+            self.high.append(high)
+            self.metadata.append(f.metadata)
+            self.seq.append(begin + n)
+            self.attrs.append(attrs)
+
+    def batch(self) -> pa.RecordBatch:
+        """The rows so far; the next begin anew."""
+        n, kinds = len(self.uid), {f.name: f.type for f in self.schema}
+        some = lambda values, kind: pa.array(values, kind) if any(v is not None for v in values) else pa.nulls(n, kind)
+        if self.plain:
+            flat = [x for spans in self.spans for x in spans]
+            inner, whole = kinds["spans"].value_type, len(flat)
+            parts = [pa.array([x.start for x in flat], pa.int32()), pa.array([x.end for x in flat], pa.int32()), pa.nulls(whole, pa.int32()), pa.nulls(whole, inner.field("replaced").type)]
+            offsets = pa.array([0, *itertools.accumulate(map(len, self.spans))], pa.int32())
+            spans = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(parts, fields=list(inner)), type=kinds["spans"])
+        else:
+            spans = pa.array([S.to_rows(x) for x in self.spans], kinds["spans"])
+        columns = {
+            "doc_id": self.doc, "uid": self.uid, "parent_uid": self.parent, "kind": self.kind, "label": self.label, "text": self.text, "spans": spans, "n_start": self.low, "n_end": self.high,
+            "keys": pa.nulls(n, kinds["keys"]), "metadata": some(self.metadata, kinds["metadata"]), "seq": self.seq, "attrs": some(self.attrs, kinds["attrs"]),
+        }
+        out = pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kinds[k]) for k, c in columns.items()], schema=self.schema)
+        self._clear()
+        return out
 
 
 def custom(name: str, kind: str, function: Callable, **arguments) -> "TextOperation | Filter":
@@ -131,7 +197,7 @@ class Filter:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in pieces(batches):
-                keep = [bool(predicate(Segment(r["doc_id"], r["uid"], r["label"], r["text"], S.from_rows(r["spans"]), r["attrs"] or []), **arguments)) for r in batch.to_pylist()]
+                keep = [bool(predicate(Segment.of(r), **arguments)) for r in batch.to_pylist()]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         return anns.mapInArrow(run, anns.schema)

@@ -9,10 +9,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia import data
 from marginalia.functions import spans as S
 from marginalia.functions import text as T
 from marginalia.operators.context import folded
 from marginalia.operators.kernel import Found, Segment, TextOperation, attribute, norm_attribute
+from marginalia.plans.tables import written
 from marginalia.schema import uid_column
 
 
@@ -41,11 +43,17 @@ class RegexpRule:
             raise ValueError("a rule for folded text must be ASCII")
 
 
+def default_rules() -> list[RegexpRule]:
+    """The rules that come with the package: measures, disorders, symptoms, procedures, drugs."""
+    known = {"regexp": "pattern", "exclusion_regexp": "exclusion"}
+    return [RegexpRule(**{known.get(k, k): v for k, v in row.items()}) for row in data.load("entities")]
+
+
 class RegexpMatcher(TextOperation):
     """All matches of all rules, overlaps included; an exclusion that occurs in the segment silences its rule there."""
 
-    def __init__(self, rules: Iterable[RegexpRule], attrs_to_copy=(), name="RegexpMatcher"):
-        rules = list(rules)
+    def __init__(self, rules: Iterable[RegexpRule] | None = None, attrs_to_copy=(), name="RegexpMatcher"):
+        rules = default_rules() if rules is None else list(rules)
         ids = [r.id for r in rules]
         if any(i is None for i in ids) and any(ids) or len(set(filter(None, ids))) != len(list(filter(None, ids))):
             raise ValueError("either all rules have an id or none, and ids differ")
@@ -157,24 +165,40 @@ def term_table(terms: DataFrame, term: str = "term") -> DataFrame:
     return terms.withColumn("plain", plain).withColumn("grams", T.ngrams_column(F.col("plain"))).withColumn("size", F.size("grams"))
 
 
+#: Distinct grams up to which their frequencies are broadcast rather than shuffled.
+MAX_GRAMS = 200_000
+
+
 def fuzzy_join(candidates: DataFrame, terms: DataFrame, threshold: float = 0.9, text: str = "text", term: str = "term") -> DataFrame:
     """Pairs of candidate texts and terms of trigram Jaccard similarity at or above the threshold.
 
-    An equi join on the first grams of each (prefix filter on a fixed order of grams) with the
-    length filter, then the exact score; no term is compared with all candidates.
+    Grams are ordered by how many texts have them, the rarest first, so that common grams rarely
+    lie in the prefixes that the equi join is on.  A pair is scored where the first gram that
+    their prefixes share brings it together, hence once; sizes that can't reach the threshold
+    are left out before.
     """
-    def side(df: DataFrame, col: str, tag: str) -> DataFrame:
-        sized = df.select(F.col(col).alias(tag)).where(F.col(tag).isNotNull() & (F.length(tag) > 0)).distinct().withColumn("plain", F.lower(folded(F.col(tag))))
-        sized = sized.withColumn("grams", F.array_sort(T.ngrams_column(F.col("plain")))).withColumn("n", F.size("grams"))
+    def grams_of(df: DataFrame, col: str) -> DataFrame:
+        plain = df.select(F.col(col).alias("t")).where(F.col(col).isNotNull() & (F.length(col) > 0)).distinct().withColumn("plain", F.lower(folded(F.col("t"))))
+        return plain.select("t", T.ngrams_column(F.col("plain")).alias("grams"))
+
+    both = [written(grams_of(df, col), "grams") for df, col in ((candidates, text), (terms, term))]
+    known = both[0].unionByName(both[1]).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("times"))
+    known = written(known, "gram-counts")
+    known = F.broadcast(known) if known.count() <= MAX_GRAMS else known
+
+    def side(df: DataFrame, tag: str) -> DataFrame:
+        ordered = df.select("t", F.explode("grams").alias("gram")).join(known, "gram").groupBy("t").agg(F.array_sort(F.collect_list(F.struct("times", "gram"))).alias("o"))
+        ordered = ordered.select("t", F.col("o.gram").alias("grams")).withColumn("n", F.size("grams"))
         prefix = F.slice("grams", F.lit(1), F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9).cast("int") + 1)
-        return sized.select(F.col(tag), F.col("grams").alias(f"{tag}_grams"), F.col("n").alias(f"{tag}_n"), F.explode(prefix).alias("gram"))
+        found = ordered.select(F.col("t").alias(tag), F.col("grams").alias(f"{tag}_grams"), F.col("n").alias(f"{tag}_n"), prefix.alias(f"{tag}_prefix"))
+        return found.withColumn("gram", F.explode(f"{tag}_prefix"))
 
-    left, right = side(candidates, text, "c_text"), side(terms, term, "c_term")
+    left, right = side(both[0], "c_text"), side(both[1], "c_term")
     near = (F.col("c_text_n") * threshold <= F.col("c_term_n")) & (F.col("c_term_n") * threshold <= F.col("c_text_n"))
-    # Scored where they meet: only pairs over the threshold are shuffled to drop repeats.
+    first = F.array_intersect("c_text_prefix", "c_term_prefix")[0] == F.col("gram")
     score = F.round(T.similarity_column(F.col("c_text_grams"), F.col("c_term_grams")), 6)
-    pairs = left.join(right, "gram").where(near).select("c_text", "c_term", score.alias("score")).where(F.col("score") >= threshold)
-    return pairs.distinct().select(F.col("c_text").alias(text), F.col("c_term").alias(term), "score")
+    pairs = left.join(right, "gram").where(near & first)
+    return pairs.select(F.col("c_text").alias(text), F.col("c_term").alias(term), score.alias("score")).where(F.col("score") >= threshold)
 
 
 def ngram_candidates(texts: DataFrame, longest: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import spans as S
 from marginalia.functions.text import capitalized
-from marginalia.operators.kernel import Found, Segment, arrow_schema, attribute, build_row, pieces
+from marginalia.operators.kernel import Found, Rows, Segment, arrow_schema, attribute, pieces
 from marginalia.schema import ANN, op_id
 
 
@@ -30,21 +30,20 @@ class ModelOperation:
         self.op_id = op_id(name, config)
 
     def run(self, segments: DataFrame) -> DataFrame:
-        load, size, copied, me, schema = self.load, self.batch_size, self.copied, self.op_id, arrow_schema(ANN)
+        load, size, out = self.load, self.batch_size, Rows(self.op_id, self.copied)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             predict = load()
             for batch in pieces(batches):
-                rows, out = batch.to_pylist(), []
+                rows = batch.to_pylist()
                 for i in range(0, len(rows), size):
                     part = rows[i : i + size]
                     for r, found in zip(part, predict([r["text"] for r in part])):
-                        seg = Segment(r["doc_id"], r["uid"], r["label"], r["text"], S.from_rows(r["spans"]), r["attrs"] or [])
-                        kept = [a for a in seg.attrs if a["label"] in copied]
-                        out += [build_row(seg, f(seg) if callable(f) else f, me, n, r["seq"], kept) for n, f in enumerate(found)]
-                yield pa.RecordBatch.from_pylist(out, schema)
+                        seg = Segment.of(r)
+                        out.add(seg, (f(seg) if callable(f) else f for f in found))
+                yield out.batch()
 
-        return segments.select("doc_id", "uid", "label", "text", "spans", "attrs", "seq").mapInArrow(run, ANN)
+        return segments.select("doc_id", "uid", "label", "text", "spans", "attrs").mapInArrow(run, ANN)
 
 
 class ModelEntityMatcher(ModelOperation):

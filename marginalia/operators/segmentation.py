@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia import data
 from marginalia.functions.text import strip_range
 from marginalia.operators.kernel import Found, Segment, TextOperation, attribute
 
@@ -45,10 +46,10 @@ def sentence_texts(text: Column, punct: str = r".;?!") -> Column:
 
 
 class SyntagmaTokenizer(TextOperation):
-    """Clauses: a separator begins the next clause."""
+    """Clauses: a separator begins the next clause. They lose `strip_chars` in front and white space at their end."""
 
-    def __init__(self, separators: Iterable[str], output_label="syntagma", strip_chars=STRIPPED, attrs_to_copy=()):
-        separators = tuple(separators)
+    def __init__(self, separators: Iterable[str] | None = None, output_label="syntagma", strip_chars=STRIPPED, attrs_to_copy=()):
+        separators = tuple(data.load("separators")["syntagmas"]["separators"] if separators is None else separators)
         rule = re.compile(rf" *(.+?)(?P<mark__>{'|'.join([*separators, '$'])})", re.DOTALL)
 
         def kernel(seg: Segment) -> Iterable[Found]:
@@ -108,9 +109,12 @@ def renamed(names: list[str], rules: Iterable[RenameRule]) -> list[str]:
 
 
 class SectionTokenizer(TextOperation):
-    """Sections from heading keywords; what comes before the first is 'head'. A section without text is left out."""
+    """Sections from heading keywords; what comes before the first is 'head'. They lose `strip_chars` in front and white space at their end; one without text is left out."""
 
-    def __init__(self, sections: dict[str, Iterable[str]], output_label="section", rules: Iterable[RenameRule] = (), strip_chars=STRIPPED, keep_empty=False):
+    def __init__(self, sections: dict[str, Iterable[str]] | None = None, output_label="section", rules: Iterable[RenameRule] = (), strip_chars=STRIPPED, keep_empty=False):
+        if sections is None:
+            whole = data.load("sections")
+            sections, rules = whole["sections"], [*rules, *(RenameRule(r["section_name"], r["new_section_name"], tuple(r["other_sections"]), r["order"]) for r in whole["rules"])]
         table = {k: name for name, words in sections.items() for k in words}
         longest, rules = max(map(len, table), default=0), tuple(rules)
 
@@ -144,7 +148,28 @@ def rename_sections(matches: DataFrame, rule: RenameRule) -> DataFrame:
 class RuleSentenceTokenizer(TextOperation):
     """Sentences from end rules: (pattern, is_end); the last rule that matches at a mark decides."""
 
-    DEFAULT = ((r"[.!?…]+[\"')\]»]*(?=\s|$)", True), (r"\n\s*\n", True), (r"\b(?:M|Mme|Mlle|Mr|Mrs|Dr|Pr|St|cf|etc|vs|e\.g|i\.e)\.", False), (r"(?<=[0-9])\.(?=[0-9])", False), (r"\b[A-Z]\.(?=\s?[A-Z])", False))
+    DEFAULT = (
+        (r"[.!?…]+[\"')\]»”’]*(?=\s|$)", True),  # a mark, and what closes after it
+        (r"[.!?]+(?=[A-ZÀ-Þ][a-zà-ÿ])", True),  # a mark without the space that should follow
+        (r"\n[ \t]*\n\s*", True),  # an empty line
+        (r"\n(?=[ \t]*(?:[-•*–▪◦]|\d{1,2}[.)/]|[a-z]\))\s)", True),  # the next item of a list
+        (r"\n(?=[ \t]*[A-ZÀ-Þ][^\n:]{1,60}:[ \t]*(?:\n|$))", True),  # before a heading on a line of its own
+        (r"(?<=:)[ \t]*\n(?=\s*\S)", True),  # after it
+        (r"\n(?=[ \t]*[A-ZÀ-Þ0-9][A-ZÀ-Þ0-9 ]{4,60}(?:\n|$))", True),  # before a line of capitals
+        (r"\b(?:M|MM|Mme|Mmes|Mlle|Mlles|Mr|Mrs|Ms|Messrs|Dr|Drs|Dre|Pr|Prs|Prof|St|Ste|Me|Jr|Sr|Mgr)\.", False),  # titles
+        (r"\b(?:cf|etc|vs|e\.g|i\.e|p\.ex|c\.-à-d|c\.à\.d|env|approx|resp|al|ca|viz|ibid|op\.cit|éd|ed|vol|chap|fig|tab|no|n°|num|réf|ref|p|pp|art|al)\.(?=\s*[a-zà-ÿ0-9(,;])", False),
+        (r"\b(?:av|bd|boul|tél|tel|ext|apt|bât|bat|dept|dép|inc|ltd|corp|co|univ|hôp|hop|serv)\.(?=\s*[A-Za-zÀ-ÿ0-9])", False),  # addresses and firms
+        (r"\b(?:janv|févr|fév|avr|juil|sept|oct|nov|déc|jan|feb|mar|apr|jun|jul|aug|sep|dec|lun|mar|mer|jeu|ven|sam|dim|mon|tue|wed|thu|fri|sat|sun)\.(?=\s*\d|\s+[a-z])", False),
+        (r"\b(?:min|sec|hr|hrs|h|j|sem|mo|kg|mg|ml|cm|mm|gtt|cp|cps|comp|amp|inj|sol|susp|gél|caps|tab|max|moy|mini|maxi|q|b\.i\.d|t\.i\.d|q\.i\.d|p\.o|i\.v|i\.m|s\.c|p\.r\.n|h\.s)\.(?=\s*[a-zà-ÿ0-9(,;/])", False),  # units and doses
+        (r"(?<=[0-9])[.](?=[0-9])", False),  # numbers
+        (r"(?:^|(?<=\n))[ \t]*\d{1,2}\.(?=\s)", False),  # numbers of list items
+        (r"(?<=\d\.\d)\.(?=\d)", False),
+        (r"\b[A-ZÀ-Þ]\.(?=[ \t]?[A-ZÀ-Þ][.\w])", False),  # initials
+        (r"\b(?:[A-Za-z]\.){2,}(?=\s*[a-zà-ÿ0-9,;)])", False),  # abbreviations of letters
+        (r"\.{2,}(?=\s*[a-zà-ÿ])", False),  # dots that trail off
+        (r"[!?]+[)»\"](?=\s*[a-zà-ÿ])", False),  # a mark within a remark
+        (r"\.(?=[a-z]{2,4}\b)", False),  # names of files and hosts
+    )
 
     def __init__(self, output_label="sentence", rules=DEFAULT, keep_newlines=True, attrs_to_copy=()):
         compiled = [(re.compile(p), end) for p, end in rules]

@@ -231,4 +231,32 @@ def test_training(spark, tmp_path):
     history = training.Trainer(model, config, df, df, lambda outputs: {"n": float(len(outputs))}, [Watch()]).train()
     assert abs(model.w - 3) < 0.2 and history[-1]["eval"]["loss"] < history[0]["eval"]["loss"] and seen == [1, 2, 3, 4, 5] and history[0]["eval"]["n"] == 2
     assert model.saved[-1].endswith("last") and any(p.endswith("best") for p in model.saved)
-    assert pipeline.in_label_order
+
+
+def test_annotations_in_the_order_of_their_labels(spark):
+    rows = [("d", "b", 0, "1"), ("d", "a", 5, "2"), ("d", "b", 3, "3"), ("c", "b", 9, "4"), ("d", "a", 1, "5")]
+    anns = spark.createDataFrame(rows, "doc_id string, label string, seq long, uid string")
+    got = anns.orderBy(*pipeline.in_label_order(anns, ["b", "a"])).collect()
+    assert [r["uid"] for r in got] == ["4", "1", "3", "5", "2"]
+
+
+def test_written_tables_can_be_dropped(spark):
+    from marginalia.plans import tables
+
+    tables.drop_written(spark)
+    table = tables.written(spark.range(3), "numbers")
+    assert table.count() == 3 and tables.drop_written(spark) == 1 and tables.drop_written(spark) == 0
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from marginalia.plans import tables
+
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            class _jsc:  # noqa: N801
+                sc = staticmethod(lambda: type("Sc", (), {"getCheckpointDir": staticmethod(lambda: type("None_", (), {"isDefined": staticmethod(lambda: False)}))}))
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        tables.shared_folder(Session)

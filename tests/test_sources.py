@@ -214,3 +214,41 @@ def test_artefacts(spark, tmp_path):
     r.clear()
     with pytest.raises(KeyError):
         r.get(version="2021AB", lowercase=True)
+
+
+def test_one_file_of_documents(spark, tmp_path):
+    from marginalia.sources import interchange
+
+    span = {"start": 7, "end": 15, "_class_name": "x.Span"}
+    attr = {"uid": "a1", "label": "neg", "value": False, "metadata": {"by": "rule"}, "_class_name": "x.Attribute"}
+    norm = {"uid": "a2", "label": "NORMALIZATION", "value": "umls:C1", "kb_name": "umls", "kb_id": "C1", "kb_version": None, "term": "diabetes", "score": 0.5, "extra": 3, "metadata": {}, "_class_name": "x.EntityNormAttribute"}
+    mod = {"length": 4, "replaced_spans": [{"start": 0, "end": 1}, {"start": 2, "end": 6}], "_class_name": "x.ModifiedSpan"}
+    doc = {
+        "uid": "d1", "text": "I have diabetes.", "metadata": {"n": 1}, "_class_name": "x.TextDocument",
+        "anns": [
+            {"uid": "e1", "label": "disease", "text": "diabetes", "spans": [span], "attrs": [attr, norm], "metadata": {}, "_class_name": "x.Entity"},
+            {"uid": "s1", "label": "part", "text": "we'd", "spans": [mod], "attrs": [], "metadata": {"k": "v"}, "_class_name": "x.Segment"},
+            {"uid": "r1", "label": "of", "source_id": "e1", "target_id": "s1", "attrs": [], "metadata": {}, "_class_name": "x.Relation"},
+        ],
+    }
+    file = tmp_path / "docs.jsonl"
+    head = {"version": "0.2", "content_type": "text_document_list"}
+    file.write_text("\n".join(json.dumps(x) for x in (head, doc, {"uid": "d2", "text": "Nothing", "metadata": {}, "anns": []})) + "\n")
+
+    def shown(path):
+        docs, anns, relations = interchange.load_documents(spark, str(path))
+        return [sorted(map(str, df.orderBy(df.columns[1]).collect())) for df in (docs, anns, relations)]
+
+    docs, anns, relations = interchange.load_documents(spark, str(file))
+    e1 = anns.where("uid = 'e1'").first()
+    assert (e1["kind"], e1["n_start"], e1["n_end"]) == ("entity", 7, 15) and docs.count() == 2 and relations.first()["target_id"] == "s1"
+    assert [(a["value"], a["value_type"]) for a in e1["attrs"]] == [("false", "bool"), ("umls:C1", "string")] and e1["attrs"][1]["norm"]["score"] == 0.5 and e1["attrs"][1]["metadata"] == {"extra": "3"}
+    assert anns.where("uid = 's1'").first()["spans"][0]["replaced"][1]["end"] == 6
+    again = tmp_path / "again.jsonl"
+    interchange.save_documents(docs, anns, str(again), relations, "x.")
+    assert json.loads(again.read_text().splitlines()[0]) == head and shown(again) == shown(file)
+    interchange.save_annotations(anns, str(tmp_path / "anns.jsonl"), "x.")
+    loaded, _ = interchange.load_annotations(spark, str(tmp_path / "anns.jsonl"), "d1")
+    assert sorted(r["uid"] for r in loaded.collect()) == ["e1", "s1"]
+    with pytest.raises(documents.HeaderError):
+        interchange.load_annotations(spark, str(file), "d1")
