@@ -5,6 +5,7 @@ Patterns name their character classes, as `\\w` and `\\b` mean different things
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -117,9 +118,21 @@ def rule_sentences(spark, sf_dir):
     return segmentation.RuleSentenceTokenizer().run(raw_segments(_docs(spark, sf_dir))).select("doc_id", "n_start", "n_end", "text")
 
 
-@query()
+_CLAUSES = r"\n|, "
+
+
+@query(
+    r"""WITH m AS (SELECT doc_id, text, regexp_extract_all(text, '(?s) *(.+?)(?:\n|, |$)') AS x FROM documents),
+u AS (SELECT doc_id, text, unnest(x) AS t, generate_subscripts(x, 1) AS i FROM m),
+v AS (SELECT doc_id, text, i, t, length(regexp_extract(t, '(?s)^ *(.+?)(\n|, |$)', 2)) AS sep, sum(length(t)) OVER (PARTITION BY doc_id ORDER BY i) AS til FROM u),
+w AS (SELECT *, til - sep AS e, coalesce(lag(til - sep) OVER (PARTITION BY doc_id ORDER BY i), length(t) - length(ltrim(t, ' '))) AS b FROM v),
+c AS (SELECT doc_id, e, ltrim(substr(text, CAST(b AS BIGINT) + 1, CAST(e - b AS BIGINT)), '.;,?! ' || chr(10) || chr(13) || chr(9)) AS t FROM w),
+d AS (SELECT doc_id, e - length(t) AS s, rtrim(t, ' ' || chr(10) || chr(13) || chr(9)) AS t FROM c)
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(s AS INTEGER) AS n_start, CAST(s + length(t) AS INTEGER) AS n_end, t AS text FROM d WHERE t <> ''"""
+)
 def syntagmas(spark, sf_dir):
-    return segmentation.SyntagmaTokenizer([r"(?<=[.;])\s", r"\bmais\b", r"\band\b", r"\bund\b"]).run(raw_segments(_docs(spark, sf_dir))).select("doc_id", "n_start", "n_end", "text")
+    """Clauses keep the point at their end: only their start loses punctuation."""
+    return segmentation.SyntagmaTokenizer(_CLAUSES.split("|")).run(raw_segments(_docs(spark, sf_dir))).select("doc_id", "n_start", "n_end", "text")
 
 
 @query()
@@ -150,11 +163,7 @@ def hypothesis_flag(spark, sf_dir):
     return found.select("doc_id", "seq", "flag")
 
 
-@query(
-    """SELECT role AS label, count(*) AS n FROM (SELECT role, unnest("""
-    + SENTENCES_SQL
-    + """) AS s FROM conversations) GROUP BY role"""
-)
+@query(f"SELECT CAST(conv_id AS VARCHAR) AS doc_id, conv_id || '-' || turn AS parent_uid, unnest({SENTENCES_SQL}) AS text, role FROM conversations")
 def attrs_to_copy(spark, sf_dir):
     """Sentences of turns inherit the role of their turn."""
     turns = _table(spark, sf_dir, "conversations").withColumn("uid", F.concat_ws("-", "conv_id", "turn"))
@@ -162,7 +171,7 @@ def attrs_to_copy(spark, sf_dir):
     full = F.array(F.from_json(F.to_json(attr), ATTR))
     rows = turns.select(F.col("conv_id").alias("doc_id"), "uid", "text", F.lit(0).alias("n_start"), F.length("text").alias("n_end"), F.col("turn").alias("seq"), full.alias("attrs"))
     parts = segmentation.SentenceTokenizer(attrs_to_copy=["role"]).run(_anns(rows, "turn", "segment"))
-    return attrs_of(parts).where("label = 'role'").groupBy(F.col("value").alias("label")).agg(F.count("*").alias("n"))
+    return parts.select("doc_id", "parent_uid", "text", F.filter("attrs", lambda a: a.label == "role")[0].value.alias("role"))
 
 
 # Cleaning.
@@ -209,10 +218,12 @@ def page_text(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", cleaning.strip_tags(F.col("html")).alias("text"))
 
 
-@query("SELECT doc_id, translate(text, 'éèêàçùôîï', 'eeeacuoii') AS text FROM documents WHERE regexp_matches(text, '[éèêàçùôîï]') AND NOT regexp_matches(text, '[^\\x00-\\x7Féèêàçùôîï]')")
+_ACCENTED = {c: d[0] for c in map(chr, range(0xC0, 0x180)) if len(d := unicodedata.normalize("NFD", c)) > 1 and d[0].isascii()}
+
+
+@query(f"SELECT doc_id, translate(text, '{''.join(_ACCENTED)}', '{''.join(_ACCENTED.values())}') AS text FROM documents")
 def ascii_fold(spark, sf_dir):
-    rows = _docs(spark, sf_dir).where(F.col("text").rlike("[éèêàçùôîï]") & ~F.col("text").rlike(r"[^\x00-\x7Féèêàçùôîï]"))
-    return rows.select("doc_id", context.folded(F.col("text")).alias("text"))
+    return _docs(spark, sf_dir).select("doc_id", context.folded(F.col("text")).alias("text"))
 
 
 @query("SELECT doc_id, trim(text, ' .,;?!' || chr(10)) AS text, CAST(length(text) - length(ltrim(text, ' .,;?!' || chr(10))) AS INTEGER) AS n_start FROM documents")
@@ -243,11 +254,12 @@ def entity_regexp_exclusion(spark, sf_dir):
     return matching.RegexpMatcher([rule]).run(raw_segments(_docs(spark, sf_dir))).groupBy("doc_id", "label").agg(F.count("*").alias("n"))
 
 
-@query(f"""SELECT 'kinds:C01' AS value, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{IP}')) FROM documents) HAVING count(*) > 0""")
+@query(f"""SELECT CAST(doc_id AS VARCHAR) AS doc_id, unnest(regexp_extract_all(text, '{IP}')) AS text, 'kinds:C01' AS value, 'C01' AS kb_id FROM documents""")
 def entity_norms(spark, sf_dir):
     rule = matching.RegexpRule(IP, "address", norms=(matching.Norm("kinds", "C01"),))
     found = matching.RegexpMatcher([rule]).run(raw_segments(_docs(spark, sf_dir)))
-    return attrs_of(found).where("norm IS NOT NULL").groupBy("value").agg(F.count("*").alias("n"))
+    norms = attrs_of(found).where("norm IS NOT NULL").select("owner_id", "value", F.col("norm.kb_id").alias("kb_id"))
+    return found.select("doc_id", F.col("uid").alias("owner_id"), "text").join(norms, "owner_id").drop("owner_id")
 
 
 _NUMBERS_SQL = r"""p AS (SELECT doc_id, regexp_extract_all(text, '[0-9]+|[^0-9]+') AS x FROM documents),
@@ -260,6 +272,19 @@ def _numbers(spark, sf_dir):
     return matching.RegexpMatcher([matching.RegexpRule(NUMBER, "number")]).run(raw_segments(_docs(spark, sf_dir)))
 
 
+@query(f"WITH {_NUMBERS_SQL} SELECT doc_id, n_start, n_end, text FROM numbers")
+def kernel_chain(spark, sf_dir):
+    """Five kernels in a row, the first of which changes the text: the numbers are found where the document has them."""
+    anns = cleaning.CharReplacer("clean", {"’": "'", "œ": "oe", "ß": "ss"}).run(raw_segments(_docs(spark, sf_dir)))
+    steps = [
+        segmentation.SectionTokenizer({"licence": ["License", "Licence", "Copyright"], "contact": ["Contact", "email", "Email"]}), segmentation.SentenceTokenizer(),
+        segmentation.SyntagmaTokenizer([r"\bmais\b", r"\band\b", r"\bund\b"]), matching.RegexpMatcher([matching.RegexpRule(NUMBER, "number")]),
+    ]
+    for step in steps:
+        anns = step.run(anns)
+    return anns.select("doc_id", "n_start", "n_end", "text")
+
+
 @query(f"WITH {_NUMBERS_SQL} SELECT doc_id, n_start, n_end, text FROM numbers")
 def entity_offsets(spark, sf_dir):
     return _numbers(spark, sf_dir).select("doc_id", "n_start", "n_end", "text")
@@ -469,9 +494,18 @@ def _traced(spark, sf_dir):
     return outputs, provenance.edge_table(steps)
 
 
-@query(f"WITH s AS (SELECT unnest({SENTENCES_SQL}) AS s FROM documents) SELECT 'annotation' AS kind, (SELECT count(*) FROM s) + (SELECT count(*) FROM (SELECT unnest(regexp_extract_all(s, '{NUMBER}')) FROM s)) AS n")
+_uid_sql = "substr(sha256({0} || chr(0) || {1} || chr(0) || {2}), 1, 32)".format
+_RAW_UID = "substr(sha256('RAW_TEXT' || chr(0) || CAST(doc_id AS VARCHAR)), 1, 32)"
+_SENTENCE_OP, _NUMBER_OP = segmentation.SentenceTokenizer().op_id, matching.RegexpMatcher([matching.RegexpRule(NUMBER, "number")]).op_id
+
+
+@query(
+    f"""WITH a AS (SELECT {_RAW_UID} AS raw, {SENTENCES_SQL} AS s FROM documents), b AS (SELECT raw, unnest(s) AS t, generate_subscripts(s, 1) - 1 AS i FROM a),
+c AS (SELECT raw, t, {_uid_sql(f"'{_SENTENCE_OP}'", "raw", "i")} AS sentence FROM b), d AS (SELECT sentence, regexp_extract_all(t, '{NUMBER}') AS x FROM c), e AS (SELECT sentence, generate_subscripts(x, 1) - 1 AS i FROM d)
+SELECT 'annotation' AS kind, '{_SENTENCE_OP}' AS op_id, raw AS source_uid, sentence AS item_uid FROM c UNION ALL SELECT 'annotation', '{_NUMBER_OP}', sentence, {_uid_sql(f"'{_NUMBER_OP}'", "sentence", "i")} FROM e"""
+)
 def prov_edges(spark, sf_dir):
-    return _traced(spark, sf_dir)[1].groupBy("kind").agg(F.count("*").alias("n"))
+    return _traced(spark, sf_dir)[1].select("kind", "op_id", "source_uid", "item_uid")
 
 
 @query(f"WITH s AS (SELECT doc_id, unnest({SENTENCES_SQL}) AS s FROM documents) SELECT substr(sha256('RAW_TEXT' || chr(0) || CAST(doc_id AS VARCHAR)), 1, 32) AS root_uid, count(*) AS n FROM (SELECT doc_id, 1 FROM s UNION ALL SELECT doc_id, 2 FROM (SELECT doc_id, unnest(regexp_extract_all(s, '{NUMBER}')) FROM s)) GROUP BY doc_id")
@@ -528,10 +562,10 @@ def ner_prf(spark, sf_dir):
     return metrics.entity_scores(truth, truth.where(F.length("text") >= 2))
 
 
-@query(f"""WITH {_NUMBERS_SQL} SELECT tag, CAST(sum(n) AS BIGINT) AS n FROM (SELECT 'U-number' AS tag, count(*) AS n FROM numbers WHERE length(text) = 1 UNION ALL SELECT 'B-number', count(*) FROM numbers WHERE length(text) > 1
-UNION ALL SELECT 'L-number', count(*) FROM numbers WHERE length(text) > 1 UNION ALL SELECT 'I-number', sum(length(text) - 2) FROM numbers WHERE length(text) > 1) GROUP BY tag HAVING sum(n) > 0""")
+@query(f"""WITH {_NUMBERS_SQL}, p AS (SELECT *, unnest(range(n_start, n_end)) AS pos FROM numbers)
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, CASE WHEN n_end - n_start = 1 THEN 'U' WHEN pos = n_start THEN 'B' WHEN pos = n_end - 1 THEN 'L' ELSE 'I' END || '-number' AS tag FROM p""")
 def bilou_tags(spark, sf_dir):
-    return metrics.character_tags(_numbers(spark, sf_dir)).groupBy("tag").agg(F.count("*").alias("n"))
+    return metrics.character_tags(_numbers(spark, sf_dir)).select("doc_id", "pos", "tag")
 
 
 @query(f"WITH {_NUMBERS_SQL} SELECT doc_id, n_start, n_end, 'number' AS label FROM numbers")
