@@ -36,6 +36,8 @@ from marginalia.llm.common import buffers, fresh, segment_sum, sliced, text_arra
 
 NBEST = 3
 SLICE = 1 << 20
+#: Distinct units, and their bytes, past which a worker forgets the segmentations that it has kept.
+KEPT_UNITS, KEPT_BYTES = 1 << 18, 16 << 20
 _BYTE_COST = 12.0
 
 
@@ -51,7 +53,8 @@ class Vocabulary:
     def __init__(self, path: str | None = None):
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path or default_model())
+        self.path = path or default_model()
+        model = sentencepiece.SentencePieceProcessor(model_file=self.path)
         n = model.get_piece_size()
         raw = np.array([model.get_score(i) for i in range(n)])
         self.pieces: list[bytes] = []
@@ -78,9 +81,6 @@ class Vocabulary:
             raw = np.log(weight / weight[self.normal].sum())
         self.scores = np.where(self.normal, raw, raw[self.normal].min() - _BYTE_COST)
 
-    def trie(self) -> "Trie":
-        return Trie(self)
-
 
 class Trie:
     """Transitions of the inner nodes as one dense table; row 0 leads nowhere."""
@@ -124,9 +124,8 @@ class Lattices:
         lead = np.flatnonzero((raw & 0xC0) != 0x80)
         char_len = np.diff(np.append(lead, len(raw)))
         own = np.zeros(len(raw), bool)
-        starts, ends, ids = [], [], []
-        at, rows, sizes = lead, np.full(len(lead), trie.row[0]), char_len
-        limit, step = end_of[lead], 0
+        starts, ids, widths = [], [], []
+        at, rows, sizes, limit, step = lead, np.full(len(lead), trie.row[0]), char_len, end_of[lead], 0
         while len(at):
             node = trie.next[rows, raw[at + step]]
             hit = node >= 0
@@ -135,42 +134,43 @@ class Lattices:
             step += 1
             done = piece >= 0
             starts.append(at[done])
-            ends.append(at[done] + step)
             ids.append(piece[done])
+            widths.append(step)
             own[at[done & (sizes == step)]] = True
             rows = trie.row[node]
             more = (rows > 0) & (at + step < limit)
             at, rows, sizes, limit = at[more], rows[more], sizes[more], limit[more]
-        bare = np.repeat(~own[lead], char_len)
-        loose = np.flatnonzero(bare)
-        starts.append(loose)
-        ends.append(loose + 1)
-        ids.append(vocabulary.byte_ids[raw[loose]])
-        start, end, ids = np.concatenate(starts), np.concatenate(ends), np.concatenate(ids)
-        owner = unit_of[start]
-        rel = end - offs[owner]
-        order = np.lexsort((start, end, rel))
-        self.start, self.end = (start + owner)[order], (end + owner)[order]
-        self.ids, self.owner, rel = ids[order], owner[order], rel[order]
+        loose = np.flatnonzero(np.repeat(~own[lead], char_len))
+        starts, ids, widths = [loose, *starts], [vocabulary.byte_ids[raw[loose]], *ids], [1, *widths]
+        # Edges lie in the order of their widths; edges of one width have different ends.
+        blocks = np.cumsum([0, *(len(x) for x in starts)])
+        start, self.ids = np.concatenate(starts), np.concatenate(ids)
+        end = start + np.repeat(widths, np.diff(blocks))
+        self.owner = unit_of[start]
+        self.start, self.end = start + self.owner, end + self.owner
         self.score = vocabulary.scores[self.ids]
         self.best = np.full(len(raw) + self.count, -np.inf)
         self.best[self.first_node] = 0
         self.back = np.full(len(self.best), -1, np.int64)
-        groups = np.flatnonzero(np.append(True, self.end[1:] != self.end[:-1])) if len(rel) else np.zeros(0, np.int64)
-        group_end = np.append(groups[1:], len(rel))
-        steps = np.flatnonzero(np.append(True, rel[groups][1:] != rel[groups][:-1])) if len(groups) else groups
-        for a, b in zip(steps, np.append(steps[1:], len(groups))):
-            lo, hi = groups[a], group_end[b - 1]
-            value = self.best[self.start[lo:hi]] + self.score[lo:hi]
-            local = groups[a:b] - lo
-            top = np.maximum.reduceat(value, local)
-            size = np.diff(np.append(local, hi - lo))
-            winners = np.flatnonzero(value == np.repeat(top, size))
-            which = np.repeat(np.arange(b - a), size)[winners]
-            firsts = winners[np.append(True, which[1:] != which[:-1])]
-            target = self.end[groups[a:b]]
-            self.best[target] = top
-            self.back[target] = firsts + lo
+        rel = end - offs[self.owner]
+        longest = int(rel.max()) if len(rel) else 0
+        by_end = np.argsort(rel.astype(np.uint16) if longest < 1 << 16 else rel, kind="stable")
+        cuts = np.cumsum(np.bincount(rel, minlength=longest + 1))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            edges = by_end[lo:hi]
+            value, target = self.best[self.start[edges]] + self.score[edges], self.end[edges]
+            if hi - lo > 200:  # width by width
+                at = np.searchsorted(edges, blocks).tolist()
+                for a, b in zip(at[:-1], at[1:]):
+                    if b > a:
+                        better = np.flatnonzero(value[a:b] >= self.best[target[a:b]]) + a
+                        self.best[target[better]] = value[better]
+                        self.back[target[better]] = edges[better]
+            elif hi > lo:  # the last of equal ends is the best, and of equal values the widest
+                order = np.lexsort((value, target))
+                last = order[np.append(target[order][1:] != target[order][:-1], True)]
+                self.best[target[last]] = value[last]
+                self.back[target[last]] = edges[last]
 
     def best_paths(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Piece ids of all units in order, each unit's first, and the nodes that the best paths visit."""
@@ -256,18 +256,71 @@ def split_units(column: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return codes, coded.dictionary, first
 
 
-def encode_batch(column: pa.Array, vocabulary: Vocabulary, trie: Trie, n: int = 1):
+class Segmenter:
+    """Segmentations of units, kept from batch to batch: a unit that comes again isn't segmented again."""
+
+    def __init__(self, vocabulary: Vocabulary, units: int = KEPT_UNITS, size: int = KEPT_BYTES):
+        self.vocabulary, self.trie, self.limit = vocabulary, Trie(vocabulary), (units, size)
+        self.clear()
+
+    def clear(self) -> None:
+        self.units = pa.array([], pa.string())
+        self.ids, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.score, self.loss = np.zeros(0), np.zeros(0)
+        self.lists: dict[int, list] = {}
+
+    def find(self, units: pa.Array) -> np.ndarray:
+        """The kept number of each unit; those that are new are segmented."""
+        if len(self.units) > self.limit[0] or self.units.nbytes > self.limit[1]:
+            self.clear()
+        found = pc.index_in(units, value_set=self.units)
+        if found.null_count:
+            fresh_units = text_array(units.filter(pc.is_null(found)))
+            lattice = Lattices(fresh_units, self.vocabulary, self.trie)
+            ids, at, visited = lattice.best_paths()
+            before = len(self.units)
+            self.units = text_array(pa.concat_arrays([self.units, fresh_units]))
+            self.at = np.append(self.at, at[1:] + self.at[-1])
+            self.ids = np.append(self.ids, ids)
+            self.score = np.append(self.score, lattice.best[lattice.last_node])
+            self.loss = np.append(self.loss, lattice.deviations(visited))
+            where = np.asarray(pc.fill_null(found, -1)).astype(np.int64)
+            where[where < 0] = np.arange(before, len(self.units))
+            return where
+        return np.asarray(found).astype(np.int64)
+
+    def nbest(self, numbers: list[int], n: int) -> None:
+        """Sees to it that `lists` has the n best segmentations of the kept units of these numbers."""
+        todo = sorted({c for c in numbers if self.lists.get(c, ((), 0))[1] < n})
+        if todo:
+            lattice = Lattices(text_array(self.units.take(pa.array(todo))), self.vocabulary, self.trie)
+            for k, c in enumerate(todo):
+                self.lists[c] = (lattice.nbest(k, n), n)
+
+
+_segmenters: dict[str, Segmenter] = {}
+
+
+def segmenter(vocabulary: Vocabulary) -> Segmenter:
+    """The worker's segmenter for this model file."""
+    if vocabulary.path not in _segmenters:
+        _segmenters.clear()
+        _segmenters[vocabulary.path] = Segmenter(vocabulary)
+    return _segmenters[vocabulary.path]
+
+
+def encode_batch(column: pa.Array, segments: Segmenter, n: int = 1):
     """Flat ids and offsets by text, scores, and for n > 1 each text's further segmentations [(loss, edits)]."""
     codes, units, first = split_units(column)
-    lattice = Lattices(units, vocabulary, trie)
-    ids, at, visited = lattice.best_paths()
+    codes = segments.find(units)[codes]
+    ids, at = segments.ids, segments.at
     size = np.diff(at)[codes]
     total = np.append(0, np.cumsum(size))
     flat = ids[np.repeat(at[codes] - total[:-1], size) + np.arange(total[-1])] if len(codes) else np.zeros(0, np.int32)
-    score = segment_sum(lattice.best[lattice.last_node][codes], first)
+    score = segment_sum(segments.score[codes], first)
     others: list[list] = [[] for _ in range(len(first) - 1)]
     if n > 1 and len(codes):
-        loss = lattice.deviations(visited)[codes]
+        loss = segments.loss[codes]
         full = np.flatnonzero(np.diff(first) > 0)
         owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
         chosen: list[list[int]] = [[] for _ in range(len(first) - 1)]
@@ -279,16 +332,11 @@ def encode_batch(column: pa.Array, vocabulary: Vocabulary, trie: Trie, n: int =
             for h in hits.tolist():
                 chosen[owner[h]].append(h)
             loss[hits] = np.inf
-        memo: dict[int, list] = {}
+        segments.nbest([int(codes[s]) for spots in chosen for s in spots], n)
         for d, spots in enumerate(chosen):
             if not spots:
                 continue
-            lists = []
-            for s in spots:
-                c = int(codes[s])
-                if c not in memo:
-                    memo[c] = lattice.nbest(c, n)
-                lists.append(memo[c])
+            lists = [segments.lists[int(codes[s])][0][:n] for s in spots]
             base = [found[0][0] for found in lists]
             combos = sorted(
                 (sum(base) - sum(found[k][0] for found, k in zip(lists, ranks)), ranks) for ranks in itertools.product(*(range(len(found)) for found in lists))
@@ -333,11 +381,11 @@ def encode(docs: DataFrame, model: str | None = None, n: int = NBEST, doc_id: st
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = vocabulary.trie()
+        segments = segmenter(vocabulary)
         for batch in sliced(batches, 1, SLICE):
             column = text_array(batch.column(1))
             none = np.asarray(batch.column(1).is_null())
-            flat, offs, score, others = encode_batch(column, vocabulary, trie, n)
+            flat, offs, score, others = encode_batch(column, segments, n)
             back = decode_batch(flat, offs, vocabulary)
             mask = pa.array(none)
             ids = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(flat), mask=mask)
@@ -356,9 +404,9 @@ def add_ids(docs: DataFrame, model: str | None = None, text: str = "text", name:
     at, name, names = docs.columns.index(text), fresh(docs, name), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = vocabulary.trie()
+        segments = segmenter(vocabulary)
         for batch in sliced(batches, at, SLICE):
-            flat, offs, _, _ = encode_batch(text_array(batch.column(at)), vocabulary, trie)
+            flat, offs, _, _ = encode_batch(text_array(batch.column(at)), segments)
             ids = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(flat), mask=pa.array(np.asarray(batch.column(at).is_null())))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*names, name])
 
