@@ -8,16 +8,16 @@ no per-row Python loop is needed to count, hash or compare words.
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.plans.tables import shared_folder, written as materialize  # noqa: F401
+
 #: Bytes that belong to words: ASCII letters, digits, underscore and every byte of a non-ASCII character.
 WORD_BYTES = np.zeros(256, dtype=bool)
 WORD_BYTES[[*range(48, 58), *range(65, 91), 95, *range(97, 123)]] = True
@@ -31,26 +31,6 @@ SLICE_BYTES = 4 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it is unset, one of our own."""
-    set_to = spark.conf.get("spark.checkpoint.dir", None)
-    if not set_to:
-        java = spark.sparkContext._jsc.sc().getCheckpointDir()
-        set_to = java.get() if java.isDefined() else None
-    if not set_to:
-        set_to = "file://" + tempfile.mkdtemp(prefix="marginalia-")
-        spark.sparkContext.setCheckpointDir(set_to)
-    return set_to
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends there, columns stay prunable."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have yet."""
     taken = {c.lower() for c in df.columns}
@@ -90,6 +70,16 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - offs[0]
 
 
+def keep_heap() -> None:
+    """Keep freed memory in the process until `give_back`: large temporaries otherwise go to the system and come back cleared, page by page."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-1, 1 << 28)  # M_TRIM_THRESHOLD
+        libc.mallopt(-3, 1 << 25)  # M_MMAP_THRESHOLD
+    except (OSError, AttributeError):
+        pass
+
+
 def give_back() -> None:
     """Return free memory to the system: a worker that is used again otherwise keeps the peak of every earlier kernel."""
     pa.default_memory_pool().release_unused()
