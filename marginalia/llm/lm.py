@@ -2,21 +2,28 @@
 
 Texts are encoded once into piece ids, kept as a table in the shared folder.  Piece counts over
 all documents give the output classes (frequent pieces have their own, the others share
-classes of about equal mass) and the probability of a piece in its class.  All windows
-of all documents train the model (TRAIN_ONE_IN = 1): documents are dealt to replicas by hash,
-each replica goes through its windows with Adam from the same start, replicas are averaged by
-their windows, and the next round starts from the average.  Both the replicas and the steps of
-each grow with the square root of the input, so more text means more fitting.
-
-Scoring: a text is cut into windows of WINDOW inputs that overlap by OVERLAP; the first scores
-all its targets, each other only those past the overlap, so every token is scored once, with
-at least OVERLAP tokens of context where the text has them.  Windows of a batch go through
+classes of about equal mass) and the probability of a piece in its class.  The output is
+factored: a softmax over GROUPS groups of classes times one over the MEMBERS classes of the
+target's group, so a token costs GROUPS + MEMBERS exponentials for GROUPS * MEMBERS classes.
+With one head of full width the projection of keys only multiplies that of queries, and that
+of values the output's, so the products are single matrices (A and O) and keys and values are
+the inputs themselves.
+
+Every window of every document trains the model, once.  Documents are dealt by hash to ROUNDS
+rounds and, in a round, to replicas; each replica goes through its windows with Adam from the
+same weights, the replicas are averaged by their windows, and the next round starts from the
+average.  Replicas and the steps of each grow with the square root of the input, so more text
+means more fitting.
+
+Scoring: a text is cut into windows that score STRIDE tokens each and see the OVERLAP inputs
+before them as well (start symbols in front of a text), so every token is scored once, with at
+least OVERLAP tokens of context where the text has them.  Windows of a batch go through
 masked attention together.
 
 Defined results: log_prob is the mean natural logarithm a token, perplexity its exponential.
 A null or empty text has 0 tokens and null scores.  Repeated rows get equal scores (up to
-rounding at ROUND decimals).  A table without training windows keeps the untrained weights,
-whose output is the class frequencies.  An empty table gives an empty result.
+rounding at ROUND decimals).  A table without tokens keeps the untrained weights, whose output
+is the class frequencies.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,24 +33,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import materialize, mix, row_key, sliced, text_array
-from marginalia.llm.pieces import SLICE, Vocabulary, encode_batch
+from marginalia.llm.common import buffers, keep_heap, materialize, mix, row_key, sliced, text_array
+from marginalia.llm.pieces import SLICE, Vocabulary, encode_batch, segmenter
 
-WINDOW, OVERLAP, WIDTH, HIDDEN, CLASSES, INPUTS = 32, 8, 16, 32, 128, 4096
-TRAIN_ONE_IN, ROUNDS, BATCH, RATE = 1, 2, 64, 4e-3
-#: Windows of one replica where there are no more; n times as many make sqrt(n) replicas.
-WINDOWS_PER_REPLICA = 8192
+WINDOW, OVERLAP, WIDTH, HIDDEN, GROUPS, MEMBERS, INPUTS = 32, 8, 16, 16, 16, 16, 8192
+STRIDE, CLASSES = WINDOW - OVERLAP, GROUPS * MEMBERS
+BATCH, RATES = 256, (2e-2, 8e-3, 2e-3)
+#: Windows of one replica and round where there are no more; n times as many make sqrt(n) replicas.
+WINDOWS_PER_REPLICA = 16_384
 #: Bytes of piece ids whose windows are put in an order by hash together.
 POOL = 1 << 20
 ROUND = 4
 SHAPES = {
-    "E": (INPUTS + 1, WIDTH), "P": (WINDOW, WIDTH), "A": (WIDTH, 3 * WIDTH), "O": (WIDTH, WIDTH),
-    "W": (WIDTH, HIDDEN), "c": (HIDDEN,), "V": (HIDDEN, WIDTH), "U": (WIDTH, CLASSES), "b": (CLASSES,),
+    "P": (WINDOW, WIDTH), "A": (WIDTH, WIDTH), "O": (WIDTH, WIDTH), "W": (WIDTH, HIDDEN), "c": (HIDDEN,), "V": (HIDDEN, WIDTH),
+    "G": (WIDTH + 1, GROUPS), "U": (GROUPS, WIDTH + 1, MEMBERS), "E": (INPUTS + 1, WIDTH),
 }
-_MASK = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+#: Where each part lies in the vector of all weights; E is the last.
+PLACES = dict(zip(SHAPES, np.cumsum([0, *(int(np.prod(s)) for s in SHAPES.values())])))
+SIZE = PLACES["E"] + int(np.prod(SHAPES["E"]))
+_MASK = (np.arange(WINDOW) <= np.arange(OVERLAP, WINDOW)[:, None]).astype(np.float32)
 
 
 def fold(ids: np.ndarray) -> np.ndarray:
@@ -66,12 +78,24 @@ def output_classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return cls, np.log(counts / total[cls]), np.log(np.maximum(total, 1e-9) / total.sum())
 
 
-def start(bias: np.ndarray) -> dict[str, np.ndarray]:
+def parts(flat: np.ndarray) -> dict[str, np.ndarray]:
+    """The weights by name, as views of the vector of all."""
+    return {k: flat[PLACES[k] : PLACES[k] + int(np.prod(s))].reshape(s) for k, s in SHAPES.items()}
+
+
+def start(bias: np.ndarray) -> np.ndarray:
+    """The vector of the untrained weights: nearly the class frequencies."""
     rng = np.random.default_rng(11)
-    out = {k: (rng.normal(size=s) * (0.1 if k in "EP" else 1 / np.sqrt(s[0]) if len(s) > 1 else 0)).astype(np.float32) for k, s in SHAPES.items()}
-    out["U"] *= 0.1
-    out["b"] = bias.astype(np.float32)
-    return out
+    flat = np.zeros(SIZE, np.float32)
+    m = parts(flat)
+    for k in "EPAOWVGU":
+        m[k][...] = rng.normal(size=SHAPES[k]) * (0.1 if k in "EP" else 1 / np.sqrt(SHAPES[k][0]) if k in "OWV" else 0.1 if k == "A" else 0.02)
+    table = bias.reshape(GROUPS, MEMBERS)
+    top = table.max(1, keepdims=True)
+    groups = top[:, 0] + np.log(np.exp(table - top).sum(1))
+    m["G"][-1] = groups
+    m["U"][:, -1] = table - groups[:, None]
+    return flat
 
 
 def _exp(x: np.ndarray) -> None:
@@ -81,150 +105,174 @@ def _exp(x: np.ndarray) -> None:
     np.exp(x, out=x)
 
 
-def hidden(m: dict[str, np.ndarray], inputs: np.ndarray, keep: bool = False):
-    """Last hidden state of windows of inputs (n, WINDOW); `keep` also returns what the gradient needs."""
-    n, t = inputs.shape
-    x = m["E"][inputs] + m["P"][:t]
-    qkv = (x.reshape(-1, WIDTH) @ m["A"]).reshape(n, t, 3 * WIDTH)
-    q, k, v = qkv[..., :WIDTH], qkv[..., WIDTH : 2 * WIDTH], qkv[..., 2 * WIDTH :]
-    s = np.matmul(q * np.float32(WIDTH**-0.5), k.transpose(0, 2, 1))
+def attention(m: dict[str, np.ndarray], inputs: np.ndarray):
+    """What the scored positions of windows of inputs (n, WINDOW) see, and what its gradient needs."""
+    n = len(inputs)
+    x = m["E"].take(inputs, axis=0)
+    x += m["P"]
+    xq = x[:, OVERLAP:].reshape(-1, WIDTH)
+    q = (xq @ m["A"]).reshape(n, STRIDE, WIDTH)
+    s = np.matmul(q, x.transpose(0, 2, 1))
     _exp(s)
-    s *= _MASK[:t, :t]
-    if keep:
-        s /= s.sum(2, keepdims=True)
-        a = np.matmul(s, v)
-    else:  # the sums come from the same product, as one more column of values
-        a = np.matmul(s, np.concatenate([v, np.ones((n, t, 1), np.float32)], 2))
-        a = a[..., :WIDTH] / a[..., WIDTH:]
-    h = x + (a.reshape(-1, WIDTH) @ m["O"]).reshape(n, t, WIDTH)
-    z = np.maximum(h.reshape(-1, WIDTH) @ m["W"] + m["c"], 0)
-    g = h + (z @ m["V"]).reshape(n, t, WIDTH)
-    return (g, x, q, k, v, s, a, h, z) if keep else g
-
-
-def log_classes(m: dict[str, np.ndarray], g: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    """Log probability of the class of each target, for hidden states (n, WIDTH)."""
-    logits = g @ m["U"]
-    logits += m["b"]
-    if logits.size and logits.max() > 60:
-        logits -= logits.max(1, keepdims=True)
-    own = logits[np.arange(len(cls)), cls].copy()
-    np.exp(logits, out=logits)
-    return own - np.log(logits @ np.ones(CLASSES, logits.dtype))
-
-
-def gradient(m: dict[str, np.ndarray], inputs: np.ndarray, cls: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss over the real targets, and its gradient."""
-    n, t = inputs.shape
-    g, x, q, k, v, s, a, h, z = hidden(m, inputs, True)
-    flat = g.reshape(-1, WIDTH)
-    logits = flat @ m["U"] + m["b"]
-    logits -= logits.max(1, keepdims=True)
-    p = np.exp(logits)
-    p /= p.sum(1, keepdims=True)
-    w = real.ravel().astype(np.float32) / max(real.sum(), 1)
-    at = np.arange(len(p)), cls.ravel()
-    loss = float(-(np.log(np.maximum(p[at], 1e-30)) * w).sum())
-    p[at] -= 1
-    p *= w[:, None]
-    d = {"U": flat.T @ p, "b": p.sum(0)}
-    dg = p @ m["U"].T
-    d["V"] = z.T @ dg
-    dz = (dg @ m["V"].T) * (z > 0)
-    d["W"], d["c"] = h.reshape(-1, WIDTH).T @ dz, dz.sum(0)
-    dh = dg + dz @ m["W"].T
-    d["O"] = a.reshape(-1, WIDTH).T @ dh
-    da = (dh @ m["O"].T).reshape(n, t, WIDTH)
-    dv = np.matmul(s.transpose(0, 2, 1), da)
-    ds = np.matmul(da, v.transpose(0, 2, 1))
-    ds = s * (ds - (ds * s).sum(2, keepdims=True)) * np.float32(WIDTH**-0.5)
-    dqkv = np.concatenate([np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), dv], 2).reshape(-1, 3 * WIDTH)
-    d["A"] = x.reshape(-1, WIDTH).T @ dqkv
-    dx = dh + dqkv @ m["A"].T
-    d["P"] = np.zeros_like(m["P"])
-    d["P"][:t] = dx.reshape(n, t, WIDTH).sum(0)
-    rows = inputs.ravel()
-    order = np.argsort(rows, kind="stable")
-    cut = np.flatnonzero(np.append(True, rows[order][1:] != rows[order][:-1]))
-    d["E"] = np.zeros_like(m["E"])
-    d["E"][rows[order][cut]] = np.add.reduceat(dx[order], cut, axis=0)
-    return loss, d
+    s *= _MASK
+    total = s.reshape(-1, WINDOW) @ np.ones((WINDOW, 1), s.dtype)
+    a = np.matmul(s, x).reshape(-1, WIDTH)
+    a /= total
+    h = a @ m["O"]
+    h += xq
+    return h, (x, xq, q, s, total, a)
+
+
+def output(m: dict[str, np.ndarray], h: np.ndarray, cls: np.ndarray):
+    """Log probability of the class of each target for what its position sees, in the order of the targets' groups."""
+    groups, member = np.divmod(cls, MEMBERS)
+    order = np.argsort(groups.astype(np.uint8), kind="stable")
+    groups, member, h = groups[order], member[order], h[order]
+    cuts = np.cumsum([0, *np.bincount(groups, minlength=GROUPS)]).tolist()
+    z = h @ m["W"]
+    z += m["c"]
+    np.maximum(z, 0, out=z)
+    g = np.ones((len(h), WIDTH + 1), h.dtype)
+    g[:, :WIDTH] = h
+    g[:, :WIDTH] += z @ m["V"]
+    outer = g @ m["G"]
+    inner = np.empty((len(h), MEMBERS), h.dtype)
+    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+        np.matmul(g[a:b], m["U"][k], out=inner[a:b])
+    both, sums = [], []
+    for logits, aim in ((outer, groups), (inner, member)):
+        if logits.size and logits.max() > 60:
+            logits -= logits.max(1, keepdims=True)
+        at = np.arange(len(h)) * logits.shape[1] + aim
+        both.append(logits.ravel()[at])
+        np.exp(logits, out=logits)
+        sums.append((logits @ np.ones((logits.shape[1], 1), h.dtype))[:, 0])
+    value = both[0] + both[1] - np.log(sums[0] * sums[1])
+    return value, order, (groups, member, h, cuts, z, g, outer, inner, sums)
+
+
+def log_classes(m: dict[str, np.ndarray], inputs: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """Log probability of the classes (n, STRIDE) that follow in windows of inputs (n, WINDOW)."""
+    value, order, _ = output(m, attention(m, inputs)[0], cls.ravel())
+    out = np.empty(len(value))
+    out[order] = value
+    return out.reshape(cls.shape)
+
+
+def gradient(m: dict[str, np.ndarray], inputs: np.ndarray, cls: np.ndarray, real: np.ndarray, d: dict[str, np.ndarray]) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean loss over the real targets; its gradient goes to `d`, but for E: that is returned as rows and values."""
+    h, (x, xq, q, s, total, a) = attention(m, inputs)
+    value, order, (groups, member, h, cuts, z, g, outer, inner, sums) = output(m, h, cls.ravel())
+    n, kind = len(inputs), h.dtype
+    w = real.ravel()[order].astype(kind)
+    w /= max(w.sum(), 1)
+    loss = -float(value @ w)
+    for p, total_p, aim in ((outer, sums[0], groups), (inner, sums[1], member)):
+        p *= (w / total_p)[:, None]
+        p.ravel()[np.arange(len(p)) * p.shape[1] + aim] -= w
+    np.matmul(g.T, outer, out=d["G"])
+    dg = outer @ m["G"][:WIDTH].T
+    for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])):
+        np.matmul(g[i:j].T, inner[i:j], out=d["U"][k])
+        dg[i:j] += inner[i:j] @ m["U"][k, :WIDTH].T
+    np.matmul(z.T, dg, out=d["V"])
+    dz = dg @ m["V"].T
+    dz *= z > 0
+    np.matmul(h.T, dz, out=d["W"])
+    d["c"][...] = np.ones(len(dz), kind) @ dz
+    dg += dz @ m["W"].T
+    dh = np.empty_like(dg)
+    dh[order] = dg
+    np.matmul(a.T, dh, out=d["O"])
+    da = dh @ m["O"].T
+    da /= total
+    along = np.einsum("ij,ij->i", da, a).reshape(n, STRIDE, 1)
+    da = da.reshape(n, STRIDE, WIDTH)
+    ds = np.matmul(da, x.transpose(0, 2, 1))
+    ds -= along
+    ds *= s
+    dx = np.matmul(s.transpose(0, 2, 1), da)
+    dx += np.matmul(ds.transpose(0, 2, 1), q)
+    dq = np.matmul(ds, x).reshape(-1, WIDTH)
+    np.matmul(xq.T, dq, out=d["A"])
+    dh += dq @ m["A"].T
+    dx[:, OVERLAP:] += dh.reshape(n, STRIDE, WIDTH)
+    d["P"][...] = dx.sum(0)
+    used = np.zeros(INPUTS + 1, bool)
+    used[inputs] = True
+    rows = np.flatnonzero(used)
+    place = (np.cumsum(used) - 1)[inputs.ravel()] * WIDTH
+    sums_e = np.bincount((place[:, None] + np.arange(WIDTH)).ravel(), dx.ravel(), len(rows) * WIDTH)
+    return loss, rows, sums_e.reshape(-1, WIDTH).astype(kind)
 
 
 class Trainer:
-    """Adam on one replica."""
-
-    def __init__(self, m: dict[str, np.ndarray]):
-        self.m = {k: v.copy() for k, v in m.items()}
-        self.mean = {k: np.zeros_like(v) for k, v in m.items()}
-        self.square = {k: np.zeros_like(v) for k, v in m.items()}
-        self.steps = 0
+    """Adam on one replica; of E only the rows of a batch move."""
+
+    def __init__(self, flat: np.ndarray, rate: float):
+        self.flat, self.rate, self.steps = flat.astype(np.float32), np.float32(rate), 0
+        self.m, self.slope = parts(self.flat), np.zeros(SIZE, np.float32)
+        self.d = parts(self.slope)
+        self.mean, self.square = np.zeros(SIZE, np.float32), np.zeros(SIZE, np.float32)
+        self.mean_e, self.square_e = (parts(x)["E"] for x in (self.mean, self.square))
+
+    def _move(self, mean: np.ndarray, square: np.ndarray, g: np.ndarray) -> np.ndarray:
+        mean += np.float32(0.1) * (g - mean)
+        g *= g
+        square += np.float32(0.01) * (g - square)
+        root = np.sqrt(square * np.float32(1 / (1 - 0.99**self.steps)))
+        root += np.float32(1e-8)
+        return mean * (self.rate / np.float32(1 - 0.9**self.steps)) / root
 
     def step(self, inputs: np.ndarray, cls: np.ndarray, real: np.ndarray) -> float:
-        loss, d = gradient(self.m, inputs, cls, real)
+        loss, rows, g = gradient(self.m, inputs, cls, real, self.d)
         self.steps += 1
-        a, b = np.float32(1 - 0.9**self.steps), np.float32(1 - 0.99**self.steps)
-        for k, g in d.items():
-            self.mean[k] += np.float32(0.1) * (g - self.mean[k])
-            self.square[k] += np.float32(0.01) * (g * g - self.square[k])
-            self.m[k] -= np.float32(RATE) * (self.mean[k] / a) / (np.sqrt(self.square[k] / b) + np.float32(1e-8))
+        dense = slice(0, PLACES["E"])
+        self.flat[dense] -= self._move(self.mean[dense], self.square[dense], self.slope[dense])
+        mean, square = self.mean_e[rows], self.square_e[rows]
+        self.m["E"][rows] -= self._move(mean, square, g)
+        self.mean_e[rows], self.square_e[rows] = mean, square
         return loss
 
 
-def to_bytes(m: dict[str, np.ndarray]) -> bytes:
-    return b"".join(np.ascontiguousarray(m[k], np.float32).tobytes() for k in SHAPES)
-
+class Windows:
+    """All windows of the texts of a batch: STRIDE targets each, and the WINDOW inputs that end before the last of them."""
 
-def from_vector(flat: np.ndarray) -> dict[str, np.ndarray]:
-    out, at = {}, 0
-    for k, s in SHAPES.items():
-        size = int(np.prod(s))
-        out[k] = flat[at : at + size].reshape(s).astype(np.float32)
-        at += size
-    return out
+    def __init__(self, flat: np.ndarray, offs: np.ndarray):
+        sizes = np.diff(offs)
+        count = -(-sizes // STRIDE)
+        self.text = np.repeat(np.arange(len(sizes)), count)
+        self.begin = (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)) * STRIDE
+        self.left = sizes[self.text] - self.begin
+        front = OVERLAP + 1  # start symbols before each text
+        padded = np.full(len(flat) + front * len(sizes) + WINDOW, INPUTS, np.int64)
+        padded[np.arange(len(flat)) + np.repeat((np.arange(len(sizes)) + 1) * front, sizes)] = fold(flat)
+        self.inputs, self.input_at = sliding_window_view(padded, WINDOW), offs[:-1][self.text] + self.text * front + self.begin
+        self.targets, self.target_at = sliding_window_view(np.append(flat, np.zeros(STRIDE, np.int64)), STRIDE), offs[:-1][self.text] + self.begin
 
+    def __len__(self) -> int:
+        return len(self.text)
 
-def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, first target and first scored target of every window, for texts of the given numbers of tokens."""
-    stride = WINDOW - OVERLAP
-    count = np.where(sizes > 0, np.maximum(np.ceil((sizes - WINDOW) / stride), 0) + 1, 0).astype(np.int64)
-    text = np.repeat(np.arange(len(sizes)), count)
-    begin = (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)) * stride
-    return text, begin, begin + np.where(begin > 0, OVERLAP, 0)
+    def take(self, rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Inputs, targets and which targets are real."""
+        return self.inputs[self.input_at[rows]], self.targets[self.target_at[rows]], np.arange(STRIDE) < self.left[rows, None]
 
 
-def gather(flat: np.ndarray, offs: np.ndarray, text: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs, targets and which targets are real, of windows; the input before a text is the start symbol."""
-    at = begin[:, None] + np.arange(WINDOW)
-    size = np.diff(offs)[text][:, None]
-    real = at < size
-    place = offs[text][:, None] + np.minimum(at, size - 1)
-    targets = flat[place]
-    inputs = fold(flat[np.maximum(place - 1, 0)])
-    inputs[at == 0] = INPUTS
-    return inputs, targets, real
-
-
-def score_texts(m: dict[str, np.ndarray], cls: np.ndarray, inside: np.ndarray, flat: np.ndarray, offs: np.ndarray, chunk: int = 128) -> np.ndarray:
+def score_texts(m: dict[str, np.ndarray], cls: np.ndarray, inside: np.ndarray, flat: np.ndarray, offs: np.ndarray, chunk: int = 256) -> np.ndarray:
     """Sum of the log probabilities of each text's tokens."""
-    text, begin, scored = windows(np.diff(offs))
+    windows = Windows(flat, offs)
     out = np.zeros(len(offs) - 1)
-    for a in range(0, len(text), chunk):
+    for a in range(0, len(windows), chunk):
         rows = slice(a, a + chunk)
-        inputs, targets, real = gather(flat, offs, text[rows], begin[rows])
-        real &= (begin[rows, None] + np.arange(WINDOW)) >= scored[rows, None]
-        g = hidden(m, inputs)[real]
-        aim = targets[real]
-        value = log_classes(m, g, cls[aim]) + inside[aim]
-        out += np.bincount(np.repeat(text[rows], real.sum(1)), value, len(out))
+        inputs, targets, real = windows.take(rows)
+        value = log_classes(m, inputs, cls[targets]) + inside[targets]
+        out += np.bincount(windows.text[rows], (value * real).sum(1), len(out))
     return out
 
 
-def _ids(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:
-    column = batch.column(at)
-    sizes = np.array([0 if v is None else len(v) // 2 for v in column.to_pylist()], np.int64)
-    joined = b"".join(v for v in column.to_pylist() if v)
-    return np.frombuffer(joined, np.uint16).astype(np.int64), np.append(0, np.cumsum(sizes))
+def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    raw, offs = buffers(column)
+    return raw.view(np.uint16).astype(np.int64), offs // 2
 
 
 def tokenise(docs: DataFrame, vocabulary: Vocabulary, doc_id: str, text: str) -> DataFrame:
@@ -233,12 +281,12 @@ def tokenise(docs: DataFrame, vocabulary: Vocabulary, doc_id: str, text: str) ->
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = vocabulary.trie()
-        for batch in sliced(batches, 2, SLICE):
-            flat, offs, _, _ = encode_batch(text_array(batch.column(2)), vocabulary, trie)
-            raw = flat.astype(np.uint16)
-            parts = [raw[a:b].tobytes() for a, b in zip(offs[:-1], offs[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.binary())], ["doc_id", "key", "ids"])
+        segments = segmenter(vocabulary)
+        for batch in sliced(batches, 2, 4 * SLICE):
+            flat, offs, _, _ = encode_batch(text_array(batch.column(2)), segments)
+            raw = pa.py_buffer(flat.astype(np.uint16))
+            ids = pa.Array.from_buffers(pa.binary(), len(offs) - 1, [None, pa.py_buffer((offs * 2).astype(np.int32)), raw])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], ["doc_id", "key", "ids"])
 
     return materialize(source.mapInArrow(run, f"doc_id {kind}, key long, ids binary"), "piece-ids")
 
@@ -247,8 +295,7 @@ def count_pieces(tokens: DataFrame, size: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            flat, _ = _ids(batch, 0)
-            total += np.bincount(flat, minlength=size)
+            total += np.bincount(_ids(batch.column(0))[0], minlength=size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["piece", "n"])
 
@@ -258,77 +305,88 @@ def count_pieces(tokens: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def train(tokens: DataFrame, cls: np.ndarray, bias: np.ndarray, one_in: int = TRAIN_ONE_IN, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+def train(tokens: DataFrame, cls: np.ndarray, bias: np.ndarray, n_tokens: int, rates: tuple[float, ...] = RATES, per_replica: int = WINDOWS_PER_REPLICA) -> np.ndarray:
+    """The weights after one pass over all windows, in as many rounds as there are rates."""
     model = start(bias)
-    size = F.length("ids") / 2
-    count = F.when(size > 0, F.greatest(F.ceil((size - WINDOW) / (WINDOW - OVERLAP)), F.lit(0)) + 1)
-    n = -(-(tokens.agg(F.sum(count)).collect()[0][0] or 0) // one_in)
-    if not n:
+    if not n_tokens or not rates:
         return model
-    replicas = math.ceil(math.sqrt(n / WINDOWS_PER_REPLICA))
-    dealt = tokens.select("key", "ids").repartition(replicas, "key").sortWithinPartitions("key", "ids")
+    replicas = math.ceil(math.sqrt(n_tokens / STRIDE / len(rates) / per_replica))
+    turn = F.pmod(F.xxhash64("key", F.lit("round")), F.lit(len(rates)))
+    shape = "slot long, n long, weights binary"
 
-    def pools(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-        """Inputs, targets and real targets of BATCH windows at a time; a pool's windows in the order of their hashes."""
+    def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        """BATCH windows at a time; a pool's windows in the order of their hashes."""
         for batch in sliced(batches, 1, POOL):
-            flat, offs = _ids(batch, 1)
-            text, begin, _ = windows(np.diff(offs))
-            key = np.asarray(batch.column(0)).view(np.uint64)[text]
-            h = mix(key + begin.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            use = np.flatnonzero(h % np.uint64(one_in) == 0)
-            use = use[np.argsort(h[use], kind="stable")]
-            for a in range(0, len(use), BATCH):
-                yield gather(flat, offs, text[use[a : a + BATCH]], begin[use[a : a + BATCH]])
-
-    for _ in range(rounds):
-
-        def fit(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
-            trainer, seen = Trainer(model), 0
-            for inputs, targets, real in pools(batches):
+            windows = Windows(*_ids(batch.column(1)))
+            key = np.asarray(batch.column(0)).view(np.uint64)[windows.text]
+            order = np.argsort(mix(key + windows.begin.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), kind="stable")
+            for a in range(0, len(order), BATCH):
+                yield windows.take(order[a : a + BATCH])
+
+    def one(slot: int, n: int, weights: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([slot], pa.int64()), pa.array([n], pa.int64()), pa.array([weights.astype(np.float32).tobytes()], pa.binary())], ["slot", "n", "weights"])
+
+    def mean(batches: Iterator[tuple[int, int, bytes]]) -> tuple[int, int, np.ndarray] | None:
+        """Slot of the first, number of windows and average of some replicas."""
+        slot, seen, total = 0, 0, np.zeros(SIZE)
+        for s, k, w in batches:
+            slot = slot if seen else s
+            total += np.frombuffer(w, np.float32).astype(np.float64) * k
+            seen += k
+        return (slot, seen, total / seen) if seen else None
+
+    for number, rate in enumerate(rates):
+
+        def fit(batches: Iterator[pa.RecordBatch], model=model, rate=rate) -> Iterator[pa.RecordBatch]:
+            keep_heap()
+            trainer, seen, slot = Trainer(model, rate), 0, None
+
+            def noted() -> Iterator[pa.RecordBatch]:
+                nonlocal slot
+                for batch in batches:
+                    slot = batch.column(0)[0].as_py() if slot is None and batch.num_rows else slot
+                    yield batch
+
+            for inputs, targets, real in batches_of(noted()):
                 trainer.step(inputs, cls[targets], real)
                 seen += len(inputs)
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([to_bytes(trainer.m)], pa.binary())], ["n", "weights"])
+                yield one(slot, seen, trainer.flat)
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen, total = 0, None
-            for batch in batches:
-                for k, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    part = np.frombuffer(w, np.float32).astype(np.float64) * k
-                    total, seen = part if total is None else total + part, seen + k
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([(total / seen).astype(np.float32).tobytes()], pa.binary())], ["n", "weights"])
+            if found := mean(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns))):
+                yield one(*found)
 
-        found, left = dealt.mapInArrow(fit, "n long, weights binary"), replicas
-        while left > 1:  # averaged in a tree, so that no task gets more than 32 replicas
+        dealt = tokens.where(turn == number).select("key", "ids").repartition(replicas, "key").sortWithinPartitions("key", "ids")
+        found, left = dealt.mapInArrow(fit, shape), replicas
+        while left > 32:  # averaged in a tree, so that neither a task nor the driver gets many replicas at once; always in the same order
             left = -(-left // 32)
-            found = found.repartition(left).mapInArrow(add, "n long, weights binary")
-        rows = found.collect()
-        if not rows:
-            return model
-        total = sum(r["n"] for r in rows)
-        model = from_vector(sum(np.frombuffer(r["weights"], np.float32).astype(np.float64) * (r["n"] / total) for r in rows))
+            found = found.repartition(left, "slot").sortWithinPartitions("slot").mapInArrow(add, shape)
+        rows = sorted((r["slot"], r["n"], r["weights"]) for r in found.collect())
+        if rows:
+            model = mean(iter(rows))[2].astype(np.float32)
     return model
 
 
-def score(docs: DataFrame, model_file: str | None = None, one_in: int = TRAIN_ONE_IN, rounds: int = ROUNDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, log_prob, perplexity of every document."""
+def score(docs: DataFrame, model_file: str | None = None, rates: tuple[float, ...] = RATES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_tokens, log_prob, perplexity of every document; without rates the weights stay untrained."""
     vocabulary = Vocabulary(model_file)
     tokens = tokenise(docs, vocabulary, doc_id, text)
-    cls, inside, bias = output_classes(count_pieces(tokens, len(vocabulary.pieces)))
-    model = train(tokens, cls, bias, one_in, rounds)
+    counts = count_pieces(tokens, len(vocabulary.pieces))
+    cls, inside, bias = output_classes(counts)
+    model = train(tokens, cls, bias, int(counts.sum()), rates)
     kind = tokens.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                part = batch.slice(a, 1024)
-                flat, offs = _ids(part, 1)
-                n = np.diff(offs)
-                mean = np.round(score_texts(model, cls, inside, flat, offs) / np.maximum(n, 1), ROUND)
-                none = n == 0
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n), pa.array(mean, mask=none), pa.array(np.round(np.exp(-mean), ROUND), mask=none)], ["doc_id", "n_tokens", "log_prob", "perplexity"]
-                )
+        keep_heap()
+        m = parts(model)
+        for batch in sliced(batches, 1, POOL):
+            flat, offs = _ids(batch.column(1))
+            n = np.diff(offs)
+            mean = np.round(score_texts(m, cls, inside, flat, offs) / np.maximum(n, 1), ROUND)
+            none = n == 0
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n), pa.array(mean, mask=none), pa.array(np.round(np.exp(-mean), ROUND), mask=none)], ["doc_id", "n_tokens", "log_prob", "perplexity"]
+            )
 
     return tokens.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, n_tokens long, log_prob double, perplexity double")
