@@ -78,7 +78,7 @@ OP9_SQL = """
 WITH scored AS (
   SELECT a.vec_id, b.vec_id AS neighbor_id,
          round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 8) AS score
-  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
 ), ranked AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, neighbor_id) AS INTEGER) AS rank FROM scored
 )
