@@ -6,7 +6,10 @@ to 1).  The model is fitted on a bounded, documented sample of labelled rows (`p
 documents a language, lowest hash of the id first); every document is then scored in full.
 
 Defined results: a null or empty text, or one without letters, gets language 'und',
-score null, coverage 0 and keep false.  Ties go to the language that sorts first.  Repeated
+score null, coverage 0 and keep false.  So does (with its confidence and coverage) a text whose
+confidence is below MIN_CONFIDENCE, or of whose words less than MIN_COVERAGE are known or
+covered by n-grams of two letters or more; exactly the threshold keeps.  Ties go to the
+language that sorts first (and two equal languages are below the confidence that keeps).  Repeated
 rows get equal results.  An empty table gives an empty result.  Rows with a null label are
 scored but not used for fitting.  When no labelled row exists every document is 'und'.
 """

@@ -20,7 +20,8 @@ candidate terms (over all documents), and rewriting.
 Defined results: a null text stays null, an empty one empty; texts without entities come
 back byte for byte.  Repeated rows are counted once and rewritten alike.  Overlapping
 patterns resolve to the leftmost, then to the order of PATTERNS.  A tie at the threshold
-discloses.  An empty table gives an empty result.
+discloses.  Added columns whose name is taken get an underscore.  An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import materialize, sliced
+from marginalia.llm.common import fresh, materialize, sliced
 
 WINDOW, ALPHA, SMOOTHING = 8, 0.5, 7
 #: Disclosing (entity, term) pairs up to which they travel with the kernel; beyond it they are joined by document.
@@ -178,6 +179,7 @@ def sanitise_documents(docs: DataFrame, text: str = "text", n_chars: str | None
     schema = docs.schema
     at = docs.columns.index(text)
     length = docs.columns.index(n_chars) if n_chars in docs.columns else None
+    added = [fresh(docs, c) for c in ("n_entities", "n_terms")]
     by_entity: dict[str, list[str]] = {}
     joined = len(rows) > MAX_PAIRS
     if joined:
@@ -208,14 +210,14 @@ def sanitise_documents(docs: DataFrame, text: str = "text", n_chars: str | None
             names = list(schema.names)
             if counts:
                 columns += [pa.array(found, pa.int32()), pa.array(hidden, pa.int32())]
-                names += ["n_entities", "n_terms"]
+                names += added
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     out = schema
     if counts:
         from pyspark.sql.types import IntegerType, StructField, StructType
 
-        out = StructType([*schema.fields, StructField("n_entities", IntegerType()), StructField("n_terms", IntegerType())])
+        out = StructType([*schema.fields, *(StructField(c, IntegerType()) for c in added)])
     return docs.mapInArrow(run, out)
 
 

@@ -10,7 +10,8 @@ that inflected forms count), whose presence is significantly tied to a label.
 
 Defined results: a null or empty text has all statistics 0 and is scored like any other
 text without words, quality not above 0.5 (there is nothing to keep), so it is rejected.
-Rows with a null label or id are not used for fitting.  Without labels of both classes a
+Rows with a null label or id are not used for fitting; of labels of one id that contradict
+each other the lower quality and the higher toxicity count.  Without labels of both classes a
 model gives its prior.  Repeated rows get equal scores; equal gains take the first feature
 and bin.  A score of exactly the threshold keeps.  An empty table gives an empty result.
 """
@@ -30,7 +31,7 @@ MAX_LABELLED = 20_000
 BINS, TREES, DEPTH, RATE, L2, MIN_LEAF = 64, 60, 4, 0.2, 1.0, 20
 MIN_QUALITY, MAX_TOXICITY = 0.5, 0.5
 #: Documents of the sample that must hold a word, and the z-score of its tie to a label, for the lists.
-MIN_DOCS, MIN_Z, MAX_LIST, MIN_SHARE = 8, 5.0, 2000, 0.8
+MIN_DOCS, MIN_Z, MIN_SHARE = 8, 5.0, 0.8
 STEMS = (4, 5, 6, 7, 8)
 
 _CLASS = np.full(256, 7, np.uint8)
@@ -187,21 +188,22 @@ class Forest:
 
 def tied_words(found: list, n: np.ndarray) -> set[str]:
     """Words whose document frequency in class 1 is significantly above that in class 0. found: (word, in class 0, in class 1)."""
-    scored = []
+    out = set()
     for word, a, b in found:
         pool = (a + b) / n.sum()
         spread = np.sqrt(max(pool * (1 - pool) * (1 / max(n[0], 1) + 1 / max(n[1], 1)), 1e-12))
         z = (b / max(n[1], 1) - a / max(n[0], 1)) / spread
         if z >= MIN_Z and b >= MIN_SHARE * (a + b):
-            scored.append((-z, word))
-    return {w for _, w in sorted(scored)[:MAX_LIST]}
+            out.add(word)
+    return out
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
     """text, quality, toxic of at most `limit` labelled documents."""
     spread = F.xxhash64(F.col("doc_id").cast("string"), F.lit(29))
-    usable = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").select("doc_id", "quality", "toxic", spread.alias("h"))
-    chosen = usable.dropDuplicates(["doc_id"]).orderBy("h", "doc_id").limit(limit).drop("h")
+    usable = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL")
+    one = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    chosen = one.orderBy(spread, "doc_id").limit(limit)
     return materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "quality", "toxic"), "labelled")
 
 
