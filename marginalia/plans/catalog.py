@@ -562,8 +562,8 @@ def ner_prf(spark, sf_dir):
     return metrics.entity_scores(truth, truth.where(F.length("text") >= 2))
 
 
-@query(f"""WITH {_NUMBERS_SQL}, p AS (SELECT *, unnest(range(n_start, n_end)) AS pos FROM numbers)
-SELECT doc_id, CAST(pos AS INTEGER) AS pos, CASE WHEN n_end - n_start = 1 THEN 'U' WHEN pos = n_start THEN 'B' WHEN pos = n_end - 1 THEN 'L' ELSE 'I' END || '-number' AS tag FROM p""")
+@query(f"""WITH {_NUMBERS_SQL}, places AS (SELECT *, unnest(range(n_start, n_end)) AS pos FROM numbers)
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, CASE WHEN n_end - n_start = 1 THEN 'U' WHEN pos = n_start THEN 'B' WHEN pos = n_end - 1 THEN 'L' ELSE 'I' END || '-number' AS tag FROM places""")
 def bilou_tags(spark, sf_dir):
     return metrics.character_tags(_numbers(spark, sf_dir)).select("doc_id", "pos", "tag")
 
