@@ -4,7 +4,8 @@ Each text has a signature of LANES b-bit minima over its word bigrams.  Two text
 duplicates if at most RADIUS lanes differ.  The lanes are split into CHUNKS chunks; by the
 pigeonhole principle a pair within RADIUS < 2 * CHUNKS lanes has a chunk with at most one
 wrong lane, so every chunk is indexed once per lane with that lane left out (the enumeration
-of the allowed chunk error).  All pairs under the distance threshold therefore meet in some
+of the allowed chunk error).  A key holds three lanes at least, 48 bits, so that of n
+signatures about n / 2^48 meet by chance in a bucket, less than one up to 10^14.  All pairs under the distance threshold therefore meet in some
 bucket; none is dropped and no bucket is capped.  A bucket of n signatures is resolved by
 pivots: one pivot is compared with all, then every signature outside its component is, which
 finds exactly the links that connect components without writing n * n / 2 pairs.  Groups are
@@ -30,9 +31,9 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.common import Tokens, fresh, hash_strings, lowered, materialize, mix, row_key, sliced, text_array
 
-LANES, BITS, CHUNKS, RADIUS = 64, 8, 14, 27
+LANES, BITS, CHUNKS, RADIUS = 64, 16, 14, 27
 #: Up to this many links one task joins the components; beyond it label propagation does. Both are exact.
-LINKS_IN_ONE_TASK = 4_000_000
+LINKS_IN_ONE_TASK = 1_000_000
 
 _rng = np.random.default_rng(20240607)
 _A = (_rng.integers(0, 2**31, 256, dtype=np.uint32) * np.uint32(2) + np.uint32(1)).astype(np.uint32)
