@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,9 +16,9 @@ from marginalia import data
 from marginalia.functions import spans as S
 from marginalia.functions import text as T
 from marginalia.operators.context import folded
-from marginalia.operators.kernel import Found, Segment, TextOperation, attribute, norm_attribute
+from marginalia.operators.kernel import Found, Rows, Segment, TextOperation, attribute, norm_attribute, pieces
 from marginalia.plans.tables import written
-from marginalia.schema import uid_column
+from marginalia.schema import ANN, op_id, uid_column
 
 
 @dataclass(frozen=True)
@@ -159,12 +162,6 @@ class SimilarityMatcher(TextOperation):
         super().__init__(name, {"rules": [r.__dict__ for r in rules], "threshold": threshold, "similarity": similarity}, kernel, attrs_to_copy)
 
 
-def term_table(terms: DataFrame, term: str = "term") -> DataFrame:
-    """The inverted index of a large dictionary: gram, size (number of grams), term columns."""
-    plain = F.lower(folded(F.col(term)))
-    return terms.withColumn("plain", plain).withColumn("grams", T.ngrams_column(F.col("plain"))).withColumn("size", F.size("grams"))
-
-
 #: Distinct grams up to which their frequencies are broadcast rather than shuffled.
 MAX_GRAMS = 200_000
 
@@ -195,7 +192,7 @@ def fuzzy_join(candidates: DataFrame, terms: DataFrame, threshold: float = 0.9,
 
     left, right = side(both[0], "c_text"), side(both[1], "c_term")
     near = (F.col("c_text_n") * threshold <= F.col("c_term_n")) & (F.col("c_term_n") * threshold <= F.col("c_text_n"))
-    first = F.array_intersect("c_text_prefix", "c_term_prefix")[0] == F.col("gram")
+    first = F.get(F.array_intersect("c_text_prefix", "c_term_prefix"), 0) == F.col("gram")
     score = F.round(T.similarity_column(F.col("c_text_grams"), F.col("c_term_grams")), 6)
     pairs = left.join(right, "gram").where(near & first)
     return pairs.select(F.col("c_text").alias(text), F.col("c_term").alias(term), score.alias("score")).where(F.col("score") >= threshold)
@@ -252,6 +249,46 @@ class TerminologyMatcher(SimilarityMatcher):
         super().__init__(terminology_rules(entries, labels, groups, version=version), threshold, name="TerminologyMatcher", **settings)
 
 
+class TerminologyJoin:
+    """Entities similar to terms of a terminology of any size: both sides are tables, so nothing of it passes the driver or a closure.
+
+    `entries` has cui, term and semgroups.  Candidate texts meet terms in `fuzzy_join`; the best
+    matches of each segment are then chosen as the kernel matchers choose them.
+    """
+
+    def __init__(self, threshold: float = 0.9, min_length: int = 3, max_length: int = 50, labels: dict[str, str] | None = None, groups: Iterable[str] | None = None, version: str | None = None):
+        self.threshold, self.lengths, self.version = threshold, (min_length, max_length), version
+        self.labels = {g: name for g, name in (GROUPS | (labels or {})).items() if groups is None or g in set(groups)}
+        self.op_id = op_id("TerminologyJoin", {"threshold": threshold, "lengths": self.lengths, "labels": self.labels, "version": version})
+
+    def run(self, segments: DataFrame, entries: DataFrame) -> DataFrame:
+        shortest, longest = self.lengths
+        label = F.create_map(*(F.lit(x) for pair in self.labels.items() for x in pair))
+        group = F.get(F.filter("semgroups", lambda g: g.isin(list(self.labels))), 0)
+        terms = entries.select("cui", "term", label[group].alias("label")).where("label IS NOT NULL AND term <> ''").distinct()
+
+        def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in pieces(batches):
+                found = [(u, a, b, t[a:b]) for u, t in zip(*(c.to_pylist() for c in batch.columns)) for a, b in T.candidate_ranges(t or "", shortest, longest)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found) if found else ((), (), (), ()), (pa.string(), pa.int32(), pa.int32(), pa.string()))], ["uid", "a", "b", "text"])
+
+        places = written(segments.select("uid", "text").mapInArrow(ranges, "uid string, a int, b int, text string"), "candidates")
+        pairs = fuzzy_join(places, terms, self.threshold)
+        hits = places.join(pairs, "text").join(terms, "term").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("a", "b", "score", "label", "cui", "term"))).alias("hits"))
+        rows, version = Rows(self.op_id), self.version
+
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in pieces(batches):
+                for r in batch.to_pylist():
+                    best = best_matches([(h["score"], h["a"], h["b"], h) for h in r["hits"]])
+                    norms = ((a, b, score, h, norm_attribute(kb_name="umls", kb_id=h["cui"], kb_version=version, term=h["term"], score=score)) for score, a, b, h in best)
+                    rows.add(Segment.of(r), (Found(h["label"], (a, b), kind="entity", attrs=[norm]) for a, b, _, h, norm in norms))
+                yield rows.batch()
+
+        found = segments.join(hits, "uid")
+        return found.select("doc_id", "uid", "label", "text", "spans", "attrs", "hits").mapInArrow(choose, ANN)
+
+
 class BestCandidateMatcher(SimilarityMatcher):
     """One candidate per place, as the best score and then the longest text decide; matches may touch."""
 
@@ -366,37 +403,49 @@ class TNMMatcher(TextOperation):
 # Embeddings.
 
 
-def link_embeddings(entities: DataFrame, terms: DataFrame, top: int = 1, threshold: float | None = None, entity_id="vec_id", term_id="vec_id", vector="embedding", block: int = 4096) -> DataFrame:
+#: Bytes of term vectors that are broadcast at once.
+MAX_VECTORS = 64 << 20
+
+
+def link_embeddings(entities: DataFrame, terms: DataFrame, top: int = 1, threshold: float | None = None, entity_id="vec_id", term_id="vec_id", vector="embedding", max_bytes: int = MAX_VECTORS) -> DataFrame:
     """entity_id, term_id, score (cosine, 4 decimals), rank of the `top` terms of each entity.
 
-    Terms are packed into blocks; every batch of entities meets every block in one matrix
-    product, and a window merges the lists of the blocks.
+    Terms go in groups of at most about `max_bytes`, which every task of a pass over the entities
+    gets as a broadcast; with several groups a window merges their lists.
     """
-    import numpy as np
-    import pyarrow as pa
-
-    packed = terms.where(F.col(vector).isNotNull()).select(F.col(term_id).alias("t"), F.col(vector).alias("v"))
-    packed = packed.withColumn("b", F.pmod(F.xxhash64("t"), F.lit(max(1, -(-packed.count() // block)))))
-    packed = packed.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("t", "v"))).alias("r")).select(F.col("r.t").alias("t_ids"), F.flatten(F.col("r.v")).alias("t_data"))
-    own = entities.where(F.col(vector).isNotNull()).select(F.col(entity_id).alias("e"), F.col(vector).alias("v"))
-    queries = own.withColumn("q", F.pmod(F.xxhash64("e"), F.lit(max(1, -(-own.count() // block)))))
-    queries = queries.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("e", "v"))).alias("r")).select(F.col("r.e").alias("e_ids"), F.flatten(F.col("r.v")).alias("e_data"))
-
-    def unit(values, n):
-        x = np.asarray(values, float).reshape(n, -1)
-        norm = np.sqrt((x * x).sum(1, keepdims=True))
-        return x / np.where(norm > 0, norm, 1)
-
-    def run(batches):
-        for batch in batches:
-            for row in range(batch.num_rows):
-                e, t = np.asarray(batch.column(0)[row].values), np.asarray(batch.column(2)[row].values)
-                s = np.round(unit(batch.column(1)[row].values, len(e)) @ unit(batch.column(3)[row].values, len(t)).T, 4)
-                k = min(top, len(t))
-                order = np.lexsort((np.broadcast_to(t, s.shape), -s), axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(e, k), pa.int64()), pa.array(t[order].ravel(), pa.int64()), pa.array(np.take_along_axis(s, order, 1).ravel())], ["entity_id", "term_id", "score"])
-
-    found = queries.crossJoin(packed).select("e_ids", "e_data", "t_ids", "t_data").mapInArrow(run, "entity_id long, term_id long, score double")
+    spark = terms.sparkSession
+    known = terms.where(F.col(vector).isNotNull()).select(F.col(term_id).alias("t"), F.col(vector).cast("array<double>").alias("v"))
+    size = known.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).collect()[0]
+    own = entities.where(F.col(vector).isNotNull()).select(F.col(entity_id).alias("e"), F.col(vector).cast("array<double>").alias("v"))
+    shape = f"entity_id {own.schema['e'].dataType.simpleString()}, term_id {known.schema['t'].dataType.simpleString()}, score double"
+    if not size["n"]:
+        return spark.createDataFrame([], shape + ", rank int")
+    groups = math.ceil(size["n"] * size["d"] * 8 / max_bytes)
+
+    def unit(rows: np.ndarray) -> np.ndarray:
+        norm = np.sqrt((rows * rows).sum(1, keepdims=True))
+        return rows / np.where(norm > 0, norm, 1)
+
+    found = None
+    for group in range(groups):
+        part = (known if groups == 1 else known.where(F.pmod(F.xxhash64("t"), F.lit(groups)) == group)).orderBy("t").toArrow()
+        if not part.num_rows:
+            continue
+        ids = part.column("t").combine_chunks()
+        sent = spark.sparkContext.broadcast((ids, unit(np.asarray(part.column("v").combine_chunks().flatten()).reshape(part.num_rows, -1))))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            t, data = sent.value
+            for batch in batches:
+                for a in range(0, batch.num_rows, 256):
+                    rows = batch.slice(a, 256)
+                    s = np.round(unit(np.asarray(rows.column(1).flatten()).reshape(rows.num_rows, -1)) @ data.T, 4)
+                    k = min(top, len(t))
+                    order = np.argsort(-s, axis=1, kind="stable")[:, :k]  # the terms are in the order of their ids
+                    yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(np.repeat(np.arange(rows.num_rows), k))), t.take(pa.array(order.ravel())), pa.array(np.take_along_axis(s, order, 1).ravel())], ["entity_id", "term_id", "score"])
+
+        some = own.mapInArrow(run, shape)
+        found = some if found is None else found.unionByName(some)
     rank = F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("score"), "term_id"))
     found = found.withColumn("rank", rank).where(F.col("rank") <= top)
     return found if threshold is None else found.where(F.col("score") >= threshold)

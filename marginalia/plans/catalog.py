@@ -6,6 +6,7 @@ Patterns name their character classes, as `\\w` and `\\b` mean different things
 from __future__ import annotations
 
 import unicodedata
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +16,7 @@ from marginalia.functions import dates, text as T
 from marginalia.functions.spans import normalize_column
 from marginalia.operators import audio, cleaning, context, duplicates, intervals, kernel, matching, metrics, segmentation
 from marginalia.plans import pipeline, provenance
+from marginalia.plans.tables import shared_folder
 from marginalia.schema import ATTR, RANGE, attrs_of, raw_segments, snippet
 from marginalia.sources import brat, exchange, terminologies
 
@@ -619,6 +621,27 @@ def ngram_candidates(spark, sf_dir):
     return matching.ngram_candidates(rows, 3, "key").select("key", "n", "candidate", "times")
 
 
+@query("""WITH e AS (SELECT p_partkey, 'C' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS cui, CASE WHEN p_partkey % 3 = 0 THEN 'FRE' ELSE 'ENG' END AS lang, p_brand || '-' || p_size AS lui, p_name AS term, p_type AS source FROM part)
+SELECT lui, cui, term, source, lang FROM (SELECT *, row_number() OVER (PARTITION BY lui ORDER BY p_partkey) AS r FROM e WHERE lang = 'ENG') WHERE r = 1""")
+def umls_entries(spark, sf_dir):
+    """A terminology file written from the parts, and of each lexical unit its first entry."""
+    part = _table(spark, sf_dir, "part").withColumn("lang", F.when(F.col("p_partkey") % 3 == 0, "FRE").otherwise("ENG"))
+    none = F.lit("")
+    fields = [F.concat(F.lit("C"), F.lpad(F.col("p_partkey").cast("string"), 7, "0")), F.col("lang"), none, F.concat_ws("-", "p_brand", F.col("p_size").cast("string")), *[none] * 7, F.col("p_type"), none, none, F.col("p_name"), none]
+    path = f"{shared_folder(spark)}/entries-{uuid.uuid4().hex}"
+    part.repartitionByRange(1, "p_partkey").sortWithinPartitions("p_partkey").select(F.concat_ws("|", *fields).alias("value")).write.text(path)
+    return terminologies.load_entries(spark, path, languages=["ENG"]).select("lui", "cui", "term", "source", "lang")
+
+
+@query()
+def umls_join(spark, sf_dir):
+    """Words of the benchmark as a terminology, found in the turns of the conversations."""
+    words = _distinct_words(_table(spark, sf_dir, "benchmark"), "term").where(F.length("term") > 6)
+    entries = words.select(F.concat(F.lit("C"), F.substring(F.sha2("term", 256), 1, 7)).alias("cui"), "term", F.array(F.lit("DISO")).alias("semgroups"))
+    found = matching.TerminologyJoin(0.8).run(_anns(_turn_rows(spark, sf_dir), "turn", "segment"), entries)
+    return found.select("doc_id", "parent_uid", "n_start", "n_end", "text", "label", F.col("attrs")[0].value.alias("value"))
+
+
 @query("SELECT p_brand, p_partkey, p_name FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part) WHERE r = 1")
 def umls_first_per_lui(spark, sf_dir):
     return terminologies.first_per_key(_table(spark, sf_dir, "part"), "p_brand", "p_partkey").select("p_brand", "p_partkey", "p_name")

@@ -303,3 +303,28 @@ def test_sentences_at_abbreviations_lists_and_headings(raw):
     text = "Vu par le Dr. Martin le 3 janv. 2020. TA 12.5 cmHg\n- toux\n- fièvre\n\nEVOLUTION FAVORABLE\nSortie à J5. cf. lettre"
     rows = [r["text"] for r in segmentation.RuleSentenceTokenizer().run(raw(text)).orderBy("seq").collect()]
     assert rows == ["Vu par le Dr. Martin le 3 janv. 2020.", "TA 12.5 cmHg", "- toux", "- fièvre", "EVOLUTION FAVORABLE\nSortie à J5.", "cf. lettre"]
+
+
+def test_terminology_as_a_table_finds_what_the_kernel_finds(spark, raw):
+    entries = [{"cui": "C1", "term": "diabetes mellitus", "semgroups": ["DISO"]}, {"cui": "C2", "term": "asthma", "semgroups": ["XXXX", "DISO"]}, {"cui": "C3", "term": "aspirin", "semgroups": ["CHEM"]}, {"cui": "C4", "term": "nothing", "semgroups": []}]
+    texts = ["He has diabetes melitus and asthma.", "Asthmas, aspirine; nothing more", "", "Diabètes mellitus"]
+    shown = lambda df: sorted((r["doc_id"], r["n_start"], r["n_end"], r["text"], r["label"], r["attrs"][0]["norm"]["kb_id"], round(r["attrs"][0]["norm"]["score"], 4)) for r in df.collect())
+    kernel = matching.TerminologyMatcher(entries, 0.6)
+    table = spark.createDataFrame(entries, "cui string, term string, semgroups array<string>")
+    joined = matching.TerminologyJoin(0.6).run(raw(*texts), table)
+    got, want = shown(joined), shown(kernel.run(raw(*texts)))
+    assert [g[:6] for g in got if g[0] != "3"] == [w[:6] for w in want if w[0] != "3"] and len(got) == 5
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 300])
+def test_links_in_one_group_and_in_several(spark, limit):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    e, t = rng.normal(size=(40, 4)), rng.normal(size=(60, 4))
+    t[7] = t[3]
+    tables = [spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>") for v in (e, t)]
+    got = [tuple(r) for r in matching.link_embeddings(*tables, 3, max_bytes=limit).orderBy("entity_id", "rank").select("entity_id", "term_id", "rank").collect()]
+    s = np.round((e / np.linalg.norm(e, axis=1)[:, None]) @ (t / np.linalg.norm(t, axis=1)[:, None]).T, 4)
+    assert got == [(i, int(j), k + 1) for i in range(40) for k, j in enumerate(np.argsort(-s[i], kind="stable")[:3])]
+    assert matching.link_embeddings(tables[0], tables[1].limit(0)).count() == 0
