@@ -400,6 +400,32 @@ class TNMMatcher(TextOperation):
         super().__init__("TNMMatcher", {"label": output_label}, kernel, attrs_to_copy)
 
 
+_ADICAP = re.compile(r"\b(?P<sampling_mode>[A-Z])(?P<technic>[A-Z])(?P<organ>[A-Z]{2})(?P<pathology>(?P<pathology_type>[0-9A-Z])(?P<lesion>[A-Z0-9])(?P<behaviour_type>[A-Z0-9])[A-Z0-9])\b")
+
+
+class AdicapMatcher(TextOperation):
+    """Codes of pathological anatomy: eight characters for sampling, technique, organ and lesion.
+
+    `tables` has the meanings of the parts by their names (sampling_mode, technic, organ, pathology,
+    pathology_type, behaviour_type); a part whose table lacks it keeps its code, and a code whose
+    part isn't in a table that is given isn't one.
+    """
+
+    def __init__(self, tables: dict[str, dict[str, str]] | None = None, output_label="adicap", strict: bool = True, attrs_to_copy=()):
+        tables = tables or {}
+
+        def kernel(seg: Segment) -> Iterable[Found]:
+            for m in _ADICAP.finditer(seg.text):
+                parts = {k: v for k, v in m.groupdict().items() if k != "lesion"}
+                if m.group().isalpha() and not tables or (strict and any(parts[k] not in known for k, known in tables.items() if k in parts)):
+                    continue
+                shown = {k: tables.get(k, {}).get(v, v) for k, v in parts.items()}
+                attr = norm_attribute(kb_name="adicap", kb_id=m.group())
+                yield Found(output_label, m.span(), kind="entity", attrs=[attr | {"attr_class": "ADICAPNormAttribute", "metadata": shown}])
+
+        super().__init__("AdicapMatcher", {"label": output_label, "tables": tables, "strict": strict}, kernel, attrs_to_copy)
+
+
 # Embeddings.
 
 

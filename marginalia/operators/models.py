@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from marginalia.functions import spans as S
 from marginalia.functions.text import capitalized
 from marginalia.operators.kernel import Found, Rows, Segment, arrow_schema, attribute, pieces
-from marginalia.schema import ANN, op_id
+from marginalia.operators.matching import link_embeddings
+from marginalia.plans.tables import written
+from marginalia.schema import ANN, attach_attrs, op_id, uid_column
 
 
 class ModelOperation:
@@ -167,6 +169,33 @@ def embed(rows: DataFrame, load: Callable[[], Callable[[list[str]], np.ndarray]]
     return rows.select(F.col(uid).alias("uid"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, f"uid {kind}, embedding array<float>")
 
 
+class EmbeddingNormaliser:
+    """Entities with the terms that are nearest to them as normalisations.
+
+    Distinct texts of entities and terms are embedded by one model, linked by cosine, and the
+    `top` terms (of at least `threshold`) of a text are attached to every entity that has it.
+    """
+
+    def __init__(self, load: Callable[[], Callable[[list[str]], np.ndarray]], top: int = 1, threshold: float | None = None, kb_name: str = "umls", kb_version: str | None = None, batch_size: int = 128):
+        self.load, self.top, self.threshold, self.kb, self.batch_size = load, top, threshold, (kb_name, kb_version), batch_size
+        self.op_id = op_id("EmbeddingNormaliser", {"top": top, "threshold": threshold, "kb": self.kb})
+
+    def run(self, entities: DataFrame, terms: DataFrame) -> DataFrame:
+        """`terms` has cui and term."""
+        known = terms.select("cui", "term").where("term IS NOT NULL").distinct()
+        texts = entities.where("text IS NOT NULL").select("text").distinct()
+        vectors = [embed(rows, self.load, column, column, self.batch_size) for rows, column in ((texts, "text"), (known.select("term").distinct(), "term"))]
+        links = link_embeddings(written(vectors[0], "text-vectors"), written(vectors[1], "term-vectors"), self.top, self.threshold, "uid", "uid")
+        found = links.join(known, F.col("term_id") == F.col("term")).select(F.col("entity_id").alias("text"), "cui", "term", "score")
+        name, version = (F.lit(x).cast("string") for x in self.kb)
+        norm = F.struct(name.alias("kb_name"), F.col("cui").alias("kb_id"), version.alias("kb_version"), "term", F.col("score"))
+        attrs = entities.select("uid", "text").join(found, "text").select(
+            F.col("uid").alias("owner_id"), uid_column(F.lit(self.op_id), F.col("uid"), F.col("cui"), F.col("term")).alias("uid"), F.lit("EntityNorm").alias("attr_class"), F.lit("NORMALIZATION").alias("label"),
+            F.concat_ws(":", name, "cui").alias("value"), F.lit("string").alias("value_type"), norm.alias("norm"),
+        )
+        return attach_attrs(entities, attrs)
+
+
 def pool(states: np.ndarray, mask: np.ndarray, how: str = "cls") -> np.ndarray:
     """One vector per text of token states (texts, tokens, width): the first token's, or the mean of the unmasked ones."""
     if how == "cls":

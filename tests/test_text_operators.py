@@ -328,3 +328,27 @@ def test_links_in_one_group_and_in_several(spark, limit):
     s = np.round((e / np.linalg.norm(e, axis=1)[:, None]) @ (t / np.linalg.norm(t, axis=1)[:, None]).T, 4)
     assert got == [(i, int(j), k + 1) for i in range(40) for k, j in enumerate(np.argsort(-s[i], kind="stable")[:3])]
     assert matching.link_embeddings(tables[0], tables[1].limit(0)).count() == 0
+
+
+def test_codes_of_pathology(raw):
+    text = "Codes BHGS0040, ABCDEFGH et BHXX0040."
+    rows = matching.AdicapMatcher({"organ": {"GS": "breast"}}).run(raw(text)).collect()
+    assert [r["text"] for r in rows] == ["BHGS0040"]
+    attr = rows[0]["attrs"][0]
+    assert (attr["value"], attr["attr_class"], attr["metadata"]["organ"], attr["metadata"]["sampling_mode"], attr["metadata"]["pathology"]) == ("adicap:BHGS0040", "ADICAPNormAttribute", "breast", "B", "0040")
+    assert [r["text"] for r in matching.AdicapMatcher().run(raw(text)).orderBy("seq").collect()] == ["BHGS0040", "BHXX0040"]
+
+
+def test_entities_normalised_by_embeddings(spark, raw):
+    from marginalia.operators import models
+
+    def load():
+        import numpy as np
+
+        return lambda texts: np.array([[t.count(c) for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts], float)
+
+    terms = spark.createDataFrame([("C1", "diabetes"), ("C2", "asthma"), ("C3", "asthma")], "cui string, term string")
+    ents = matching.RegexpMatcher([matching.RegexpRule(r"diabets|asthmaa|zzz", "d")]).run(raw("diabets asthmaa diabets zzz"))
+    out = models.EmbeddingNormaliser(load, threshold=0.9).run(ents, terms).orderBy("n_start").collect()
+    assert [sorted(a["norm"]["kb_id"] for a in r["attrs"]) for r in out] == [["C1"], ["C2", "C3"], ["C1"], []]
+    assert len({a["uid"] for r in out for a in r["attrs"]}) == 4 and out[0]["attrs"][0]["value"] == "umls:C1"
