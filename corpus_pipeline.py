@@ -2,7 +2,15 @@
 
 Each stage works on all that its predecessor kept and returns the columns of `documents`
 (the last adds the token ids).  ORACLE_SQL is None: SQL can't express the stages; the tests
-hold them against brute force instead.
+hold all five, one after the other, against versions without tables or kernels instead.
+
+Defined results: documents with a null, empty or letterless text have no language and go at
+the first stage, as do those whose language is unsure.  Of rows that repeat another, and of
+near copies, the one with the lowest id stays (null ids last).  Texts of any length are
+worked on whole.  A tie of languages goes to the one that sorts first and is below the
+confidence that keeps; a tie at the threshold of disclosure hides the term.  Columns of other
+names are kept as they are; the added one is called piece_ids, with an underscore where that is
+taken.  An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -1,5 +1,6 @@
 """Brute force against the numpy kernels; no Spark."""
 
+import math
 import itertools
 import random
 
@@ -154,7 +155,7 @@ def _all_segmentations(text, v):
 def test_nbest_against_all_segmentations(vocabulary, text):
     n = 4
     want = _all_segmentations(text, vocabulary)[:n]
-    flat, offs, score, others = pieces.encode_batch(pa.array([text]), vocabulary, vocabulary.trie(), n)
+    flat, offs, score, others = pieces.encode_batch(pa.array([text]), pieces.segmenter(vocabulary), n)
     got = [score[0], *(score[0] - loss for loss, _ in others[0])]
     assert np.allclose(got, [w[0] for w in want])
     for (loss, edits), total in zip(others[0], got[1:]):
@@ -165,7 +166,7 @@ def test_decoding_gives_every_text_back(vocabulary):
     rng = random.Random(3)
     texts = ["", " ", "\n", "▁", "a▁b", "x" * 3000, "  lead", "tail  ", "\x00\x01", "😀é中文"]
     texts += ["".join(rng.choice("ab é\n▁😀\tZ9.") for _ in range(rng.randrange(40))) for _ in range(300)]
-    flat, offs, _, _ = pieces.encode_batch(pa.array(texts), vocabulary, vocabulary.trie())
+    flat, offs, _, _ = pieces.encode_batch(pa.array(texts), pieces.segmenter(vocabulary))
     assert pieces.decode_batch(flat, offs, vocabulary).to_pylist() == texts
 
 
@@ -273,45 +274,69 @@ def test_packing_follows_the_rule():
 
 def test_gradient_by_differences():
     rng = np.random.default_rng(0)
-    m = {k: v.astype(float) + rng.normal(size=v.shape) * 0.05 for k, v in lm.start(np.zeros(lm.CLASSES)).items()}
-    inputs, cls = rng.integers(0, 50, (3, lm.WINDOW)), rng.integers(0, lm.CLASSES, (3, lm.WINDOW))
-    real = rng.random((3, lm.WINDOW)) < 0.8
-    _, d = lm.gradient(m, inputs, cls, real)
-    for k in m:
+    flat = lm.start(np.zeros(lm.CLASSES)).astype(float)
+    flat += rng.normal(size=len(flat)) * 0.05
+    m, d = lm.parts(flat), lm.parts(np.zeros(lm.SIZE))
+    inputs, cls = rng.integers(0, 50, (3, lm.WINDOW)), rng.integers(0, lm.CLASSES, (3, lm.STRIDE))
+    real = rng.random((3, lm.STRIDE)) < 0.8
+    _, rows, values = lm.gradient(m, inputs, cls, real, d)
+    d["E"][rows] = values
+    for k in [*m, *m]:
         at = tuple(rng.integers(0, s) for s in m[k].shape)
         if k == "E":
             at = (int(inputs[0, 3]), at[1])
-        values = []
+        found = []
         for step in (1e-5, -2e-5):
             m[k][at] += step
-            values.append(lm.gradient(m, inputs, cls, real)[0])
+            found.append(lm.gradient(m, inputs, cls, real, lm.parts(np.zeros(lm.SIZE)))[0])
         m[k][at] += 1e-5
-        assert abs((values[0] - values[1]) / 2e-5 - d[k][at]) < 1e-5 + 1e-3 * abs(d[k][at])
+        assert abs((found[0] - found[1]) / 2e-5 - d[k][at]) < 1e-5 + 1e-3 * abs(d[k][at])
+
+
+def slow_log_prob(m, ids, cls, inside):
+    """Sum of the log probabilities of a text's tokens, one token and one key at a time."""
+    total = 0.0
+    for t in range(len(ids)):
+        begin = t // lm.STRIDE * lm.STRIDE - lm.OVERLAP  # the target before which the window's first input lies
+        seen = []
+        for place, target in enumerate(range(begin, t + 1)):
+            row = lm.INPUTS if target <= 0 else int(lm.fold(np.array([ids[target - 1]]))[0])
+            seen.append(m["E"][row].astype(float) + m["P"][place])
+        x = seen[-1]
+        weights = [math.exp(x @ m["A"] @ k) for k in seen]
+        h = x + sum(a * k for a, k in zip(weights, seen)) / sum(weights) @ m["O"]
+        g = np.append(h + np.maximum(h @ m["W"] + m["c"], 0) @ m["V"], 1.0)
+        group, member = divmod(int(cls[ids[t]]), lm.MEMBERS)
+        for logits, aim in ((g @ m["G"], group), (g @ m["U"][group], member)):
+            total += logits[aim] - math.log(sum(math.exp(v) for v in logits))
+        total += inside[ids[t]]
+    return total
 
 
 def test_windows_score_every_token_once_and_match_the_slow_way():
-    sizes = np.array([0, 1, lm.WINDOW - 1, lm.WINDOW, lm.WINDOW + 1, 200])
-    text, begin, scored = lm.windows(sizes)
-    hits = [np.zeros(n, int) for n in sizes]
-    for t, b, s in zip(text, begin, scored):
-        hits[t][s : b + lm.WINDOW] += 1
-    assert all((h == 1).all() for h in hits)
+    sizes = np.array([0, 1, lm.STRIDE - 1, lm.STRIDE, lm.STRIDE + 1, lm.WINDOW, 0, 200])
     rng = np.random.default_rng(1)
-    m = lm.start(rng.normal(size=lm.CLASSES))
+    m = lm.parts(lm.start(rng.normal(size=lm.CLASSES)) + rng.normal(size=lm.SIZE).astype(np.float32) * np.float32(0.1))
     flat = rng.integers(0, 32000, sizes.sum())
     offs = np.append(0, np.cumsum(sizes))
+    windows, hits = lm.Windows(flat, offs), [np.zeros(n, int) for n in sizes]
+    for t, b, n in zip(windows.text, windows.begin, windows.left):
+        hits[t][b : b + min(n, lm.STRIDE)] += 1
+    assert all((h == 1).all() for h in hits)
     cls, inside, _ = lm.output_classes(rng.integers(0, 50, 32000).astype(float))
     got = lm.score_texts(m, cls, inside, flat, offs, chunk=3)
-    want = np.zeros(len(sizes))
-    for t, b, s in zip(text, begin, scored):
-        ids = flat[offs[t] : offs[t + 1]]
-        for pos in range(s, min(b + lm.WINDOW, len(ids))):
-            seen = [lm.INPUTS if p == 0 else int(lm.fold(ids[p - 1 : p])[0]) for p in range(b, pos + 1)]
-            g = lm.hidden(m, np.array([seen]))[0, -1:]
-            want[t] += lm.log_classes(m, g, cls[ids[pos : pos + 1]])[0] + inside[ids[pos]]
+    want = [slow_log_prob(m, flat[a:b], cls, inside) for a, b in zip(offs[:-1], offs[1:])]
     assert np.allclose(got, want, atol=1e-2)
 
 
+def test_untrained_model_is_the_class_frequencies():
+    bias = lm.output_classes(np.random.default_rng(2).integers(0, 90, 32000).astype(float))[2]
+    m = lm.parts(lm.start(bias))
+    m["G"][:-1] = m["U"][:, :-1] = 0
+    cls = np.arange(lm.CLASSES)[: lm.STRIDE * 10].reshape(-1, lm.STRIDE)
+    assert np.allclose(lm.log_classes(m, np.zeros((len(cls), lm.WINDOW), np.int64), cls), bias[cls], atol=1e-4)
+
+
 def test_output_distribution_sums_to_one():
     cls, inside, bias = lm.output_classes(np.random.default_rng(0).integers(0, 9, 32000).astype(float))
     assert np.allclose(np.bincount(cls, np.exp(inside), lm.CLASSES), 1) and abs(np.exp(bias).sum() - 1) < 1e-9

@@ -1,5 +1,6 @@
 """The operators and the pipeline as DataFrame jobs: odd rows, and brute force over whole fixtures."""
 
+import math
 import random
 
 import numpy as np
@@ -140,9 +141,9 @@ def test_repeats_against_brute_force(spark, monkeypatch):
             text += p[a : len(p) - rng.randrange(3)]
         rows.append((rng.choice([i, i, 7]), " ".join(text) + rng.choice(["", "  ", "\n"]), "en", "a", 1))
     docs = make(spark, rows)
-    for limit in (500_000, 0):
+    for limit, hot in ((500_000, substrings.HOT), (0, substrings.HOT), (500_000, 0), (0, 3)):
         monkeypatch.setattr(substrings, "MAX_BROADCAST", limit)
-        got = substrings.remove_repeats(docs, least, 5).collect()
+        got = substrings.remove_repeats(docs, least, 5, hot=hot).collect()
         keyed = sorted({(r["doc_id"], r["k"], r["text"]) for r in docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k")).collect()})
         seen, want = set(), {}
         for i, _, text in keyed:
@@ -163,6 +164,36 @@ def test_shards_on_odd_rows(spark, odd, none):
     assert out.where("doc_id = 3").collect()[0]["bytes"] == 0
 
 
+def test_shards_in_pools_and_without_broadcast(spark, monkeypatch):
+    """Every document is placed once, its group in one shard, and pools are as even as one pool."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for limit in (500_000, 0, 200):
+        monkeypatch.setattr(shards, "MAX_BROADCAST", limit)
+        out = shards.assign(docs, shard_bytes=1 << 17, pool_shards=6).toPandas()
+        load = out.assign(rows=1).groupby("shard")[["bytes", "tokens", "rows"]].sum()
+        assert sorted(out.doc_id) == sorted(r["doc_id"] for r in docs.select("doc_id").collect())
+        assert (out.groupby(["source", "part"]).shard.nunique() == 1).all() and 12 < len(load) <= out.shard.max() + 1
+        assert load.bytes.max() < 2.5 * load.bytes.mean()
+
+
+def test_packing_is_largest_first_by_dot_product(spark):
+    """The placement of whole groups, against the rule written out for one pool."""
+    rng = random.Random(8)
+    docs = make(spark, [(i, words(rng, rng.randrange(1, 60)), "en", f"s{rng.randrange(40)}", 1) for i in range(300)])
+    out = shards.assign(docs, min_shards=4).toPandas().assign(rows=1)
+    groups = out.groupby([out.source.map("=".__add__), "part"])[["bytes", "tokens", "rows"]].sum().sort_index()
+    share = (groups / groups.sum()).to_numpy()
+    left = [[1.02 / 4] * 3 for _ in range(4)]
+    want = {}
+    for g in sorted(range(len(share)), key=lambda g: -max(share[g])):
+        fits = [s for s in range(4) if all(left[s][d] - share[g][d] >= -1e-12 for d in range(3))]
+        best = max(fits, key=lambda s: (sum(left[s][d] * share[g][d] for d in range(3)), -s)) if fits else max(range(4), key=lambda s: (min(left[s][d] - share[g][d] for d in range(3)), -s))
+        left[best] = [left[best][d] - share[g][d] for d in range(3)]
+        want[groups.index[g]] = best
+    got = {("=" + r.source, r.part): r.shard for r in out.itertuples()}
+    assert got == want
+
+
 def test_shards_balance_the_whole_table(spark):
     out = registry.op5_packed_shards(spark, "/root/testdata/sf0.01").toPandas()
     load = out.assign(rows=1).groupby("shard")[["bytes", "tokens", "rows"]].sum()
@@ -170,7 +201,7 @@ def test_shards_balance_the_whole_table(spark):
 
 
 def test_scores_on_odd_rows(spark, odd, none):
-    out = lm.score(odd, one_in=4)
+    out = lm.score(odd)
     assert ids(out) == ALL and lm.score(none).count() == 0
     got = {r["doc_id"]: r for r in out.collect()}
     assert got[2]["n_tokens"] == 0 and got[3]["log_prob"] is None and got[4]["log_prob"] < 0
@@ -178,21 +209,105 @@ def test_scores_on_odd_rows(spark, odd, none):
 
 
 def test_model_beats_piece_frequencies(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    trained = lm.score(docs, one_in=2, rounds=2).agg(F.sum(F.col("log_prob") * F.col("n_tokens"))).collect()[0][0]
-    plain = lm.score(docs, one_in=1 << 40).agg(F.sum(F.col("log_prob") * F.col("n_tokens"))).collect()[0][0]
-    assert trained > plain * 0.99
-
-
-def test_few_windows_train_the_model(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    mean = F.sum(F.col("log_prob") * F.col("n_tokens")) / F.sum("n_tokens")
+    trained, plain = (lm.score(docs, rates=rates).agg(mean).collect()[0][0] for rates in (lm.RATES, ()))
+    assert trained > -4.7 and plain < -5.5
+
+
+def test_replicas_are_averaged_in_one_order(spark):
+    tokens = lm.tokenise(spark.read.parquet(f"{SF}/documents.parquet"), lm.Vocabulary(None), "doc_id", "text")
+    counts = lm.count_pieces(tokens, 32000)
+    cls, _, bias = lm.output_classes(counts)
+    many = [lm.train(tokens, cls, bias, int(counts.sum()), rates=(4e-3, 2e-3), per_replica=2) for _ in range(2)]
+    assert math.ceil(math.sqrt(counts.sum() / lm.STRIDE / 2 / 2)) > 32 and np.array_equal(*many)
+    assert not np.array_equal(many[0], lm.start(bias))
+
+
+def slow_gradient(m, seen, aims):
+    """Loss and gradient of one window, written out position by position in double precision."""
+    w, d, loss = lm.WIDTH, {k: np.zeros(v.shape) for k, v in m.items()}, 0.0
+    x = m["E"][seen] + m["P"]
+    dx = np.zeros_like(x)
+    for i, aim in enumerate(aims):
+        at = lm.OVERLAP + i
+        keys = x[: at + 1]
+        q = x[at] @ m["A"]
+        p = np.exp(keys @ q)
+        p /= p.sum()
+        a = p @ keys
+        h = x[at] + a @ m["O"]
+        pre = h @ m["W"] + m["c"]
+        g = np.append(h + np.maximum(pre, 0) @ m["V"], 1.0)
+        group, member = divmod(aim, lm.MEMBERS)
+        dg = np.zeros(w + 1)
+        for table, slope, k_ in ((m["G"], d["G"], group), (m["U"][group], d["U"][group], member)):
+            soft = np.exp(g @ table)
+            soft /= soft.sum()
+            loss -= np.log(soft[k_])
+            soft[k_] -= 1
+            slope += np.outer(g, soft)
+            dg += table @ soft
+        dg = dg[:w]
+        d["V"] += np.outer(np.maximum(pre, 0), dg)
+        dpre = (m["V"] @ dg) * (pre > 0)
+        d["W"] += np.outer(h, dpre)
+        d["c"] += dpre
+        dh = dg + m["W"] @ dpre
+        d["O"] += np.outer(a, dh)
+        da = m["O"] @ dh
+        dp = keys @ da
+        dl = p * (dp - p @ dp)
+        dq = keys.T @ dl
+        d["A"] += np.outer(x[at], dq)
+        dx[: at + 1] += np.outer(dl, q) + np.outer(p, da)
+        dx[at] += dh + m["A"] @ dq
+    d["P"] += dx
+    np.add.at(d["E"], seen, dx)
+    return loss, d
+
+
+def test_training_matches_an_independent_slow_trainer(spark):
+    """With the registered rates, batch and replicas: every window of every document once, in the stated order."""
     rng = random.Random(5)
-    docs = make(spark, [(i, words(rng, 40), "en", "a", 1) for i in range(3)])
-    tokens = lm.tokenise(docs, lm.Vocabulary(None), "doc_id", "text").cache()
-    flat = [len(r["ids"]) // 2 for r in tokens.collect()]
-    n = len(lm.windows(np.array(flat))[0])
-    cls, bias = np.zeros(32000, np.int64), np.zeros(lm.CLASSES)
-    model = lm.train(tokens, cls, bias)
-    assert n < 64 and not np.array_equal(model["U"], lm.start(bias)["U"])
+    docs = make(spark, [(i, words(rng, 40 + 30 * i), "en", "a", 1) for i in range(12)])
+    tokens = lm.tokenise(docs, lm.Vocabulary(None), "doc_id", "text")
+    counts = lm.count_pieces(tokens, 32000)
+    cls, _, bias = lm.output_classes(counts)
+    got = lm.parts(lm.train(tokens, cls, bias, int(counts.sum())))
+    rows = tokens.select("key", "ids", F.pmod(F.xxhash64("key", F.lit("round")), F.lit(len(lm.RATES))).alias("turn")).orderBy("key", "ids").collect()
+    m = {k: v.astype(float) for k, v in lm.parts(lm.start(bias)).items()}
+    top, seen_windows = 1 << 64, 0
+    for turn, rate in enumerate(lm.RATES):
+        todo = []
+        for r in rows:
+            if r["turn"] == turn:
+                pieces_of = np.frombuffer(r["ids"], np.uint16).astype(int)
+                for b in range(0, len(pieces_of), lm.STRIDE):
+                    x = (r["key"] + b * 0x9E3779B97F4A7C15) % top
+                    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % top
+                    x = (x ^ (x >> 27)) * 0x94D049BB133111EB % top
+                    line = [lm.INPUTS if t <= 0 else int(lm.fold(pieces_of[t - 1 : t])[0]) for t in range(b - lm.OVERLAP, b + lm.STRIDE) if t <= len(pieces_of)]
+                    line += [0] * (lm.WINDOW - len(line))
+                    todo.append((x ^ (x >> 31), line, [int(cls[t]) for t in pieces_of[b : b + lm.STRIDE]]))
+        todo.sort(key=lambda w: w[0])
+        seen_windows += len(todo)
+        mean, square = ({k: np.zeros(v.shape) for k, v in m.items()} for _ in range(2))
+        for step, a in enumerate(range(0, len(todo), lm.BATCH), 1):
+            batch, total = todo[a : a + lm.BATCH], {k: np.zeros(v.shape) for k, v in m.items()}
+            for _, line, aims in batch:
+                for k, v in slow_gradient(m, np.array(line), aims)[1].items():
+                    total[k] += v / sum(len(w[2]) for w in batch)
+            touched = np.unique([i for w in batch for i in w[1]])
+            for k, g in total.items():
+                part = touched if k == "E" else slice(None)
+                mean[k][part] += 0.1 * (g[part] - mean[k][part])
+                square[k][part] += 0.01 * (g[part] ** 2 - square[k][part])
+                m[k][part] -= rate * (mean[k][part] / (1 - 0.9**step)) / (np.sqrt(square[k][part] / (1 - 0.99**step)) + 1e-8)
+    assert seen_windows == sum(-(-len(r["ids"]) // 2 // lm.STRIDE) for r in rows) > 100
+    for k in m:
+        off = np.abs(got[k] - m[k])
+        assert off.mean() < 1e-4 and (off < 5e-3).mean() > 0.995, k
 
 
 def test_groups_on_odd_rows(spark, odd, none):
@@ -258,7 +373,9 @@ def test_pieces_round_trip_over_the_whole_table(spark):
     assert out.agg(F.count("*"), F.sum(F.col("exact").cast("int"))).collect()[0][:] == (1000, 1000)
 
 
-def test_top_products_against_brute_force(spark):
+@pytest.mark.parametrize(("every", "settings"), [(1, {}), (7, {"group_bytes": 1200}), (50, {"buckets": 3})])
+def test_top_products_against_brute_force(spark, every, settings):
+    """One group of queries and several, few buckets and many; with ties, a zero vector and rows that don't count."""
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 8))
     x[:150] = x[0] + rng.normal(size=(150, 8)) * 0.05
@@ -267,27 +384,40 @@ def test_top_products_against_brute_force(spark):
     x[301] = x[302]
     rows = [(i, v.tolist(), "z") for i, v in enumerate(x)] + [(None, [1.0] * 8, "q"), (900, None, "q"), (901, [float("nan")] * 8, "q"), (902, [1.0], "q"), (903, [], "q"), (5, x[5].tolist(), "again")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, block string")
-    got = nearest.top_products(df, 10, 100).orderBy("vec_id", "rank").collect()
+    got = nearest.top_products(df, 10, every, 40, **settings).orderBy("vec_id", "rank").collect()
     s = np.round(x @ x.T, 8)
     np.fill_diagonal(s, -np.inf)
-    want = [(i, int(j), k + 1) for i in range(600) for k, j in enumerate(np.lexsort((np.arange(600), -s[i]))[:10])]
+    want = [(i, int(j), k + 1) for i in range(0, 600, every) for k, j in enumerate(np.lexsort((np.arange(600), -s[i]))[:10])]
     assert [(r["vec_id"], r["neighbor_id"], r["rank"]) for r in got] == want
     assert nearest.top_products(df.limit(0)).count() == 0
 
 
+def test_top_products_of_odd_ids_ties_and_few_rows(spark):
+    rows = [("0", [1.0, 0.0]), ("none", [9.0, 9.0]), ("3", [2.0, 0.0]), ("4", [2.0, 0.0]), ("7", [1.0, 0.0]), ("7", [0.5, 0.0]), ("50", [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<double>").withColumn("id", F.lit("mine")).withColumn("rank", F.lit(1))
+    got = [tuple(r) for r in nearest.top_products(df, 4).orderBy("vec_id", "rank").collect()]
+    assert got == [(0, 3, 2.0, 1), (0, 4, 2.0, 2), (0, 7, 1.0, 3), (0, 7, 0.5, 4), (50, 0, 0.0, 1), (50, 3, 0.0, 2), (50, 4, 0.0, 3), (50, 7, 0.0, 4)]
+    assert nearest.top_products(df.where("vec_id = '3'")).count() == 0 and nearest.top_products(df.where("vec_id = '50'")).count() == 0
+
+
 def test_top_products_of_vectors_near_the_axes(spark):
     rng = np.random.default_rng(9)
     v = rng.normal(size=(400, 4)) * 0.15
     v[np.arange(400), rng.integers(0, 4, 400)] += rng.choice([-1.0, 1.0], 400)
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
     got = {}
-    for r in nearest.top_products(df, 3, 40).collect():
+    for r in nearest.top_products(df, 3, 1, 40).collect():
         got.setdefault(r["vec_id"], {})[r["rank"]] = r["neighbor_id"]
     product = v @ v.T
     np.fill_diagonal(product, -np.inf)
     assert got == {i: dict(enumerate(np.argsort(-product[i])[:3].tolist(), 1)) for i in range(400)}
 
 
+def test_top_products_has_no_cartesian_product(spark):
+    plan = registry.op9_top_products(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
 def test_matches_on_odd_rows(spark, odd, none):
     items = spark.createDataFrame([(1, "never there at all, not once"), (2, None), (3, ""), (None, "word"), (4, "twice the same row twice the same row twice")], "item_id long, text string")
     got = decontaminate.matches(odd, items)
