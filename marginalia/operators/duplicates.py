@@ -20,7 +20,7 @@ from marginalia.functions.spans import Span
 from marginalia.plans.tables import written
 from marginalia.schema import ANN, make_uid, op_id
 
-_WORD, _SOLID = re.compile(r"\w+|[^\w\s]"), re.compile(r"\w")
+_WORD, _SOLID, _CUT = re.compile(r"\w+|[^\w\s]"), re.compile(r"\w"), re.compile(r"(\w+|[^\w\s])")
 
 
 def fingerprints(text: str, kind: str = "word", length: int = 2, step: int = 1, case_sensitive: bool = True, multiline: bool = True) -> Iterator[tuple[str, int, int]]:
@@ -80,6 +80,29 @@ class CollectionIndex:
         return sorted(kept)
 
 
+_kept: dict[tuple, tuple[list[str], CollectionIndex]] = {}
+#: Collections whose index a worker keeps between calls.
+MAX_KEPT = 64
+
+
+def kept_index(key: tuple, ids: list[str], texts: list[str], settings: dict) -> CollectionIndex:
+    """The index of these documents: the one that this worker kept under the key if it is of the same ids, else built anew."""
+    name = (key, tuple(sorted(settings.items())))
+    known = _kept.pop(name, None)
+    if known is not None and known[0] == ids:
+        return known[1]
+    index = CollectionIndex(**settings)
+    for n, text in enumerate(texts):
+        index.add(n, text)
+    return index
+
+
+def keep_index(key: tuple, ids: list[str], index: CollectionIndex, settings: dict) -> None:
+    while len(_kept) >= MAX_KEPT:
+        _kept.pop(next(iter(_kept)))
+    _kept[key, tuple(sorted(settings.items()))] = (list(ids), index)
+
+
 class DuplicateFinder:
     """Segments of what a document shares with earlier ones of its collection ('dup'), of the rest ('nondup'), or both.
 
@@ -143,27 +166,30 @@ def line_occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     return rows.where(F.length("line") >= shortest)
 
 
-def hashed_runs(text: str, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hash, start and end of every run of `length` words."""
+def hashed_runs(texts: list[str], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, 64-bit hash, start and end of every run of `length` words in each text."""
     import xxhash
 
-    found = list(_WORD.finditer(text))
-    n = len(found) - length + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
-    known: dict[str, int] = {}
-    words = [m.group() for m in found]
-    for w in words:
-        if w not in known:
-            known[w] = xxhash.xxh64_intdigest(w)
-    h = np.fromiter((known[w] for w in words), np.uint64, len(words))
-    total = np.zeros(n, np.uint64)
+    words: list[str] = []
+    starts, ends, count = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(len(texts), np.int64)
+    for n, text in enumerate(texts):
+        parts = _CUT.split(text)  # what lies between the words, and the words
+        edge = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        starts.append(edge[:-1:2])
+        ends.append(edge[1::2])
+        words += parts[1::2]
+        count[n] = len(parts) // 2
+    start, end, total = np.concatenate(starts), np.concatenate(ends), len(words)
+    coded = pa.array(words, pa.string()).dictionary_encode()
+    known = np.fromiter((xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    h = known[np.asarray(coded.indices)] if total else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(len(texts)), count)
+    fits = np.flatnonzero(np.arange(total) + length <= np.cumsum(count)[owner]) if total else np.zeros(0, np.int64)
+    out = np.zeros(len(fits), np.uint64)
     for j in range(length):
         # A polynomial of the word hashes; each step also mixes the high bits down.
-        total = (total ^ (total >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + h[j : j + n]
-    starts = np.fromiter((m.start() for m in found), np.int32, len(found))
-    ends = np.fromiter((m.end() for m in found), np.int32, len(found))
-    return total.view(np.int64), starts[:n], ends[length - 1 :]
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + h[fits + j]
+    return owner[fits], out.view(np.int64), start[fits].astype(np.int32), end[fits + length - 1].astype(np.int32) if len(fits) else np.zeros(0, np.int32)
 
 
 def first_occurrences(docs: DataFrame, length: int = 8, doc_id: str = "doc_id", text: str = "text", shortest: int = 5) -> DataFrame:
@@ -177,10 +203,8 @@ def first_occurrences(docs: DataFrame, length: int = 8, doc_id: str = "doc_id",
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            parts = [hashed_runs(t, length) for t in batch.column(1).to_pylist()]
-            rows = pa.array(np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts]))
-            h, s, e = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(h), pa.array(s), pa.array(e)], ["doc_id", "print", "s", "e"])
+            owner, h, s, e = hashed_runs(batch.column(1).to_pylist(), length)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(h), pa.array(s), pa.array(e)], ["doc_id", "print", "s", "e"])
 
     found = written(source.mapInArrow(prints, f"doc_id {kind}, print long, s int, e int"), "runs")
     # A hash aggregate with map-side combine finds the prints of several documents; only their rows go further.

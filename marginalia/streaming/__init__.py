@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from marginalia.operators.duplicates import CollectionIndex
+from marginalia.operators import duplicates
 
 
 def read_stream(spark: SparkSession, folder: str, like: DataFrame, files_per_batch: int | None = None) -> DataFrame:
@@ -50,7 +50,8 @@ def find_duplicates(docs: DataFrame, forget_after_ms: int | None = None, **setti
     """What each document shares with earlier ones of its collection, in the order of arrival.
 
     `docs` is a stream of (collection_id, doc_id, text); the state holds the texts of a collection
-    and is dropped when nothing came for `forget_after_ms`.
+    and is dropped when nothing came for `forget_after_ms`.  A worker keeps the index of a collection
+    that it has just seen; another one, or one after a batch that failed, builds it from the state.
     """
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         names = _FOUND.replace(",", "").split()[::2]
@@ -58,9 +59,7 @@ def find_duplicates(docs: DataFrame, forget_after_ms: int | None = None, **setti
             state.remove()
             return
         ids, texts = (list(x) for x in state.get) if state.exists else ([], [])
-        index = CollectionIndex(**settings)
-        for n, t in enumerate(texts):
-            index.add(n, t)
+        index = duplicates.kept_index(key, ids, texts, settings)
         rows = []
         new = pd.concat(list(frames)).sort_values("doc_id", kind="stable")
         for doc, text in zip(new["doc_id"], new["text"]):
@@ -68,6 +67,7 @@ def find_duplicates(docs: DataFrame, forget_after_ms: int | None = None, **setti
             ids.append(doc)
             texts.append(text)
             rows += [(key[0], doc, a, b, ids[source], sa, sb) for a, b, source, sa, sb in index.add(len(ids) - 1, text)]
+        duplicates.keep_index(key, ids, index, settings)
         state.update((ids, texts))
         if forget_after_ms:
             state.setTimeoutDuration(forget_after_ms)
