@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from math import gcd
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -154,10 +155,30 @@ class VoiceDetector:
         return sounds.select("uid", F.col("signal").cast(SIGNAL).alias("signal"), F.col("sample_rate").cast("int").alias("sample_rate")).mapInArrow(run, f"uid {kind}, start double, end double, label string")
 
 
+class Diarizer(Protocol):
+    """What a speaker model is called with: one channel and its rate; (start, end, speaker) in seconds."""
+
+    def __call__(self, signal: np.ndarray, rate: int) -> list[tuple[float, float, str]]: ...
+
+
+class SpeechModel(Protocol):
+    """What a transcriber calls: sounds (channels and rate) in, a text of each out."""
+
+    def __call__(self, sounds: list[tuple[np.ndarray, int]]) -> list[str]: ...
+
+
+class SoundOperation(Protocol):
+    """What a pipeline of sounds takes as a step: a name that depends on its settings, and rows to rows."""
+
+    op_id: str
+
+    def run(self, sounds: DataFrame) -> DataFrame: ...
+
+
 class SpeakerDetector:
     """Speaker turns by a model: diarize(signal, rate) gives (start, end, speaker). The model is loaded once per worker."""
 
-    def __init__(self, load: Callable[[], Callable[[np.ndarray, int], list[tuple[float, float, str]]]], output_label="turn"):
+    def __init__(self, load: Callable[[], Diarizer], output_label="turn"):
         self.load, self.label = load, output_label
         self.op_id = op_id("SpeakerDetector", {"label": output_label})
 
@@ -179,7 +200,7 @@ class SpeakerDetector:
 class Transcriber:
     """Texts of sounds by a model: transcribe(list of (signal, rate)) gives texts, in batches of `batch_size`."""
 
-    def __init__(self, load: Callable[[], Callable[[list[tuple[np.ndarray, int]]], list[str]]], add_trailing_dot=True, capitalize=True, batch_size=8, sample_rate: int | None = None, mono: bool = False):
+    def __init__(self, load: Callable[[], SpeechModel], add_trailing_dot=True, capitalize=True, batch_size=8, sample_rate: int | None = None, mono: bool = False):
         self.load, self.dot, self.capital, self.batch, self.rate, self.mono = load, add_trailing_dot, capitalize, batch_size, sample_rate, mono
         self.op_id = op_id("Transcriber", {"dot": add_trailing_dot, "capitalize": capitalize, "batch": batch_size})
 

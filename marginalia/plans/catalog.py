@@ -309,7 +309,7 @@ _TERMS = ("thanthe", "tion", "verheit", "schland", "ement", "haat")
 
 @query()
 def entity_similar(spark, sf_dir):
-    """Terms of a dictionary at or above a similarity, in whole documents."""
+    """Terms of a dictionary at or above a similarity, in the turns of all conversations."""
     rules = [matching.TermRule(t, "term", norms=(matching.Norm("list", str(i)),)) for i, t in enumerate(_TERMS)]
     found = matching.SimilarityMatcher(rules, threshold=0.6, max_length=15).run(_anns(_turn_rows(spark, sf_dir), "turn", "segment"))
     return found.select("doc_id", "n_start", "n_end", "text", F.col("attrs")[0].value.alias("value"))

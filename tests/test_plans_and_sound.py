@@ -260,3 +260,53 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         tables.shared_folder(Session)
+
+
+def test_a_tagger_learns_entities(spark, tmp_path, raw):
+    import random
+
+    from marginalia.operators import tagger
+
+    rng = random.Random(1)
+    rows = []
+    for _ in range(120):
+        drug, dose = rng.choice(["aspirin", "ibuprofen", "morphine"]), f"{rng.randrange(1, 900)} mg"
+        text = f"{rng.choice(['He takes', 'We gave', 'Start'])} {drug} {dose} {rng.choice(['daily', 'at night', 'now'])}."
+        rows.append((text, [("drug", text.index(drug), text.index(drug) + len(drug)), ("dose", text.index(dose), text.index(dose) + len(dose))]))
+    df = spark.createDataFrame(rows, "text string, entities array<struct<label: string, start: int, end: int>>")
+    model = tagger.TrainableTagger(["drug", "dose"])
+    config = training.TrainerConfig(str(tmp_path), learning_rate=0.5, epochs=6, batch_size=10)
+    history = training.Trainer(model, config, df.limit(100), df).train()
+    assert history[-1]["eval"]["loss"] < 0.1 < history[0]["train"]["loss"]
+    found = tagger.TaggerMatcher(str(tmp_path / "best")).run(raw("Then we gave morphine 75 mg now.", "", "Nothing here")).orderBy("n_start").collect()
+    assert [(r["label"], r["text"]) for r in found] == [("drug", "morphine"), ("dose", "75 mg")] and float(found[0]["attrs"][0]["value"]) > 0.5
+    with pytest.raises(ValueError, match="token-classification"):
+        tagger.check_task(str(tmp_path / "best"), "translation")
+
+
+def test_parsed_documents_in_and_out(spark):
+    from marginalia.sources import parsers
+
+    def reader():
+        import json
+        from types import SimpleNamespace as N
+
+        span = lambda s: N(label_=s[0], start_char=s[1], end_char=s[2], _=N(**s[3]))
+        return lambda raw_: (lambda d: N(text=d["text"], ents=[span(s) for s in d["ents"]], spans={k: [span(s) for s in v] for k, v in d["spans"].items()}))(json.loads(raw_))
+
+    def builder():
+        import json
+
+        return lambda text, found: json.dumps({"text": text, "ents": [list(f) for f in found], "spans": {}}).encode()
+
+    stored = b'{"text": "no pain today", "ents": [["sign", 3, 7, {"negated": true}], ["time", 8, 13, {}]], "spans": {"all": [["", 0, 13, {}]]}}'
+    docs, anns = parsers.load(spark.createDataFrame([("d", stored)], "doc_id string, content binary"), reader, attrs=["negated"])
+    rows = {r["label"]: r for r in anns.collect()}
+    assert docs.first()["text"] == "no pain today" and {k: r["text"] for k, r in rows.items()} == {"sign": "pain", "time": "today", "all": "no pain today"}
+    assert [(a["label"], a["value"]) for a in rows["sign"]["attrs"]] == [("negated", "true")]
+    import json
+
+    back = json.loads(parsers.save(docs, anns, builder, ["sign", "time"]).first()["content"])
+    assert back["ents"] == [["sign", 3, 7, {"negated": "true"}], ["time", 8, 13, {}]]
+    _, few = parsers.load(parsers.save(docs, anns, builder), reader, entities=["time"], groups=[])
+    assert [r["label"] for r in few.collect()] == ["time"]
