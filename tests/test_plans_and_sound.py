@@ -165,7 +165,7 @@ def test_links(spark):
     rng = np.random.default_rng(1)
     x, y = rng.normal(size=(9, 4)), rng.normal(size=(7, 4))
     frame = lambda m: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
-    got = {(r["entity_id"], r["rank"]): r["term_id"] for r in matching.link_embeddings(frame(x), frame(y), 3, block=2).collect()}
+    got = {(r["entity_id"], r["rank"]): r["term_id"] for r in matching.link_embeddings(frame(x), frame(y), 3, max_bytes=100).collect()}
     cos = np.round((x / np.linalg.norm(x, axis=1)[:, None]) @ (y / np.linalg.norm(y, axis=1)[:, None]).T, 4)
     want = {(i, k + 1): int(j) for i, row in enumerate(cos) for k, j in enumerate(np.lexsort((np.arange(7), -row))[:3])}
     assert got == want
