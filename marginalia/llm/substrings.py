@@ -8,7 +8,11 @@ two documents that share such a span share a selected fingerprint.  A fingerprin
 documents hold names a reference shard; both send the stretch around it there.  A shard's
 documents pass in order: each is streamed through the automaton of those before it for
 matching statistics, and all spans where the statistic reaches MIN_TOKENS are marked; then
-its unmatched stretches are added.  No shard, document or span is capped.
+its unmatched stretches are added.  A shard that more than HOT fingerprint hits name (a licence,
+say) isn't streamed through one automaton: every window of MIN_TOKENS tokens of its stretches
+is hashed, and the first document of each window is found by an aggregate that combines before
+it shuffles; later holders lose the window.  Both ways mark the same spans, up to collisions of
+64-bit hashes.  No shard, document or span is capped.
 
 Defined results: null, empty and shorter texts are untouched.  A span goes from its first
 token to the token after it, so the text keeps the white space before the span; a text that
@@ -26,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import SOLID_BYTES, Tokens, hash_strings, materialize, mix, row_key, sliced, text_array
+from marginalia.llm.common import SOLID_BYTES, Tokens, buffers, hash_strings, materialize, mix, row_key, sliced, text_array
 
 MIN_TOKENS, K = 50, 16
-#: Rows up to which keys or spans are broadcast rather than shuffled.
+#: Rows of keys (8 or 16 bytes each), or rows and spans together, up to which they are broadcast rather than shuffled.
 MAX_BROADCAST = 500_000
+#: Fingerprint hits of a shard over which its windows are hashed rather than passed through one automaton.
+HOT = 5_000
 
 _COEFFICIENTS = mix(np.arange(1, 4097, dtype=np.uint64)) | np.uint64(1)
 
@@ -51,15 +57,20 @@ def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     return out
 
 
+def run_hashes(h: np.ndarray, k: int) -> np.ndarray:
+    """A hash of the k values from each place on; past the end of what is there."""
+    out = np.zeros(len(h), np.uint64)
+    for j in range(min(k, len(h))):
+        out[: len(h) - j] += h[j:] * _COEFFICIENTS[j % len(_COEFFICIENTS)]
+    return mix(out)
+
+
 def winnow(h: np.ndarray, first: np.ndarray, k: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions and fingerprints that winnowing selects in each text of at least `least` tokens."""
     n = len(h)
     if n < least:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    gram = np.zeros(n, np.uint64)
-    for j in range(k):
-        gram[: n - j] += h[j:] * _COEFFICIENTS[j]
-    gram = mix(gram) | np.uint64(1)
+    gram = run_hashes(h, k) | np.uint64(1)
     left = np.repeat(first[1:], np.diff(first)) - np.arange(n)
     low = _sliding(gram, least - k + 1, np.minimum)
     low[left < least] = 0
@@ -180,7 +191,7 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else df
 
 
-def repeated_spans(docs: DataFrame, least: int = MIN_TOKENS, k: int = K, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, least: int = MIN_TOKENS, k: int = K, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """key, spans (first token, token after the last): what earlier documents hold of each document."""
     k = min(k, least)
     source = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("key"), F.col(text).alias("text"))
@@ -195,9 +206,8 @@ def repeated_spans(docs: DataFrame, least: int = MIN_TOKENS, k: int = K, doc_id:
 
     prints = materialize(source.select("key", "text").mapInArrow(fingerprints, "print long, key long, pos int"), "fingerprints")
     shared = prints.groupBy("print").agg(F.min("key").alias("shard"), F.max("key").alias("other")).where("shard <> other").select("print", "shard")
-    routes = prints.join(shared, "print").groupBy("key").agg(F.collect_set(F.struct("shard", "pos")).alias("routes"))
-    routes = materialize(routes, "routes")
-    concerned = source.join(_small(routes.select("key")), "key", "left_semi").dropDuplicates(["key"])
+    hits = materialize(prints.join(shared, "print").select("key", "shard", "pos"), "hits")
+    crowded = hits.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("shard")
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 2):
@@ -226,8 +236,46 @@ def repeated_spans(docs: DataFrame, least: int = MIN_TOKENS, k: int = K, doc_id:
                 [pa.array(shards, pa.int64()), batch.column(0).take(take), batch.column(1).take(take), pa.array(starts, pa.int32()), pa.array(parts, pa.binary())], ["shard", "doc_id", "key", "start", "tokens"]
             )
 
-    sent = concerned.join(routes, "key").select("doc_id", "key", "text", "routes").mapInArrow(stretches, f"shard long, doc_id {kind}, key long, start int, tokens binary")
-    ordered = sent.repartition("shard").sortWithinPartitions("shard", F.col("doc_id").isNull(), "doc_id", "key", "start")
+    def sent(some: DataFrame) -> DataFrame:
+        """The stretches of the documents around their hits."""
+        routes = materialize(some.groupBy("key").agg(F.collect_set(F.struct("shard", "pos")).alias("routes")), "routes")
+        concerned = source.join(_small(routes.select("key")), "key", "left_semi").dropDuplicates(["key"])
+        return concerned.join(routes, "key").select("doc_id", "key", "text", "routes").mapInArrow(stretches, f"shard long, doc_id {kind}, key long, start int, tokens binary")
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 4):
+            raw, offs = buffers(batch.column(4))
+            first = offs // 8
+            count = np.maximum(np.diff(first) - least + 1, 0)
+            row = np.repeat(np.arange(batch.num_rows), count)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            w = run_hashes(raw.view(np.uint64), least)[first[:-1][row] + at].view(np.int64)
+            start = np.asarray(batch.column(3)).astype(np.int64)[row] + at
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(w), batch.column(1).take(take), batch.column(2).take(take), pa.array(start.astype(np.int32))], ["w", "doc_id", "key", "s"])
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Windows that touch, sorted, as one span. (One that a batch cuts comes as two, which are merged with the document's others.)"""
+        for batch in batches:
+            key, s = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            cut = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (s[1:] > s[:-1] + least))[: len(key)])
+            last = np.append(cut[1:], len(key)) - 1
+            yield pa.RecordBatch.from_arrays([pa.array(key[cut]), pa.array(s[cut]), pa.array((s[last] + least).astype(np.int32))] if len(key) else [pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int32())], ["key", "s", "e"])
+
+    def repeated_windows(some: DataFrame) -> DataFrame:
+        """key, s, e of the windows that an earlier document holds."""
+        every = materialize(sent(some).mapInArrow(windows, f"w long, doc_id {kind}, key long, s int"), "windows")
+        owner = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+        several = every.groupBy("w").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("w")
+        several = materialize(every.join(_small(several), "w"), "shared-windows")
+        owners = several.groupBy("w").agg(owner).select("w", F.col("first.key").alias("owner"))
+        late = several.join(_small(owners), "w").where("key <> owner").select("key", "s")
+        return late.repartition("key").sortWithinPartitions("key", "s").mapInArrow(runs, "key long, s int, e int")
+
+    crowded = materialize(crowded, "crowded")
+    some_crowded = bool(crowded.limit(1).count())
+    cold = hits.join(_small(crowded), "shard", "left_anti") if some_crowded else hits
+    ordered = sent(cold).repartition("shard").sortWithinPartitions("shard", F.col("doc_id").isNull(), "doc_id", "key", "start")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = key = state = None
@@ -258,15 +306,19 @@ def repeated_spans(docs: DataFrame, least: int = MIN_TOKENS, k: int = K, doc_id:
         yield batch_of()
 
     found = ordered.mapInArrow(match, "key long, s int, e int")
+    if some_crowded:
+        found = found.unionByName(repeated_windows(hits.join(_small(crowded), "shard", "left_semi")))
     return found.groupBy("key").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, least: int = MIN_TOKENS, k: int = K, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = MIN_TOKENS, k: int = K, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """doc_id, text without repeated spans, n_tokens before, removed tokens, for every document."""
-    spans = materialize(repeated_spans(docs, least, k, doc_id, text), "spans")
+    spans = materialize(repeated_spans(docs, least, k, doc_id, text, hot), "spans")
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), row_key(doc_id, text).alias("key"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    joined = source.join(_small(spans), "key", "left").select("doc_id", "text", "spans")
+    whole = spans.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("spans")).collect()[0]
+    held = F.broadcast(spans) if whole["rows"] + whole["spans"] <= MAX_BROADCAST else spans
+    joined = source.join(held, "key", "left").select("doc_id", "text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1):
