@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from marginalia.llm.common import buffers, keep_heap, materialize, mix, row_key, sliced, text_array
 from marginalia.llm.pieces import SLICE, Vocabulary, encode_batch, segmenter
 
-WINDOW, OVERLAP, WIDTH, HIDDEN, GROUPS, MEMBERS, INPUTS = 32, 8, 16, 16, 16, 16, 8192
+WINDOW, OVERLAP, WIDTH, HIDDEN, GROUPS, MEMBERS, INPUTS = 32, 8, 16, 32, 16, 16, 8192
 STRIDE, CLASSES = WINDOW - OVERLAP, GROUPS * MEMBERS
 BATCH, RATES = 256, (2e-2, 8e-3, 2e-3)
 #: Windows of one replica and round where there are no more; n times as many make sqrt(n) replicas.
@@ -75,7 +75,7 @@ def output_classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     mass = np.cumsum(counts[rest])
     cls[rest] = own + np.minimum((mass - counts[rest] / 2) / mass[-1] * (CLASSES - own), CLASSES - own - 1).astype(np.int64)
     total = np.bincount(cls, counts, CLASSES)
-    return cls, np.log(counts / total[cls]), np.log(np.maximum(total, 1e-9) / total.sum())
+    return cls.astype(np.int16), np.log(counts / total[cls]), np.log(np.maximum(total, 1e-9) / total.sum())
 
 
 def parts(flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -125,26 +125,26 @@ def attention(m: dict[str, np.ndarray], inputs: np.ndarray):
 
 def output(m: dict[str, np.ndarray], h: np.ndarray, cls: np.ndarray):
     """Log probability of the class of each target for what its position sees, in the order of the targets' groups."""
-    groups, member = np.divmod(cls, MEMBERS)
-    order = np.argsort(groups.astype(np.uint8), kind="stable")
-    groups, member, h = groups[order], member[order], h[order]
-    cuts = np.cumsum([0, *np.bincount(groups, minlength=GROUPS)]).tolist()
+    groups = (cls // MEMBERS).astype(np.uint8)
+    order = np.argsort(groups, kind="stable")
+    groups, h = groups[order], h.take(order, axis=0)
+    member = cls[order] - groups.astype(cls.dtype) * MEMBERS
+    cuts = [0, *np.searchsorted(groups, np.arange(1, GROUPS, dtype=np.uint8)).tolist(), len(h)]
     z = h @ m["W"]
     z += m["c"]
     np.maximum(z, 0, out=z)
-    g = np.ones((len(h), WIDTH + 1), h.dtype)
-    g[:, :WIDTH] = h
-    g[:, :WIDTH] += z @ m["V"]
+    g = np.empty((len(h), WIDTH + 1), h.dtype)
+    np.add(h, z @ m["V"], out=g[:, :WIDTH])
+    g[:, WIDTH] = 1
     outer = g @ m["G"]
     inner = np.empty((len(h), MEMBERS), h.dtype)
     for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
         np.matmul(g[a:b], m["U"][k], out=inner[a:b])
-    both, sums = [], []
+    both, sums, first = [], [], np.arange(len(h))
     for logits, aim in ((outer, groups), (inner, member)):
         if logits.size and logits.max() > 60:
             logits -= logits.max(1, keepdims=True)
-        at = np.arange(len(h)) * logits.shape[1] + aim
-        both.append(logits.ravel()[at])
+        both.append(logits.ravel().take(first * logits.shape[1] + aim))
         np.exp(logits, out=logits)
         sums.append((logits @ np.ones((logits.shape[1], 1), h.dtype))[:, 0])
     value = both[0] + both[1] - np.log(sums[0] * sums[1])
@@ -154,7 +154,7 @@ def output(m: dict[str, np.ndarray], h: np.ndarray, cls: np.ndarray):
 def log_classes(m: dict[str, np.ndarray], inputs: np.ndarray, cls: np.ndarray) -> np.ndarray:
     """Log probability of the classes (n, STRIDE) that follow in windows of inputs (n, WINDOW)."""
     value, order, _ = output(m, attention(m, inputs)[0], cls.ravel())
-    out = np.empty(len(value))
+    out = np.empty(len(value), value.dtype)
     out[order] = value
     return out.reshape(cls.shape)
 
@@ -258,7 +258,7 @@ class Windows:
         return self.inputs[self.input_at[rows]], self.targets[self.target_at[rows]], np.arange(STRIDE) < self.left[rows, None]
 
 
-def score_texts(m: dict[str, np.ndarray], cls: np.ndarray, inside: np.ndarray, flat: np.ndarray, offs: np.ndarray, chunk: int = 256) -> np.ndarray:
+def score_texts(m: dict[str, np.ndarray], cls: np.ndarray, inside: np.ndarray, flat: np.ndarray, offs: np.ndarray, chunk: int = 512) -> np.ndarray:
     """Sum of the log probabilities of each text's tokens."""
     windows = Windows(flat, offs)
     out = np.zeros(len(offs) - 1)
