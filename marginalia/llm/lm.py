@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import buffers, keep_heap, materialize, mix, row_key, sliced, text_array
-from marginalia.llm.pieces import SLICE, Vocabulary, encode_batch, segmenter
+from marginalia.llm.pieces import SLICE, BestSegmenter, Vocabulary, encode_batch, segmenter
 
 WINDOW, OVERLAP, WIDTH, HIDDEN, GROUPS, MEMBERS, INPUTS = 32, 8, 16, 32, 16, 16, 8192
 STRIDE, CLASSES = WINDOW - OVERLAP, GROUPS * MEMBERS
@@ -98,11 +98,9 @@ def start(bias: np.ndarray) -> np.ndarray:
     return flat
 
 
-def _exp(x: np.ndarray) -> None:
-    """exp in place; a row's largest value is taken off first where it could overflow."""
-    if x.size and x.max() > 60:
-        x -= x.max(-1, keepdims=True)
-    np.exp(x, out=x)
+def _apart(total: np.ndarray) -> bool:
+    """Whether sums of exponentials are so far from 1 that their rows must be shifted by the largest logit first (or are no numbers)."""
+    return total.size > 0 and not (total.min() > 1e-25 and total.max() < 1e25)
 
 
 def attention(m: dict[str, np.ndarray], inputs: np.ndarray):
@@ -113,9 +111,15 @@ def attention(m: dict[str, np.ndarray], inputs: np.ndarray):
     xq = x[:, OVERLAP:].reshape(-1, WIDTH)
     q = (xq @ m["A"]).reshape(n, STRIDE, WIDTH)
     s = np.matmul(q, x.transpose(0, 2, 1))
-    _exp(s)
-    s *= _MASK
-    total = s.reshape(-1, WINDOW) @ np.ones((WINDOW, 1), s.dtype)
+    with np.errstate(over="ignore", invalid="ignore"):
+        np.exp(s, out=s)
+        s *= _MASK
+        total = s.reshape(-1, WINDOW) @ np.ones((WINDOW, 1), s.dtype)
+    if _apart(total):
+        s = np.where(_MASK > 0, np.matmul(q, x.transpose(0, 2, 1)), -np.inf)
+        s -= s.max(-1, keepdims=True)
+        np.exp(s, out=s)
+        total = s.sum(-1).reshape(-1, 1)
     a = np.matmul(s, x).reshape(-1, WIDTH)
     a /= total
     h = a @ m["O"]
@@ -124,31 +128,44 @@ def attention(m: dict[str, np.ndarray], inputs: np.ndarray):
 
 
 def output(m: dict[str, np.ndarray], h: np.ndarray, cls: np.ndarray):
-    """Log probability of the class of each target for what its position sees, in the order of the targets' groups."""
+    """Log probability of the class of each target for what its position sees, in the order of the targets' groups.
+
+    A row of `both` has the logits over the groups and, after them, over the classes of the target's group (as many): one
+    product a group.
+    """
     groups = (cls // MEMBERS).astype(np.uint8)
     order = np.argsort(groups, kind="stable")
     groups, h = groups[order], h.take(order, axis=0)
-    member = cls[order] - groups.astype(cls.dtype) * MEMBERS
+    first = np.arange(len(h)) * (GROUPS + MEMBERS)
+    aims = first + groups, first + GROUPS + cls.take(order) % MEMBERS
     cuts = [0, *np.searchsorted(groups, np.arange(1, GROUPS, dtype=np.uint8)).tolist(), len(h)]
     z = h @ m["W"]
-    z += m["c"]
-    np.maximum(z, 0, out=z)
+    wide = z.reshape(-1, STRIDE * HIDDEN)
+    wide += np.tile(m["c"], STRIDE)
+    np.maximum(z, np.zeros_like(z), out=z)
     g = np.empty((len(h), WIDTH + 1), h.dtype)
     np.add(h, z @ m["V"], out=g[:, :WIDTH])
     g[:, WIDTH] = 1
-    outer = g @ m["G"]
-    inner = np.empty((len(h), MEMBERS), h.dtype)
+    tables = np.concatenate([np.broadcast_to(m["G"], (GROUPS, WIDTH + 1, GROUPS)), m["U"]], axis=2)
+    both = np.empty((len(h), GROUPS + MEMBERS), h.dtype)
     for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-        np.matmul(g[a:b], m["U"][k], out=inner[a:b])
-    both, sums, first = [], [], np.arange(len(h))
-    for logits, aim in ((outer, groups), (inner, member)):
-        if logits.size and logits.max() > 60:
-            logits -= logits.max(1, keepdims=True)
-        both.append(logits.ravel().take(first * logits.shape[1] + aim))
-        np.exp(logits, out=logits)
-        sums.append((logits @ np.ones((logits.shape[1], 1), h.dtype))[:, 0])
-    value = both[0] + both[1] - np.log(sums[0] * sums[1])
-    return value, order, (groups, member, h, cuts, z, g, outer, inner, sums)
+        np.matmul(g[a:b], tables[k], out=both[a:b])
+    value = both.ravel().take(aims[0])
+    value += both.ravel().take(aims[1])
+    with np.errstate(over="ignore", invalid="ignore"):
+        np.exp(both, out=both)
+        sums = (both.reshape(-1, MEMBERS) @ np.ones(MEMBERS, h.dtype)).reshape(-1, 2)
+    if _apart(sums):
+        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+            np.matmul(g[a:b], tables[k], out=both[a:b])
+        rows = both.reshape(-1, MEMBERS)
+        top = rows.max(1, keepdims=True)
+        rows -= top
+        value -= top.reshape(-1, 2).sum(1)
+        np.exp(both, out=both)
+        sums = rows.sum(1).reshape(-1, 2)
+    value -= np.log(sums[:, 0] * sums[:, 1])
+    return value, order, (aims, h, cuts, z, g, tables, both, sums)
 
 
 def log_classes(m: dict[str, np.ndarray], inputs: np.ndarray, cls: np.ndarray) -> np.ndarray:
@@ -162,27 +179,30 @@ def log_classes(m: dict[str, np.ndarray], inputs: np.ndarray, cls: np.ndarray) -
 def gradient(m: dict[str, np.ndarray], inputs: np.ndarray, cls: np.ndarray, real: np.ndarray, d: dict[str, np.ndarray]) -> tuple[float, np.ndarray, np.ndarray]:
     """Mean loss over the real targets; its gradient goes to `d`, but for E: that is returned as rows and values."""
     h, (x, xq, q, s, total, a) = attention(m, inputs)
-    value, order, (groups, member, h, cuts, z, g, outer, inner, sums) = output(m, h, cls.ravel())
+    value, order, (aims, h, cuts, z, g, tables, both, sums) = output(m, h, cls.ravel())
     n, kind = len(inputs), h.dtype
     w = real.ravel()[order].astype(kind)
     w /= max(w.sum(), 1)
     loss = -float(value @ w)
-    for p, total_p, aim in ((outer, sums[0], groups), (inner, sums[1], member)):
-        p *= (w / total_p)[:, None]
-        p.ravel()[np.arange(len(p)) * p.shape[1] + aim] -= w
-    np.matmul(g.T, outer, out=d["G"])
-    dg = outer @ m["G"][:WIDTH].T
+    rows = both.reshape(-1, MEMBERS)
+    rows *= (w[:, None] / sums).reshape(-1, 1)
+    for aim in aims:
+        both.ravel()[aim] -= w
+    dg, slopes = np.empty((len(h), WIDTH), kind), np.empty_like(tables)
     for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])):
-        np.matmul(g[i:j].T, inner[i:j], out=d["U"][k])
-        dg[i:j] += inner[i:j] @ m["U"][k, :WIDTH].T
+        np.matmul(g[i:j].T, both[i:j], out=slopes[k])
+        np.matmul(both[i:j], tables[k, :WIDTH].T, out=dg[i:j])
+    slopes[:, :, :GROUPS].sum(0, out=d["G"])
+    d["U"][...] = slopes[:, :, GROUPS:]
     np.matmul(z.T, dg, out=d["V"])
     dz = dg @ m["V"].T
     dz *= z > 0
     np.matmul(h.T, dz, out=d["W"])
     d["c"][...] = np.ones(len(dz), kind) @ dz
     dg += dz @ m["W"].T
-    dh = np.empty_like(dg)
-    dh[order] = dg
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    dh = dg.take(back, axis=0)
     np.matmul(a.T, dh, out=d["O"])
     da = dh @ m["O"].T
     da /= total
@@ -201,9 +221,12 @@ def gradient(m: dict[str, np.ndarray], inputs: np.ndarray, cls: np.ndarray, real
     used = np.zeros(INPUTS + 1, bool)
     used[inputs] = True
     rows = np.flatnonzero(used)
-    place = (np.cumsum(used) - 1)[inputs.ravel()] * WIDTH
-    sums_e = np.bincount((place[:, None] + np.arange(WIDTH)).ravel(), dx.ravel(), len(rows) * WIDTH)
-    return loss, rows, sums_e.reshape(-1, WIDTH).astype(kind)
+    pairs = WIDTH // 2  # two numbers move at a time, as one complex
+    place = (np.cumsum(used) - 1)[inputs.ravel()] * pairs
+    twice = np.result_type(kind, np.complex64)
+    sums_e = np.zeros(len(rows) * pairs, twice)
+    np.add.at(sums_e, (place[:, None] + np.arange(pairs)).ravel(), dx.view(twice).ravel())
+    return loss, rows, sums_e.view(kind).reshape(-1, WIDTH)
 
 
 class Trainer:
@@ -229,8 +252,8 @@ class Trainer:
         self.steps += 1
         dense = slice(0, PLACES["E"])
         self.flat[dense] -= self._move(self.mean[dense], self.square[dense], self.slope[dense])
-        mean, square = self.mean_e[rows], self.square_e[rows]
-        self.m["E"][rows] -= self._move(mean, square, g)
+        mean, square = self.mean_e.take(rows, axis=0), self.square_e.take(rows, axis=0)
+        self.m["E"][rows] = self.m["E"].take(rows, axis=0) - self._move(mean, square, g)
         self.mean_e[rows], self.square_e[rows] = mean, square
         return loss
 
@@ -246,7 +269,7 @@ class Windows:
         self.left = sizes[self.text] - self.begin
         front = OVERLAP + 1  # start symbols before each text
         padded = np.full(len(flat) + front * len(sizes) + WINDOW, INPUTS, np.int64)
-        padded[np.arange(len(flat)) + np.repeat((np.arange(len(sizes)) + 1) * front, sizes)] = fold(flat)
+        padded[np.arange(len(flat)) + np.repeat((np.arange(len(sizes)) + 1) * front, sizes)] = fold(np.arange(1 << 16)).take(flat)
         self.inputs, self.input_at = sliding_window_view(padded, WINDOW), offs[:-1][self.text] + self.text * front + self.begin
         self.targets, self.target_at = sliding_window_view(np.append(flat, np.zeros(STRIDE, np.int64)), STRIDE), offs[:-1][self.text] + self.begin
 
@@ -258,7 +281,7 @@ class Windows:
         return self.inputs[self.input_at[rows]], self.targets[self.target_at[rows]], np.arange(STRIDE) < self.left[rows, None]
 
 
-def score_texts(m: dict[str, np.ndarray], cls: np.ndarray, inside: np.ndarray, flat: np.ndarray, offs: np.ndarray, chunk: int = 512) -> np.ndarray:
+def score_texts(m: dict[str, np.ndarray], cls: np.ndarray, inside: np.ndarray, flat: np.ndarray, offs: np.ndarray, chunk: int = BATCH) -> np.ndarray:
     """Sum of the log probabilities of each text's tokens."""
     windows = Windows(flat, offs)
     out = np.zeros(len(offs) - 1)
@@ -281,7 +304,8 @@ def tokenise(docs: DataFrame, vocabulary: Vocabulary, doc_id: str, text: str) ->
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segments = segmenter(vocabulary)
+        keep_heap()
+        segments = segmenter(vocabulary, BestSegmenter)
         for batch in sliced(batches, 2, 4 * SLICE):
             flat, offs, _, _ = encode_batch(text_array(batch.column(2)), segments)
             raw = pa.py_buffer(flat.astype(np.uint16))

@@ -269,6 +269,12 @@ class Segmenter:
         self.score, self.loss = np.zeros(0), np.zeros(0)
         self.lists: dict[int, list] = {}
 
+    def segment(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Best piece ids of all units in order, each unit's first, its score and its smallest deviation."""
+        lattice = Lattices(units, self.vocabulary, self.trie)
+        ids, at, visited = lattice.best_paths()
+        return ids, at, lattice.best[lattice.last_node], lattice.deviations(visited)
+
     def find(self, units: pa.Array) -> np.ndarray:
         """The kept number of each unit; those that are new are segmented."""
         if len(self.units) > self.limit[0] or self.units.nbytes > self.limit[1]:
@@ -276,14 +282,13 @@ class Segmenter:
         found = pc.index_in(units, value_set=self.units)
         if found.null_count:
             fresh_units = text_array(units.filter(pc.is_null(found)))
-            lattice = Lattices(fresh_units, self.vocabulary, self.trie)
-            ids, at, visited = lattice.best_paths()
+            ids, at, score, loss = self.segment(fresh_units)
             before = len(self.units)
             self.units = text_array(pa.concat_arrays([self.units, fresh_units]))
             self.at = np.append(self.at, at[1:] + self.at[-1])
             self.ids = np.append(self.ids, ids)
-            self.score = np.append(self.score, lattice.best[lattice.last_node])
-            self.loss = np.append(self.loss, lattice.deviations(visited))
+            self.score = np.append(self.score, score)
+            self.loss = np.append(self.loss, loss)
             where = np.asarray(pc.fill_null(found, -1)).astype(np.int64)
             where[where < 0] = np.arange(before, len(self.units))
             return where
@@ -298,14 +303,112 @@ class Segmenter:
                 self.lists[c] = (lattice.nbest(k, n), n)
 
 
+class BestSegmenter(Segmenter):
+    """The same best segmentations without lattices, for callers that want no further ones: there is no smallest deviation.
+
+    Short units advance together, position by position: the pieces that start at a position are relaxed as the trie finds
+    them, and nothing is kept of an edge that isn't the best into its node.  Nodes lie by position, and within one by the
+    rank of the unit, longest first, so the units that reach a position are the first of all.
+    """
+
+    SHORT = 256
+
+    def __init__(self, vocabulary: Vocabulary, units: int = KEPT_UNITS, size: int = KEPT_BYTES):
+        super().__init__(vocabulary, units, size)
+        self.width = np.array([len(p) for p in vocabulary.pieces])
+
+    def segment(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        lengths = np.diff(buffers(units)[1])
+        is_long = lengths > self.SHORT
+        if not is_long.any():
+            ids, at, score = self._short(units)
+            return ids, at, score, np.full(len(units), np.inf)
+        apart = [np.flatnonzero(~is_long), np.flatnonzero(is_long)]
+        short, many = (text_array(units.take(pa.array(x))) for x in apart)
+        found = self._short(short), super().segment(many)[:3]
+        order = np.argsort(np.concatenate(apart))
+        size = np.concatenate([np.diff(at) for _, at, _ in found])
+        begin, size = (np.cumsum(size) - size)[order], size[order]
+        at = np.append(0, np.cumsum(size))
+        ids = np.concatenate([x for x, _, _ in found])[np.repeat(begin - at[:-1], size) + np.arange(at[-1])]
+        return ids, at, np.concatenate([x for _, _, x in found])[order], np.full(len(units), np.inf)
+
+    def _short(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        raw, offs = buffers(units)
+        trie, scores, lengths = self.trie, self.vocabulary.scores, np.diff(offs)
+        order = np.argsort(-lengths, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        # Units with a byte at each position, and where that position's bytes begin; a position's node lies before its byte.
+        reach = np.append(len(units) - np.cumsum(np.bincount(lengths, minlength=1)), 0).tolist()
+        byte_at = np.append(0, np.cumsum(reach)).tolist()
+        node_at = [0, *(len(units) + b for b in byte_at)]
+        place = np.arange(len(raw)) - np.repeat(offs[:-1], lengths)
+        place = np.asarray(byte_at)[place] + np.repeat(rank, lengths)
+        lead = np.flatnonzero((raw & 0xC0) != 0x80)
+        size, letters = np.zeros(len(raw), np.int64), np.empty(len(raw), np.int64)
+        size[place[lead]] = np.diff(np.append(lead, len(raw)))
+        letters[place] = raw
+        loose = np.zeros(len(raw), bool)
+        best, back = np.full(len(raw) + len(units), -np.inf), np.full(len(raw) + len(units), -1, np.int32)
+        best[: len(units)] = 0
+
+        def relax(position: int, unit: np.ndarray, value: np.ndarray, piece: np.ndarray) -> None:
+            """Wider pieces come first, so that of equal scores the widest stays."""
+            node = unit + node_at[position]
+            better = np.flatnonzero(value > best.take(node))
+            node = node.take(better)
+            best[node] = value.take(better)
+            back[node] = piece.take(better)
+
+        for here in range(len(reach)):
+            chars = size[byte_at[here] : byte_at[here] + reach[here]]
+            unit = np.flatnonzero(chars)
+            whole, rows, step = np.zeros(len(chars), bool), np.full(len(unit), trie.row[0]), 0
+            while len(unit):
+                node = trie.next[rows, letters.take(unit + byte_at[here + step])]
+                hit = np.flatnonzero(node >= 0)
+                unit, node, step = unit.take(hit), node.take(hit), step + 1
+                piece = trie.piece.take(node)
+                done = np.flatnonzero(piece >= 0)
+                ends, piece = unit.take(done), piece.take(done)
+                relax(here + step, ends, best.take(ends + node_at[here]) + scores.take(piece), piece)
+                whole[ends[chars.take(ends) == step]] = True
+                rows = trie.row.take(node)
+                more = np.flatnonzero(rows[: np.searchsorted(unit, reach[here + step])])
+                unit, rows = unit.take(more), rows.take(more)
+            alone, k = np.flatnonzero((chars > 0) & ~whole), 0
+            while len(alone):
+                loose[byte_at[here + k] + alone] = True
+                k += 1
+                alone = alone[chars[alone] > k]
+            unit = np.flatnonzero(loose[byte_at[here] : byte_at[here] + reach[here]])
+            if len(unit):
+                piece = self.vocabulary.byte_ids[letters[unit + byte_at[here]]]
+                relax(here + 1, unit, best[unit + node_at[here]] + scores[piece], piece)
+        where, position = np.arange(len(units)), lengths[order]
+        score = best[np.asarray(node_at)[position] + where]
+        owners, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        nodes = np.asarray(node_at)
+        while len(where := where[position > 0]):
+            position = position[position > 0]
+            piece = back[nodes[position] + where]
+            owners.append(order[where])
+            found.append(piece)
+            position = position - self.width[piece]
+        owner, ids = np.concatenate(owners[::-1]), np.concatenate(found[::-1])
+        at = np.append(0, np.cumsum(np.bincount(owner, minlength=len(units))))
+        return ids[np.argsort(owner, kind="stable")], at, score[rank]
+
+
 _segmenters: dict[str, Segmenter] = {}
 
 
-def segmenter(vocabulary: Vocabulary) -> Segmenter:
+def segmenter(vocabulary: Vocabulary, kind: type[Segmenter] = Segmenter) -> Segmenter:
     """The worker's segmenter for this model file."""
-    if vocabulary.path not in _segmenters:
+    if type(_segmenters.get(vocabulary.path)) is not kind:
         _segmenters.clear()
-        _segmenters[vocabulary.path] = Segmenter(vocabulary)
+        _segmenters[vocabulary.path] = kind(vocabulary)
     return _segmenters[vocabulary.path]
 
 

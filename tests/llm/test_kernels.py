@@ -329,6 +329,59 @@ def test_windows_score_every_token_once_and_match_the_slow_way():
     assert np.allclose(got, want, atol=1e-2)
 
 
+def test_attention_with_logits_far_from_nought():
+    """All keys that a position sees far below 0, or a key that it doesn't see far above them."""
+    rng = np.random.default_rng(4)
+    m = lm.parts(lm.start(np.zeros(lm.CLASSES)))
+    m["E"][...] = rng.normal(size=m["E"].shape)
+    m["E"][:, 0] = 8
+    for slope in (-3.0, 3.0, -0.5, 0.5):
+        m["A"][...] = 0
+        m["A"][0, 0], m["A"][1, 1] = slope, 9.0
+        inputs = rng.integers(0, 40, (4, lm.WINDOW))
+        m["E"][inputs[0, -1], 1] = 20
+        got = lm.attention(m, inputs)[0].reshape(4, lm.STRIDE, lm.WIDTH)
+        x = m["E"][inputs].astype(float) + m["P"]
+        for n in range(4):
+            for i in range(lm.STRIDE):
+                keys = x[n, : lm.OVERLAP + i + 1]
+                logits = keys @ (x[n, lm.OVERLAP + i] @ m["A"])
+                weights = np.exp(logits - logits.max())
+                want = x[n, lm.OVERLAP + i] + weights / weights.sum() @ keys @ m["O"]
+                assert np.allclose(got[n, i], want, atol=1e-2)
+        out = lm.log_classes(m, inputs, rng.integers(0, lm.CLASSES, (4, lm.STRIDE)))
+        assert np.isfinite(out).all() and (out < 0).all()
+
+
+def test_output_does_not_depend_on_the_level_of_its_logits():
+    rng = np.random.default_rng(6)
+    m = lm.parts(lm.start(rng.normal(size=lm.CLASSES)))
+    inputs, cls = rng.integers(0, 40, (4, lm.WINDOW)), rng.integers(0, lm.CLASSES, (4, lm.STRIDE))
+    want = lm.log_classes(m, inputs, cls)
+    for level in (400, -400):
+        m["G"][-1] += level
+        m["U"][3, -1] -= level
+        assert np.allclose(lm.log_classes(m, inputs, cls), want, atol=1e-3)
+        m["G"][-1] -= level
+        m["U"][3, -1] += level
+
+
+def test_best_pieces_without_lattices(monkeypatch):
+    """Byte for byte the lattices' segmentations and scores; only units that are long need lattices."""
+    rng = random.Random(3)
+    odd = ["", "a", "\n\n", " " * 300, "日本語" * 200, "\x00a\x00", "▁a", "ꙮ꙯x", "\U0010ffff", "é" * 90, "ab" * 2000]
+    odd += ["".join(rng.choice("abc tn\nñ日😀▁\x00ꙮ") for _ in range(rng.randrange(300))) for _ in range(200)]
+    vocabulary = pieces.Vocabulary(None)
+    lattices, best = pieces.Segmenter(vocabulary), pieces.BestSegmenter(vocabulary)
+    for texts in (odd, odd[::-1], [], ["", ""]):
+        want, got = (pieces.encode_batch(pa.array(texts, pa.string()), s) for s in (lattices, best))
+        assert all(np.array_equal(a, b) for a, b in zip(want[:3], got[:3]))
+    monkeypatch.setattr(pieces, "Lattices", None)
+    assert len(pieces.encode_batch(pa.array(["one two", "drei"]), best)[0])
+    assert type(pieces.segmenter(vocabulary, pieces.BestSegmenter)) is pieces.BestSegmenter
+    assert type(pieces.segmenter(vocabulary)) is pieces.Segmenter
+
+
 def test_untrained_model_is_the_class_frequencies():
     bias = lm.output_classes(np.random.default_rng(2).integers(0, 90, 32000).astype(float))[2]
     m = lm.parts(lm.start(bias))
