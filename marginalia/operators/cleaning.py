@@ -8,10 +8,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marginalia.functions import spans as S
 from marginalia.functions import text as T
 from marginalia.functions.patterns import to_java
-from marginalia.operators.kernel import Found, Segment, TextOperation
+from marginalia.operators.kernel import Found, ReplaceOperation, Segment, TextOperation
 
 #: Ligatures, dashes, quotes and signs that later steps expect in plain form.
 PLAIN_CHARACTERS = {
@@ -22,18 +21,20 @@ BEFORE_POINT = tuple("avec de des du la le les ou par pour un une".split())
 AFTER_POINT = ("pour", "avec", "et")
 
 
-class CharReplacer(TextOperation):
+class CharReplacer(ReplaceOperation):
     def __init__(self, output_label: str, rules: dict[str, str] | Iterable[tuple[str, str]] = PLAIN_CHARACTERS):
         rules = dict(rules)
         if any(len(k) != 1 for k in rules):
             raise ValueError("rules replace single characters")
 
-        def kernel(seg: Segment) -> Iterable[Found]:
-            at = [i for i, c in enumerate(seg.text) if c in rules]
-            text, spans = S.replace(seg.text, seg.spans, [(i, i + 1) for i in at], [rules[seg.text[i]] for i in at])
-            yield Found(output_label, text=text, spans=spans)
+        places = re.compile("[" + "".join(map(re.escape, rules)) + "]") if rules else None
+        new, sizes = str.maketrans(rules), {k: len(v) for k, v in rules.items()}
+
+        def hits(text: str) -> tuple[list[int], list[int], list[int], str]:
+            at = [m.start() for m in places.finditer(text)] if places else []
+            return at, [i + 1 for i in at], [sizes[text[i]] for i in at], text.translate(new) if at else text
 
-        super().__init__("CharReplacer", {"label": output_label, "rules": rules}, kernel)
+        super().__init__("CharReplacer", {"label": output_label, "rules": rules}, output_label, hits)
 
 
 def replace_characters(text: Column, rules: dict[str, str]) -> Column:
@@ -47,7 +48,7 @@ def replace_characters(text: Column, rules: dict[str, str]) -> Column:
     return text
 
 
-class RegexpReplacer(TextOperation):
+class RegexpReplacer(ReplaceOperation):
     """Patterns and their replacements in one pass; the first rule that matches at a place wins. Groups are allowed."""
 
     def __init__(self, output_label: str, rules: Iterable[tuple[str, str]]):
@@ -59,12 +60,20 @@ class RegexpReplacer(TextOperation):
         rule = re.compile("|".join(shifted)) if rules else None
         new = {f"rule__{i}": r for i, (_, r) in enumerate(rules)}
 
-        def kernel(seg: Segment) -> Iterable[Found]:
-            hits = [(m.span(), next(new[k] for k in new if m.group(k) is not None)) for m in rule.finditer(seg.text)] if rule else []
-            text, spans = S.replace(seg.text, seg.spans, [h[0] for h in hits], [h[1] for h in hits])
-            yield Found(output_label, text=text, spans=spans)
-
-        super().__init__("RegexpReplacer", {"label": output_label, "rules": rules}, kernel)
+        def hits(text: str) -> tuple[list[int], list[int], list[int], str]:
+            starts, ends, sizes, parts, at = [], [], [], [], 0
+            for m in rule.finditer(text) if rule else ():
+                a, b = m.span()
+                put = new[m.lastgroup]  # a rule's own group is the last to close
+                starts.append(a)
+                ends.append(b)
+                sizes.append(len(put))
+                parts += (text[at:a], put)
+                at = b
+            parts.append(text[at:])
+            return starts, ends, sizes, "".join(parts)
+
+        super().__init__("RegexpReplacer", {"label": output_label, "rules": rules}, output_label, hits)
 
 
 def replace_patterns(text: Column, rules: Iterable[tuple[str, str]]) -> Column:

@@ -16,7 +16,7 @@ from marginalia import data
 from marginalia.functions import spans as S
 from marginalia.functions import text as T
 from marginalia.operators.context import folded
-from marginalia.operators.kernel import Found, Rows, Segment, TextOperation, attribute, norm_attribute, pieces
+from marginalia.operators.kernel import Found, Kind, RangeOperation, Rows, Segment, TextOperation, attribute, norm_attribute, pieces
 from marginalia.plans.tables import written
 from marginalia.schema import ANN, op_id, uid_column
 
@@ -52,7 +52,7 @@ def default_rules() -> list[RegexpRule]:
     return [RegexpRule(**{known.get(k, k): v for k, v in row.items()}) for row in data.load("entities")]
 
 
-class RegexpMatcher(TextOperation):
+class RegexpMatcher(RangeOperation):
     """All matches of all rules, overlaps included; an exclusion that occurs in the segment silences its rule there."""
 
     def __init__(self, rules: Iterable[RegexpRule] | None = None, attrs_to_copy=(), name="RegexpMatcher"):
@@ -64,10 +64,10 @@ class RegexpMatcher(TextOperation):
         compiled = [(r, re.compile(r.pattern, f), re.compile(r.exclusion, f) if r.exclusion else None) for r, f in zip(rules, flags)]
         fold = any(not r.unicode_sensitive for r in rules)
 
-        def kernel(seg: Segment) -> Iterable[Found]:
-            plain = T.to_ascii(seg.text) if fold else seg.text
+        def ranges(text: str) -> Iterator[tuple[int, int, int]]:
+            plain = T.to_ascii(text) if fold else text
             for n, (r, pattern, exclusion) in enumerate(compiled):
-                on = seg.text if r.unicode_sensitive else plain
+                on = text if r.unicode_sensitive else plain
                 silenced = None
                 for m in pattern.finditer(on):
                     if silenced is None:
@@ -75,15 +75,16 @@ class RegexpMatcher(TextOperation):
                     if silenced:
                         break
                     a, b = m.span(r.index_extract)
-                    if a >= b:
-                        continue
-                    attrs = [norm_attribute(kb_name=x.kb_name, kb_id=x.kb_id, kb_version=x.kb_version) for x in r.norms]
-                    if r.term is not None:
-                        attrs.append(norm_attribute(kb_name="rules", kb_id=r.id, kb_version=r.version, term=r.term))
-                    about = {"rule_id": r.id if r.id is not None else str(n), "version": r.version or ""}
-                    yield Found(r.label, (a, b), kind="entity", metadata=about, attrs=attrs)
-
-        super().__init__(name, {"rules": [r.__dict__ for r in rules]}, kernel, attrs_to_copy)
+                    if a < b:
+                        yield a, b, n
+
+        kinds = []
+        for n, r in enumerate(rules):
+            attrs = [norm_attribute(kb_name=x.kb_name, kb_id=x.kb_id, kb_version=x.kb_version) for x in r.norms]
+            if r.term is not None:
+                attrs.append(norm_attribute(kb_name="rules", kb_id=r.id, kb_version=r.version, term=r.term))
+            kinds.append(Kind(r.label, "entity", {"rule_id": r.id if r.id is not None else str(n), "version": r.version or ""}, attrs))
+        super().__init__(name, {"rules": [r.__dict__ for r in rules]}, ranges, kinds, attrs_to_copy)
 
 
 @dataclass(frozen=True)

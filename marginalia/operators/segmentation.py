@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from marginalia import data
 from marginalia.functions.text import strip_range
-from marginalia.operators.kernel import Found, Segment, TextOperation, attribute
+from marginalia.operators.kernel import Kind, RangeOperation, attribute
 
 STRIPPED = ".;,?! \n\r\t"
 
 
-class SentenceTokenizer(TextOperation):
+class SentenceTokenizer(RangeOperation):
     """Sentences: lines, then runs between punctuation; a piece needs a word character."""
 
     def __init__(self, output_label="sentence", punct_chars=tuple(".;?!"), keep_punct=False, split_on_newlines=True, attrs_to_copy=()):
@@ -30,13 +30,13 @@ class SentenceTokenizer(TextOperation):
                 if b > a and word.search(text, a, b):
                     yield a, b
 
-        def kernel(seg: Segment) -> Iterable[Found]:
-            lines = split(seg.text, line, False) if split_on_newlines else [(0, len(seg.text))]
+        def ranges(text: str) -> Iterator[tuple[int, int, int]]:
+            lines = split(text, line, False) if split_on_newlines else [(0, len(text))]
             for a, b in lines:
-                for s, e in split(seg.text[a:b], piece, keep_punct):
-                    yield Found(output_label, (a + s, a + e))
+                for s, e in split(text[a:b], piece, keep_punct):
+                    yield a + s, a + e, 0
 
-        super().__init__("SentenceTokenizer", {"label": output_label, "punct": list(punct_chars), "keep": keep_punct, "lines": split_on_newlines}, kernel, attrs_to_copy)
+        super().__init__("SentenceTokenizer", {"label": output_label, "punct": list(punct_chars), "keep": keep_punct, "lines": split_on_newlines}, ranges, [Kind(output_label)], attrs_to_copy)
 
 
 def sentence_texts(text: Column, punct: str = r".;?!") -> Column:
@@ -45,22 +45,22 @@ def sentence_texts(text: Column, punct: str = r".;?!") -> Column:
     return F.filter(found, lambda s: s.rlike(r"[\p{L}\p{N}_]"))
 
 
-class SyntagmaTokenizer(TextOperation):
+class SyntagmaTokenizer(RangeOperation):
     """Clauses: a separator begins the next clause. They lose `strip_chars` in front and white space at their end."""
 
     def __init__(self, separators: Iterable[str] | None = None, output_label="syntagma", strip_chars=STRIPPED, attrs_to_copy=()):
         separators = tuple(data.load("separators")["syntagmas"]["separators"] if separators is None else separators)
         rule = re.compile(rf" *(.+?)(?P<mark__>{'|'.join([*separators, '$'])})", re.DOTALL)
 
-        def kernel(seg: Segment) -> Iterable[Found]:
+        def ranges(text: str) -> Iterator[tuple[int, int, int]]:
             begin = None
-            for m in rule.finditer(seg.text):
-                a, b = strip_range(seg.text, m.start(1) if begin is None else begin, m.end(1), strip_chars)
+            for m in rule.finditer(text):
+                a, b = strip_range(text, m.start(1) if begin is None else begin, m.end(1), strip_chars)
                 begin = m.start("mark__")
                 if a < b:
-                    yield Found(output_label, (a, b))
+                    yield a, b, 0
 
-        super().__init__("SyntagmaTokenizer", {"label": output_label, "separators": list(separators), "strip": strip_chars}, kernel, attrs_to_copy)
+        super().__init__("SyntagmaTokenizer", {"label": output_label, "separators": list(separators), "strip": strip_chars}, ranges, [Kind(output_label)], attrs_to_copy)
 
 
 @dataclass(frozen=True)
@@ -73,23 +73,16 @@ class RenameRule:
     order: str = "BEFORE"
 
 
-def find_keywords(text: str, table: dict[str, str], longest: int) -> list[tuple[str, int, int]]:
+def keyword_pattern(words: Iterable[str]) -> re.Pattern | None:
+    """A pattern for keywords as whole words, the longest at each place; white space begins none."""
+    known = sorted((w for w in words if w and not w[0].isspace()), key=lambda w: (-len(w), w))
+    return re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, known))})(?!\w)") if known else None
+
+
+def find_keywords(text: str, table: dict[str, str], longest: int, pattern: re.Pattern | None = None) -> list[tuple[str, int, int]]:
     """(name, start, end) of keywords as whole words, the longest at each place, from left to right."""
-    out, at, n = [], 0, len(text)
-    inside = lambda i: 0 <= i < n and (text[i].isalnum() or text[i] == "_")
-    while at < n:
-        if not inside(at - 1) and not text[at].isspace():
-            for size in range(min(longest, n - at), 0, -1):
-                name = table.get(text[at : at + size])
-                if name is not None and not inside(at + size):
-                    out.append((name, at, at + size))
-                    at += size
-                    break
-            else:
-                at += 1
-        else:
-            at += 1
-    return out
+    pattern = pattern or keyword_pattern(w for w in table if len(w) <= longest)
+    return [(table[m.group()], m.start(), m.end()) for m in pattern.finditer(text)] if pattern else []
 
 
 def renamed(names: list[str], rules: Iterable[RenameRule]) -> list[str]:
@@ -108,7 +101,7 @@ def renamed(names: list[str], rules: Iterable[RenameRule]) -> list[str]:
     return out
 
 
-class SectionTokenizer(TextOperation):
+class SectionTokenizer(RangeOperation):
     """Sections from heading keywords; what comes before the first is 'head'. They lose `strip_chars` in front and white space at their end; one without text is left out."""
 
     def __init__(self, sections: dict[str, Iterable[str]] | None = None, output_label="section", rules: Iterable[RenameRule] = (), strip_chars=STRIPPED, keep_empty=False):
@@ -116,19 +109,22 @@ class SectionTokenizer(TextOperation):
             whole = data.load("sections")
             sections, rules = whole["sections"], [*rules, *(RenameRule(r["section_name"], r["new_section_name"], tuple(r["other_sections"]), r["order"]) for r in whole["rules"])]
         table = {k: name for name, words in sections.items() for k in words}
-        longest, rules = max(map(len, table), default=0), tuple(rules)
+        pattern, longest, rules = keyword_pattern(table), max(map(len, table), default=0), tuple(rules)
+        names = list(dict.fromkeys(["head", *sections, *(r.new_section_name for r in rules)]))
+        number = {name: k for k, name in enumerate(names)}
 
-        def kernel(seg: Segment) -> Iterable[Found]:
-            found = find_keywords(seg.text, table, longest)
+        def ranges(text: str) -> Iterator[tuple[int, int, int]]:
+            found = find_keywords(text, table, longest, pattern)
             if not found or found[0][1]:
                 found.insert(0, ("head", 0, 0))
-            ends = [f[1] for f in found[1:]] + [len(seg.text)]
+            ends = [f[1] for f in found[1:]] + [len(text)]
             for name, (_, a, _), b in zip(renamed([f[0] for f in found], rules), found, ends):
-                a, b = strip_range(seg.text, a, b, strip_chars)
+                a, b = strip_range(text, a, b, strip_chars)
                 if a < b or keep_empty:
-                    yield Found(output_label, (a, b), metadata={"name": name}, attrs=[attribute(output_label, name)])
+                    yield a, b, number[name]
 
-        super().__init__("SectionTokenizer", {"label": output_label, "sections": {k: list(v) for k, v in sections.items()}, "rules": [r.__dict__ for r in rules]}, kernel)
+        kinds = [Kind(output_label, metadata={"name": name}, attrs=[attribute(output_label, name)]) for name in names]
+        super().__init__("SectionTokenizer", {"label": output_label, "sections": {k: list(v) for k, v in sections.items()}, "rules": [r.__dict__ for r in rules]}, ranges, kinds)
 
 
 def section_bounds(matches: DataFrame, length: str = "length") -> DataFrame:
@@ -145,7 +141,7 @@ def rename_sections(matches: DataFrame, rule: RenameRule) -> DataFrame:
     return matches.withColumn("name", F.when((F.col("name") == rule.section_name) & near, rule.new_section_name).otherwise(F.col("name")))
 
 
-class RuleSentenceTokenizer(TextOperation):
+class RuleSentenceTokenizer(RangeOperation):
     """Sentences from end rules: (pattern, is_end); the last rule that matches at a mark decides."""
 
     DEFAULT = (
@@ -172,10 +168,11 @@ class RuleSentenceTokenizer(TextOperation):
     )
 
     def __init__(self, output_label="sentence", rules=DEFAULT, keep_newlines=True, attrs_to_copy=()):
-        compiled = [(re.compile(p), end) for p, end in rules]
+        compiled, word = [(re.compile(p), end) for p, end in rules], re.compile(r"\w")
 
-        def kernel(seg: Segment) -> Iterable[Found]:
-            text = seg.text if keep_newlines else seg.text.replace("\n", " ")
+        def ranges(text: str) -> Iterator[tuple[int, int, int]]:
+            if not keep_newlines:
+                text = text.replace("\n", " ")
             ends: dict[int, bool] = {}
             for rule, is_end in compiled:
                 for m in rule.finditer(text):
@@ -184,7 +181,7 @@ class RuleSentenceTokenizer(TextOperation):
             for cut in [*(e for e in sorted(ends) if ends[e]), len(text)]:
                 a, b = strip_range(text, at, cut)
                 at = cut
-                if a < b and re.search(r"\w", text[a:b]):
-                    yield Found(output_label, (a, b))
+                if a < b and word.search(text, a, b):
+                    yield a, b, 0
 
-        super().__init__("RuleSentenceTokenizer", {"label": output_label, "rules": [list(r) for r in rules], "lines": keep_newlines}, kernel, attrs_to_copy)
+        super().__init__("RuleSentenceTokenizer", {"label": output_label, "rules": [list(r) for r in rules], "lines": keep_newlines}, ranges, [Kind(output_label)], attrs_to_copy)
