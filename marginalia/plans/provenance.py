@@ -27,11 +27,11 @@ class Edges:
 
 def edges_of(anns: DataFrame, op: str) -> DataFrame:
     """Edges of annotations to what they were made from, and of attributes to their annotation."""
-    own = anns.select(F.col("uid").alias("item_uid"), F.lit(op).alias("op_id"), F.col("parent_uid").alias("source_uid"), F.lit("annotation").alias("kind"))
-    if "attrs" not in anns.columns:
-        return own
-    attrs = anns.select(F.explode("attrs").alias("a"), F.col("uid").alias("source_uid")).select(F.col("a.uid").alias("item_uid"), F.lit(op).alias("op_id"), "source_uid", F.lit("attribute").alias("kind"))
-    return own.unionByName(attrs)
+    edge = lambda item, source, kind: F.struct(item.alias("item_uid"), source.alias("source_uid"), F.lit(kind).alias("kind"))
+    found = F.array(edge(F.col("uid"), F.col("parent_uid"), "annotation"))
+    if "attrs" in anns.columns:  # of the same pass over the rows: a union would have the operations run again
+        found = F.concat(found, F.coalesce(F.transform("attrs", lambda a: edge(a.uid, F.col("uid"), "attribute")), F.array().cast("array<struct<item_uid: string, source_uid: string, kind: string>>")))
+    return anns.select(F.explode(found).alias("e")).select("e.item_uid", F.lit(op).alias("op_id"), "e.source_uid", "e.kind")
 
 
 def edge_table(steps: list[Edges], scope: int = 0) -> DataFrame | None:
@@ -60,18 +60,27 @@ def nodes(edges: DataFrame) -> DataFrame:
     return every.join(derived(edges), "item_uid", "left").withColumn("derived", F.coalesce("derived", none))
 
 
+#: Items up to which those that others come from are broadcast rather than shuffled.
+MAX_SOURCES = 500_000
+
+
 def roots(edges: DataFrame, depth: int) -> DataFrame:
     """item_uid, root_uid: the items without an origin that each item comes from.
 
     `depth` is the number of steps of the plan, which bounds every path: so many self-joins,
-    no recursion.  The edges are written once, as every hop reads them.
+    no recursion.  The edges are written once, as every hop reads them.  Hops are joined among
+    the items that others come from, which are few beside all; the edges meet their result once.
     """
-    step = written(edges.where("source_uid IS NOT NULL").select("item_uid", "source_uid").distinct(), "edges")
-    reach = step.select("item_uid", F.col("source_uid").alias("at"))
-    hop = step.select(F.col("item_uid").alias("at"), F.col("source_uid").alias("next"))
-    for _ in range(max(depth - 1, 0)):
-        reach = reach.join(hop, "at", "left").select("item_uid", F.coalesce("next", "at").alias("at")).distinct()
-    return reach.select("item_uid", F.col("at").alias("root_uid"))
+    step = written(edges.where("source_uid IS NOT NULL").select("item_uid", "source_uid"), "edges")
+    if depth <= 1:
+        return step.distinct().withColumnRenamed("source_uid", "root_uid")
+    sources = written(step.select(F.col("source_uid").alias("node")).distinct(), "sources")
+    sent = F.broadcast if sources.count() <= MAX_SOURCES else lambda df: df
+    hop = written(step.join(sent(sources), F.col("item_uid") == F.col("node"), "left_semi").select(F.col("item_uid").alias("at"), F.col("source_uid").alias("next")).distinct(), "hops")
+    up = sources.withColumn("root_uid", F.col("node"))
+    for _ in range(depth - 1):
+        up = up.join(hop, F.col("root_uid") == F.col("at"), "left").select("node", F.coalesce("next", "root_uid").alias("root_uid")).distinct()
+    return step.join(sent(written(up, "roots")), F.col("source_uid") == F.col("node")).select("item_uid", "root_uid").distinct()
 
 
 def flattened(edges: DataFrame, outer: DataFrame, depth: int) -> DataFrame:

@@ -78,3 +78,31 @@ def test_spans_must_fit(raw):
     anns = raw("abc").withColumn("text", F.lit("ab"))
     with pytest.raises(Exception, match="as long as the text"):
         OPERATIONS[0].run(anns.withColumn("spans", F.transform("spans", lambda s: s.withField("length", F.lit(3)).withField("replaced", F.array().cast(f"array<{kernel.RANGE}>"))))).collect()
+
+
+def test_edges_in_one_pass(raw):
+    """The edges of annotations and of their attributes come from one pass over the operation."""
+    from marginalia.plans import provenance
+
+    rule = matching.RegexpRule("[ab]", "x", norms=(NORM,))
+    anns = matching.RegexpMatcher([rule]).run(raw("a b", "c"))
+    edges = provenance.edges_of(anns, "op")
+    assert edges._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = sorted((r["kind"], r["item_uid"], r["source_uid"], r["op_id"]) for r in edges.collect())
+    rows = anns.collect()
+    assert got == sorted([("annotation", r["uid"], r["parent_uid"], "op") for r in rows] + [("attribute", r["attrs"][0]["uid"], r["uid"], "op") for r in rows]) and len(got) == 4
+
+
+def test_roots_of_a_web(spark, monkeypatch):
+    """Items of several origins, repeated edges and paths of all lengths, with the sources broadcast and shuffled."""
+    from marginalia.plans import provenance
+
+    pairs = [("c", "a"), ("c", "b"), ("d", "c"), ("d", "c"), ("d", "a"), ("e", "d"), ("f", "e"), ("x", None), ("b", None)]
+    edges = spark.createDataFrame(pairs, "item_uid string, source_uid string")
+    want = {(i, r) for i in "cdef" for r in "ab"}
+    for bound in (100, 0):
+        monkeypatch.setattr(provenance, "MAX_SOURCES", bound)
+        assert sorted((r[0], r[1]) for r in provenance.roots(edges, 4).collect()) == sorted(want)
+        assert sorted((r[0], r[1]) for r in provenance.roots(edges, 1).collect()) == sorted({p for p in pairs if p[1]})
+    plan = provenance.roots(edges, 4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1  # all hops are among the sources
