@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,19 +61,36 @@ class RegexpReplacer(ReplaceOperation):
         rule = re.compile("|".join(shifted)) if rules else None
         new = {f"rule__{i}": r for i, (_, r) in enumerate(rules)}
 
-        def hits(text: str) -> tuple[list[int], list[int], list[int], str]:
+        # Rules without groups of their own: the pattern splits a text into what lies between the matches and each rule's match.
+        flat = re.compile("|".join(f"({p})" for p, _ in rules)) if rules and base == 1 + len(rules) else None
+        put, k = [r for _, r in rules], len(rules) + 1
+
+        def split(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
+            parts = flat.split(text)
+            between = parts[::k]
+            which = np.array([[x is not None for x in parts[i::k]] for i in range(1, k)], bool).argmax(0).tolist() if k > 2 else [0] * (len(between) - 1)
+            long = [0 if x is None else len(x) for x in parts]
+            edge = np.cumsum(np.fromiter(long, np.int64, len(long)))
+            out = [""] * (2 * len(between) - 1)
+            out[::2], out[1::2] = between, [put[i] for i in which]
+            return edge[:-1:k], edge[k - 1 : -1 : k], new_sizes[which], "".join(out)
+
+        new_sizes = np.array([len(r) for r in put], np.int64)
+
+        def one_by_one(text: str) -> tuple[list[int], list[int], list[int], str]:
             starts, ends, sizes, parts, at = [], [], [], [], 0
             for m in rule.finditer(text) if rule else ():
                 a, b = m.span()
-                put = new[m.lastgroup]  # a rule's own group is the last to close
+                made = new[m.lastgroup]  # a rule's own group is the last to close
                 starts.append(a)
                 ends.append(b)
-                sizes.append(len(put))
-                parts += (text[at:a], put)
+                sizes.append(len(made))
+                parts += (text[at:a], made)
                 at = b
             parts.append(text[at:])
             return starts, ends, sizes, "".join(parts)
 
+        hits = one_by_one if flat is None else split
         super().__init__("RegexpReplacer", {"label": output_label, "rules": rules}, output_label, hits)
 
 
