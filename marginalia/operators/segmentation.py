@@ -141,6 +141,31 @@ def rename_sections(matches: DataFrame, rule: RenameRule) -> DataFrame:
     return matches.withColumn("name", F.when((F.col("name") == rule.section_name) & near, rule.new_section_name).otherwise(F.col("name")))
 
 
+def gate(pattern: str) -> re.Pattern | None:
+    """What the pattern needs from its last point on, where that is simple to say: a text without it has no match."""
+    at, depth, i = None, 0, 0
+    while i < len(pattern):
+        two, c = pattern[i : i + 2], pattern[i]
+        if c == "\\":
+            if two[1:].isdigit():
+                return None
+            if two == "\\." and not depth and pattern[i + 2 : i + 3] not in tuple("*+?{"):
+                at = i
+            i += 2
+            continue
+        if c == "[":
+            i += 2 if pattern[i + 1 : i + 2] == "^" else 1
+            i += pattern[i : i + 1] == "]"
+            while i < len(pattern) and pattern[i] != "]":
+                i += 2 if pattern[i] == "\\" else 1
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and not depth:
+            return None
+        i += 1
+    return re.compile(pattern[at:]) if at and "(?P" not in pattern and not re.search(r"\(\?(?:\(|[aiLmsux])", pattern) else None
+
+
 class RuleSentenceTokenizer(RangeOperation):
     """Sentences from end rules: (pattern, is_end); the last rule that matches at a mark decides."""
 
@@ -168,15 +193,16 @@ class RuleSentenceTokenizer(RangeOperation):
     )
 
     def __init__(self, output_label="sentence", rules=DEFAULT, keep_newlines=True, attrs_to_copy=()):
-        compiled, word = [(re.compile(p), end) for p, end in rules], re.compile(r"\w")
+        compiled, word = [(re.compile(p), gate(p), end) for p, end in rules], re.compile(r"\w")
 
         def ranges(text: str) -> Iterator[tuple[int, int, int]]:
             if not keep_newlines:
                 text = text.replace("\n", " ")
             ends: dict[int, bool] = {}
-            for rule, is_end in compiled:
-                for m in rule.finditer(text):
-                    ends[m.end()] = is_end
+            for rule, needed, is_end in compiled:
+                if needed is None or needed.search(text):
+                    for m in rule.finditer(text):
+                        ends[m.end()] = is_end
             at = 0
             for cut in [*(e for e in sorted(ends) if ends[e]), len(text)]:
                 a, b = strip_range(text, at, cut)
