@@ -43,6 +43,14 @@ def folded(text: Column) -> Column:
     return F.translate(text, "".join(_ONE_TO_ONE), "".join(_ONE_TO_ONE.values()))
 
 
+_FOLDS = str.maketrans(_ONE_TO_ONE)
+
+
+def fold_text(text: str) -> str:
+    """The same of a text in lower case, outside the JVM."""
+    return text.translate(_FOLDS).lower()
+
+
 def first_rule(text: Column, ascii_text: Column, rules: list[Rule]) -> Column:
     """Id (or index) of the first rule that matches and isn't excluded; null if none does."""
     chosen: Column | None = None

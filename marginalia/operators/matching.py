@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from marginalia import data
 from marginalia.functions import spans as S
 from marginalia.functions import text as T
-from marginalia.operators.context import folded
+from marginalia.operators.context import fold_text, folded
 from marginalia.operators.kernel import Found, Kind, RangeOperation, Rows, Segment, TextOperation, attribute, norm_attribute, pieces
 from marginalia.plans.tables import written
 from marginalia.schema import ANN, op_id, uid_column
@@ -250,6 +250,68 @@ class TerminologyMatcher(SimilarityMatcher):
         super().__init__(terminology_rules(entries, labels, groups, version=version), threshold, name="TerminologyMatcher", **settings)
 
 
+#: Letters and signs of which Python and the JVM make the same lower case.
+_FOREIGN = re.compile("[^\\x00-\\u024f\\u2000-\\u206f]")
+
+
+class TermFilter:
+    """Which sets of grams can be similar to a term: by the terms' own sets where these are few, else by the grams that occur in any."""
+
+    def __init__(self, terms: list[list[str]] | None, vocabulary: Iterable[str] | None, least: int, most: int):
+        self.terms = None if terms is None else [frozenset(t) for t in terms]
+        self.known = None if vocabulary is None else frozenset(vocabulary)
+        self.least, self.most, self.places = least, most, {}
+        if terms is not None:
+            for n, t in enumerate(self.terms):
+                for g in t:
+                    self.places.setdefault(g, []).append(n)
+            self.known = frozenset(self.places)
+            self.least, self.most = min(map(len, self.terms), default=0), max(map(len, self.terms), default=0)
+
+    def near(self, grams: set[str], threshold: float) -> bool:
+        """Whether a term is similar; True where the terms aren't at hand. One of the rarest grams that can't all be missing is common."""
+        if self.terms is None:
+            return True
+        n = len(grams)
+        rare = sorted(grams, key=lambda g: len(self.places.get(g, ())))[: n - math.ceil(n * threshold - 1e-3) + 1]
+        for term in {t for g in rare for t in self.places.get(g, ())}:
+            common = len(grams & self.terms[term])
+            if common >= (threshold - 1e-5) * (n + len(self.terms[term]) - common):
+                return True
+        return False
+
+
+def similar_ranges(text: str, shortest: int, longest: int, filter_: TermFilter, threshold: float) -> Iterator[tuple[int, int]]:
+    """Candidate ranges but those that can't be similar to any term.
+
+    With c common grams a similarity of t needs c >= t * n of the n grams of a candidate and of those of the term.  Grams are
+    counted while a range grows, which only adds to them.  Texts are compared here where folding leaves their length and letters
+    whose lower case is beyond doubt; others stay.
+    """
+    plain, known = fold_text(text), filter_.known
+    foreign = _FOREIGN.search(plain) is not None
+    at, seen, inside, end, over = -1, set(), 0, 0, False
+    widest = filter_.most / threshold + 1e-3 if threshold > 0 else math.inf
+    narrowest = filter_.least * threshold - 1e-3
+    for a, b in T.candidate_ranges(text, shortest, longest):
+        if len(plain) != len(text) or b - a < 3 or threshold <= 0 or (foreign and _FOREIGN.search(plain, a, b)):
+            yield a, b
+            continue
+        if a != at:
+            at, seen, inside, end, over = a, set(), 0, a, False
+        if over:
+            continue
+        for i in range(end, b - 2):
+            gram = plain[i : i + 3]
+            if gram not in seen:
+                seen.add(gram)
+                inside += known is None or gram in known
+        end = b - 2
+        over = len(seen) > widest or len(seen) - inside > widest * (1 - threshold) + 1e-3
+        if not over and len(seen) >= narrowest and inside >= threshold * len(seen) - 1e-3 and filter_.near(seen, threshold):
+            yield a, b
+
+
 class TerminologyJoin:
     """Entities similar to terms of a terminology of any size: both sides are tables, so nothing of it passes the driver or a closure.
 
@@ -268,9 +330,21 @@ class TerminologyJoin:
         group = F.get(F.filter("semgroups", lambda g: g.isin(list(self.labels))), 0)
         terms = entries.select("cui", "term", label[group].alias("label")).where("label IS NOT NULL AND term <> ''").distinct()
 
+        # What a candidate needs to be similar to any term is looked up where it is found: most candidates go no further.
+        grams = written(terms.select("term").distinct().select(T.ngrams_column(F.lower(folded(F.col("term")))).alias("grams")).distinct(), "term-grams")
+        size = grams.agg(F.min(F.size("grams")).alias("least"), F.max(F.size("grams")).alias("most"), F.sum(F.size("grams")).alias("all")).first()
+        if (size["all"] or 0) <= MAX_GRAMS:
+            filter_ = TermFilter(grams.toArrow().column(0).to_pylist(), None, 0, 0)
+        else:
+            vocabulary = grams.select(F.explode("grams").alias("gram")).distinct().limit(MAX_GRAMS + 1).toArrow().column(0).to_pylist()
+            filter_ = TermFilter(None, vocabulary if len(vocabulary) <= MAX_GRAMS else None, size["least"], size["most"])
+        sent = segments.sparkSession.sparkContext.broadcast(filter_)
+        threshold = self.threshold
+
         def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = sent.value
             for batch in pieces(batches):
-                found = [(u, a, b, t[a:b]) for u, t in zip(*(c.to_pylist() for c in batch.columns)) for a, b in T.candidate_ranges(t or "", shortest, longest)]
+                found = [(u, a, b, t[a:b]) for u, t in zip(*(c.to_pylist() for c in batch.columns)) for a, b in similar_ranges(t or "", shortest, longest, known, threshold)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found) if found else ((), (), (), ()), (pa.string(), pa.int32(), pa.int32(), pa.string()))], ["uid", "a", "b", "text"])
 
         places = written(segments.select("uid", "text").mapInArrow(ranges, "uid string, a int, b int, text string"), "candidates")
