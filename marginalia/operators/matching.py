@@ -506,6 +506,37 @@ class AdicapMatcher(TextOperation):
 
 #: Bytes of term vectors that are broadcast at once.
 MAX_VECTORS = 64 << 20
+#: Multiplications of a task, and terms that a block of entities meets at once.
+PRODUCTS_PER_TASK, TERMS_AT_ONCE = 40_000_000_000, 4096
+
+
+def best_products(rows: np.ndarray, data: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """The `top` largest products of each row, rounded to 4 decimals, and where in `data` they are; of equal ones the first count.
+
+    Products are made a tile at a time; beyond the first tile only those that beat a row's last are looked at.
+    """
+    at = min(max(512, 4 * top), len(data))
+    s = np.round(rows @ data[:at].T, 4)
+    place = np.argsort(-s, axis=1, kind="stable")[:, :top]
+    score = np.take_along_axis(s, place, 1)
+    while at < len(data):
+        s = rows @ data[at : at + TERMS_AT_ONCE].T
+        last = np.where(np.isnan(score[:, -1]), -np.inf, score[:, -1])
+        if score.shape[1] < top:
+            last[:] = -np.inf
+        row, col = np.nonzero(s > last[:, None] + 4e-5)  # what is rounded to more than the last exceeds it by 5e-5
+        if len(row):
+            who, k = np.unique(row), score.shape[1]
+            r = np.concatenate([np.repeat(who, k), row])
+            v = np.concatenate([score[who].ravel(), np.round(s[row, col], 4)])
+            p = np.concatenate([place[who].ravel(), at + col])
+            order = np.lexsort((p, np.where(np.isnan(v), np.inf, -v), r))
+            r, v, p = r[order], v[order], p[order]
+            first = np.searchsorted(r, who)
+            best = first[:, None] + np.arange(k)
+            score[who], place[who] = v[best], p[best]
+        at += TERMS_AT_ONCE
+    return score, place
 
 
 def link_embeddings(entities: DataFrame, terms: DataFrame, top: int = 1, threshold: float | None = None, entity_id="vec_id", term_id="vec_id", vector="embedding", max_bytes: int = MAX_VECTORS) -> DataFrame:
@@ -522,6 +553,8 @@ def link_embeddings(entities: DataFrame, terms: DataFrame, top: int = 1, thresho
     if not size["n"]:
         return spark.createDataFrame([], shape + ", rank int")
     groups = math.ceil(size["n"] * size["d"] * 8 / max_bytes)
+    tasks = min(math.ceil(own.count() * size["n"] * size["d"] / groups / PRODUCTS_PER_TASK), 10_000)
+    own = own.repartition(tasks) if tasks > spark.sparkContext.defaultParallelism else own
 
     def unit(rows: np.ndarray) -> np.ndarray:
         norm = np.sqrt((rows * rows).sum(1, keepdims=True))
@@ -534,18 +567,20 @@ def link_embeddings(entities: DataFrame, terms: DataFrame, top: int = 1, thresho
             continue
         ids = part.column("t").combine_chunks()
         sent = spark.sparkContext.broadcast((ids, unit(np.asarray(part.column("v").combine_chunks().flatten()).reshape(part.num_rows, -1))))
+        del part, ids
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             t, data = sent.value
             for batch in batches:
                 for a in range(0, batch.num_rows, 256):
                     rows = batch.slice(a, 256)
-                    s = np.round(unit(np.asarray(rows.column(1).flatten()).reshape(rows.num_rows, -1)) @ data.T, 4)
-                    k = min(top, len(t))
-                    order = np.argsort(-s, axis=1, kind="stable")[:, :k]  # the terms are in the order of their ids
-                    yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(np.repeat(np.arange(rows.num_rows), k))), t.take(pa.array(order.ravel())), pa.array(np.take_along_axis(s, order, 1).ravel())], ["entity_id", "term_id", "score"])
+                    score, place = best_products(unit(np.asarray(rows.column(1).flatten()).reshape(rows.num_rows, -1)), data, top)
+                    yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(np.repeat(np.arange(rows.num_rows), score.shape[1]))), t.take(pa.array(place.ravel())), pa.array(score.ravel())], ["entity_id", "term_id", "score"])
 
         some = own.mapInArrow(run, shape)
+        if groups > 1:  # one group after the other, so that workers and driver hold the vectors of one
+            some = written(some, "links")
+            sent.destroy()
         found = some if found is None else found.unionByName(some)
     rank = F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("score"), "term_id"))
     found = found.withColumn("rank", rank).where(F.col("rank") <= top)

@@ -14,6 +14,7 @@ NORM = matching.Norm("kb", "1")
 OPERATIONS = [
     cleaning.CharReplacer("clean", {"ß": "ss", "-": "", "’": "'", "]": "^"}),
     cleaning.RegexpReplacer("clean", [("(a)(b)?", "<x>"), (r"[0-9]+", ""), (r"[ \t]+", " "), ("", "+")]),
+    cleaning.RegexpReplacer("clean", [(r"[0-9]+", "<n>"), (r"[ \t]+", ""), ("", "+")]), cleaning.RegexpReplacer("clean", [("b|ß", " ")]),
     segmentation.SectionTokenizer({"a": ["Head", "Head of", "ß"], "b": ["b"]}, rules=[segmentation.RenameRule("a", "c", ("b",))], keep_empty=True),
     segmentation.SentenceTokenizer(attrs_to_copy=["section"]), segmentation.SentenceTokenizer(keep_punct=True, split_on_newlines=False),
     segmentation.SyntagmaTokenizer([r"\band\b", ", "], attrs_to_copy=["section"]), segmentation.RuleSentenceTokenizer(keep_newlines=False),
@@ -36,7 +37,7 @@ def test_equal_rows(raw):
     texts = ["", " ", "ß", "Head of b", "-", *("".join(rng.choices(["Head", " of ", "b", "ß", "-", " and ", "12", ". ", "\n", "’", "ab", "bs", ", ", " ", "𝄞", "]"], k=rng.randrange(1, 30))) for _ in range(40))]
     start = raw(*texts)
     inputs = [start]
-    for step in (OPERATIONS[0], OPERATIONS[2], OPERATIONS[1], OPERATIONS[3]):
+    for step in (OPERATIONS[0], OPERATIONS[4], OPERATIONS[1], OPERATIONS[5]):
         inputs.append(start.sparkSession.createDataFrame(slow(step, inputs[-1]).toArrow()))
     for operation in OPERATIONS:
         for anns in (inputs[0], inputs[1], inputs[-2], inputs[-1]):
@@ -106,3 +107,75 @@ def test_roots_of_a_web(spark, monkeypatch):
         assert sorted((r[0], r[1]) for r in provenance.roots(edges, 1).collect()) == sorted({p for p in pairs if p[1]})
     plan = provenance.roots(edges, 4)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Join") == 1  # all hops are among the sources
+
+
+def test_gates():
+    """A rule is left out only where its end can't occur; the sentences stay."""
+    tails = {r"\b(?:a|b\.c)\.(?=\s*[a-z])": r"\.(?=\s*[a-z])", r"a\.+": None, r"a|b\.": None, r"[.]a": None, r"(?:a\.)b": None, r"(a)\.\1": None, r"[]\].|]x\.": r"\.", r"(?i)a\.": None}
+    for pattern, tail in tails.items():
+        got = segmentation.gate(pattern)
+        assert (got and got.pattern) == tail, pattern
+    rules = segmentation.RuleSentenceTokenizer.DEFAULT
+    assert sum(segmentation.gate(p) is not None for p, _ in rules) >= 6
+    text = "Dr. Who cf. that. 12.5 mg. e.g. so. J. Smith 10 min. later\n\nab. Cd... ef 1.2.3 sept. 4"
+    for p, _ in rules:
+        if (needed := segmentation.gate(p)) is not None:
+            assert all(needed.search(text[: k + 9]) for k in (m.end() for m in __import__("re").finditer(p, text[:])))
+
+
+def test_candidates_that_can_be_similar():
+    """Few candidates stay, and all that are similar to a term are among them."""
+    from marginalia.functions import text as T
+
+    rng = random.Random(3)
+    terms = ["hypertension", "diabete", "ab cd", "éa", "oo", "aaaa"]
+    grams = [T.ngrams(T.to_ascii(t)) for t in terms]
+    known, sizes = frozenset().union(*grams), list(map(len, grams))
+    filters = [matching.TermFilter(list(map(list, grams)), None, 0, 0), matching.TermFilter(None, known, min(sizes), max(sizes)), matching.TermFilter(None, None, min(sizes), max(sizes))]
+    texts = [" ".join(rng.choices(["hypertension", "hypertensions", "Diabète", "ab", "cd", "the", "oo", "aaaaaaaa", "x", "дa", "İab", "tension,", "word"], k=20)) for _ in range(60)]
+    every = left = 0
+    for text in texts:
+        for t in (0.0, 0.3, 0.6, 0.8, 1.0):
+            strict, some, loose = (set(matching.similar_ranges(text, 2, 50, f, t)) for f in filters)
+            whole = T.candidate_ranges(text, 2, 50)
+            alike = {(a, b) for a, b in whole if any(T.similarity(T.ngrams(T.to_ascii(text[a:b]).lower()), g) >= t for g in grams)}
+            assert alike <= strict <= some <= loose <= set(whole)
+            every, left = every + len(whole) * (t == 0.8), left + len(some) * (t == 0.8)
+    assert left < every / 2
+    plain = ["hypertension word " * 10, "the x word tension " * 10]
+    assert [sum(len(list(matching.similar_ranges(p, 3, 50, f, 0.8))) for p in plain) for f in filters[:2]] == [10, 20]  # hypertension; tension has only known grams
+
+
+@pytest.mark.parametrize("bound", [10**6, 0])
+def test_candidates_written(raw, monkeypatch, bound):
+    """The table of candidates has those that are similar, not all runs of tokens; what is found is the same without the filter."""
+    tables = {}
+    keep = matching.written
+    monkeypatch.setattr(matching, "written", lambda df, name: tables.setdefault(name, keep(df, name)))
+    segments = raw(*["a word hypertension of the Hypertensions, word " * 3, "nothing", "ÉHYPERTENSION"])
+    entries = segments.sparkSession.createDataFrame([("C1", "hypertension", ["DISO"])], "cui string, term string, semgroups array<string>")
+    monkeypatch.setattr(matching, "MAX_GRAMS", bound)
+    got = sorted((r["doc_id"], r["n_start"], r["text"]) for r in matching.TerminologyJoin(0.8).run(segments, entries).collect())
+    assert got[:2] == [("0", 7, "hypertension"), ("0", 27, "Hypertensions")] and len(got) == 7
+    assert tables["candidates"].count() == 7 or bound == 0
+
+
+@pytest.mark.parametrize("top", [1, 5, 40])
+def test_best_products_by_tiles(monkeypatch, top):
+    """Tiles give what a sort of all products gives, ties and all, and never hold all products."""
+    monkeypatch.setattr(matching, "TERMS_AT_ONCE", 64)
+    rng = np.random.default_rng(2)
+    rows, data = rng.integers(-2, 3, (30, 3)) / 3, rng.integers(-2, 3, (1500, 3)) / 3
+    rows[3], data[700], data[2] = np.nan, np.nan, np.nan
+    for n in (1, 7, 600, 1500):
+        s = np.round(rows @ data[:n].T, 4)
+        want = np.argsort(-s, axis=1, kind="stable")[:, :top]
+        score, place = matching.best_products(rows, data[:n], top)
+        assert (place == want).all() and np.array_equal(score, np.take_along_axis(s, want, 1), equal_nan=True)
+    import tracemalloc
+
+    rows, data = rng.normal(size=(256, 8)), rng.normal(size=(60_000, 8))
+    tracemalloc.start()
+    matching.best_products(rows, data, top)
+    assert tracemalloc.get_traced_memory()[1] < 256 * 60_000 * 2  # all products would take 8 bytes each, more than once
+    tracemalloc.stop()
