@@ -7,6 +7,7 @@ that holds it, so a collection may be as large as the corpus.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable, Iterator
 
@@ -192,14 +193,81 @@ def hashed_runs(texts: list[str], length: int) -> tuple[np.ndarray, np.ndarray,
     return owner[fits], out.view(np.int64), start[fits].astype(np.int32), end[fits + length - 1].astype(np.int32) if len(fits) else np.zeros(0, np.int32)
 
 
+#: Bytes of fingerprints that a task gets together, and about how many a character of text has.
+PRINTS_AT_ONCE, BYTES_PER_CHARACTER = 32 << 20, 4
+_PARTS = (("print", np.int64), ("doc", np.int64), ("s", np.int32), ("e", np.int32))
+
+
+def _packed(columns: list[np.ndarray]) -> bytes:
+    """Numbers of equal count, byte by byte: the high bytes of most are alike and shrink in a shuffle."""
+    return b"".join(np.ascontiguousarray(x.astype(k).view(np.uint8).reshape(len(x), -1).T).tobytes() for x, (_, k) in zip(columns, _PARTS))
+
+
+def _unpacked(data: bytes) -> list[np.ndarray]:
+    sizes = [np.dtype(k).itemsize for _, k in _PARTS]
+    n, at, out = len(data) // sum(sizes), 0, []
+    for (_, k), size in zip(_PARTS, sizes):
+        out.append(np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T.copy().view(k).ravel())
+        at += n * size
+    return out
+
+
+def _shared_runs(source: DataFrame, length: int) -> DataFrame:
+    """The runs of documents (whose ids are integers) that an earlier document has as well, with the first place there.
+
+    Fingerprints are shuffled once, packed, to tasks by their hash; a task sorts what it gets.
+    """
+    spark = source.sparkSession
+    size = source.agg(F.sum(F.length("text"))).first()[0] or 0
+    tasks = max(math.ceil(size * BYTES_PER_CHARACTER / PRINTS_AT_ONCE), spark.sparkContext.defaultParallelism)
+    # A number for each task that Spark's hash sends to it.
+    number = F.col("id").cast("int")
+    goals = np.array([r[0] for r in spark.range(tasks * 16).groupBy(F.pmod(F.hash(number), F.lit(tasks))).agg(F.min(number)).collect()], np.int32)
+    goals.sort()
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            owner, h, s, e = hashed_runs(batch.column(1).to_pylist(), length)
+            ids = np.asarray(batch.column(0))[owner]
+            turn = ((h.view(np.uint64) ^ (h.view(np.uint64) >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(len(goals))
+            order = np.argsort(turn, kind="stable")
+            cuts = np.flatnonzero(np.diff(turn[order], prepend=-1)) if len(order) else np.zeros(0, np.int64)
+            groups = np.split(order, cuts[1:]) if len(cuts) else []
+            yield pa.RecordBatch.from_arrays([pa.array([int(goals[turn[g[0]]]) for g in groups], pa.int32()), pa.array([_packed([h[g], ids[g], s[g], e[g]]) for g in groups], pa.binary())], ["goal", "data"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [_unpacked(x) for batch in batches for x in batch.column(1).to_pylist()]
+        if not got:
+            return
+        h, doc, s, e = (np.concatenate(x) for x in zip(*got))
+        del got
+        order = np.lexsort((s, doc, h))
+        h, doc, s, e = h[order], doc[order], s[order], e[order]
+        new = np.append(True, h[1:] != h[:-1])
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        # In one document the first start and the first end belong to the same run.
+        later = np.flatnonzero(doc != doc[first])
+        for a in range(0, len(later), 1 << 16):
+            at = later[a : a + (1 << 16)]
+            of = first[at]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[at], doc[of], s[at], e[at], s[of], e[of])], ["doc_id", "source_doc_id", "s", "e", "ss", "se"])
+
+    dealt = source.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(deal, "goal int, data binary").repartition(tasks, "goal")
+    kind = source.schema["doc_id"].dataType
+    found = dealt.mapInArrow(meet, "doc_id long, source_doc_id long, s int, e int, ss int, se int")
+    return found.select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("source_doc_id").cast(kind).alias("source_doc_id"), "s", "e", "ss", "se")
+
+
 def first_occurrences(docs: DataFrame, length: int = 8, doc_id: str = "doc_id", text: str = "text", shortest: int = 5) -> DataFrame:
     """doc_id, start, end, source_doc_id, source_start, source_end: maximal runs of words that an earlier document has first.
 
-    One shuffle on the fingerprint (hash of `length` words) finds its first document; runs are
+    A shuffle on the fingerprint (hash of `length` words) finds its first document; runs are
     the islands of one diagonal.  Its cost is linear in the text however often a stretch recurs.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL")
     kind = source.schema["doc_id"].dataType.simpleString()
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return _islands(_shared_runs(source, length), shortest)
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -212,7 +280,12 @@ def first_occurrences(docs: DataFrame, length: int = 8, doc_id: str = "doc_id",
     shared = written(found.join(origin, "print"), "shared-runs")
     # In one document the first start and the first end belong to the same run.
     firsts = shared.where("doc_id = source_doc_id").groupBy("print").agg(F.min("s").alias("ss"), F.min("e").alias("se"))
-    hits = shared.where("doc_id > source_doc_id").join(firsts, "print").withColumn("diagonal", F.col("ss") - F.col("s"))
+    return _islands(shared.where("doc_id > source_doc_id").join(firsts, "print"), shortest)
+
+
+def _islands(hits: DataFrame, shortest: int) -> DataFrame:
+    """Runs that follow one another on a diagonal as one."""
+    hits = hits.withColumn("diagonal", F.col("ss") - F.col("s"))
     order = Window.partitionBy("doc_id", "source_doc_id", "diagonal").orderBy("s")
     gap = (F.lag("e").over(order).isNull() | (F.col("s") > F.lag("e").over(order))).cast("int")
     islands = hits.withColumn("g", gap).withColumn("island", F.sum("g").over(order))

@@ -179,3 +179,22 @@ def test_best_products_by_tiles(monkeypatch, top):
     matching.best_products(rows, data, top)
     assert tracemalloc.get_traced_memory()[1] < 256 * 60_000 * 2  # all products would take 8 bytes each, more than once
     tracemalloc.stop()
+
+
+def test_shared_runs_in_one_shuffle(spark, monkeypatch):
+    """Ids that are integers go packed through one shuffle of fingerprints; those of texts are joined: the same runs."""
+    from marginalia.operators import duplicates
+
+    rng = random.Random(9)
+    words = ["a", "b", "c", "d,", "e"]
+    stock = [" ".join(rng.choices(words, k=12)) for _ in range(6)]
+    docs = [(n if n % 9 else None, None if n == 7 else " ".join(rng.choices([*stock, *words], k=rng.randrange(0, 9)))) for n in range(60)]
+    df = spark.createDataFrame(docs, "doc_id int, text string")
+    got = duplicates.first_occurrences(df, 3)
+    want = duplicates.first_occurrences(df.withColumn("doc_id", F.lpad(F.col("doc_id").cast("string"), 3, "0")), 3)
+    show = lambda df: sorted(tuple(map(int, r)) for r in df.collect())
+    assert show(got) == show(want) and len(show(got)) > 50 and got.schema["doc_id"].dataType.simpleString() == "int"
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+    monkeypatch.setattr(duplicates, "PRINTS_AT_ONCE", 50)
+    assert show(duplicates.first_occurrences(df, 3)) == show(want)
+    assert duplicates.first_occurrences(df.limit(0), 3).count() == 0
